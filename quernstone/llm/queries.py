@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import langid
+from quernstone.llm import langid, overlap
 from quernstone.llm.labels import code_of
 from quernstone.sources.tables import table
 
@@ -59,6 +59,28 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("docid", "seg_no", "lang", "n_words", F.round("confidence", 6).alias("confidence"), F.length("segment").alias("n_chars"))
 
 
+# ---- problem 5: overlaps across splits
+
+
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    train = table(spark, d, "train").select("query_id", "query", "source")
+    dev, test = (table(spark, d, x).select("query_id", "query", "source", F.lit(x).alias("split")) for x in ("dev", "test"))
+    return train, dev.unionByName(test)
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a train query and a dev or test query that ask the same."""
+    pairs = overlap.expand(*overlap.same_questions(*_splits(spark, d)))
+    return pairs.select(F.least("train_id", "eval_id").alias("query_id_a"), F.greatest("train_id", "eval_id").alias("query_id_b")).where("query_id_a <> query_id_b").distinct()
+
+
+@query
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps with training counted per split and source."""
+    return overlap.report(*overlap.same_questions(*_splits(spark, d)))
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 
