@@ -31,6 +31,7 @@ BANDS, ROWS = 16, 4
 MIN_JACCARD = 0.5
 MOST_SLIPS = 2  # letters, in all words together
 MOST_SMALL = 1  # words added or left out
+MOST_SMALL_LETTERS = 11  # of a rare one of them
 RARE = 3  # a word in fewer classes may be anyone's slip
 RATIO = 20  # a slip is at least so many times rarer than the word that was meant
 MOST_KNOWN = 300_000  # words whose signature a worker remembers before it starts afresh
@@ -218,7 +219,7 @@ def same_questions(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame,
     doubts = pairs.select("train_class", "eval_class", F.explode("doubts").alias("d")).select("train_class", "eval_class", F.col("d.p").alias("p"), F.col("d.q").alias("q"))
     doubts = doubts.join(often.select(F.col("word").alias("p"), F.col("n").alias("np")), "p", "left").join(often.select(F.col("word").alias("q"), F.col("n").alias("nq")), "q", "left")
     low, high = F.least("np", "nq"), F.greatest("np", "nq")
-    other = F.when(F.col("q") == "", (F.col("np") < 2) & (F.length("p") > 4)).otherwise((low >= RARE) & (low * RATIO >= high))
+    other = F.when(F.col("q") == "", (F.col("np") < RARE) & (F.length("p") > MOST_SMALL_LETTERS)).otherwise((low >= RARE) & (low * RATIO >= high))
     wrong = doubts.where(other).select("train_class", "eval_class").distinct()
     near = pairs.join(wrong, ["train_class", "eval_class"], "left_anti").select("train_class", "eval_class", "similarity")
     exact = classes.where("in_train and in_eval").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class"), F.lit(1.0).alias("similarity"))
