@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import langid, overlap
+from quernstone.llm import langid, overlap, quality
 from quernstone.llm.labels import code_of
 from quernstone.sources.tables import table
 
@@ -81,6 +81,27 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(*overlap.same_questions(*_splits(spark, d)))
 
 
+# ---- problem 9: text statistics
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return quality.statistics(documents, quality.fit_profiles(documents))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mainly a list, a table or junk."""
+    return _quality(spark, d).where("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+@query
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics and kind."""
+    found = _quality(spark, d)
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 
