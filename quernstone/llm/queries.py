@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import langid, overlap, quality
+from quernstone.llm import langid, neighbours, overlap, quality
 from quernstone.llm.labels import code_of
 from quernstone.sources.tables import table
 
@@ -21,6 +21,30 @@ def query(f: Query) -> Query:
     return f
 
 
+# ---- problem 1: nearest vectors
+
+
+def _vectors(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    return [("embeds", table(spark, d, "doc_embeds")), ("encode", table(spark, d, "doc_encodes"))]
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents of which one is among the other's 10 nearest, with a cosine of 0.90 or more."""
+    each = []
+    for field, df in _vectors(spark, d):
+        near = neighbours.nearest(df, "docid", field, k=10, least=0.90)
+        each.append(near.select(F.lit(field).alias("field"), F.least("id", "near_id").alias("docid_a"), F.greatest("id", "near_id").alias("docid_b")))
+    return each[0].unionByName(each[1]).distinct()
+
+
+@query
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest, however far, of every document whose number is divisible by 20."""
+    each = [neighbours.nearest(df, "docid", field, k=10, tables=6, hashes=1, probes=8, asking="cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 20 = 0").select(F.lit(field).alias("field"), "id", "near_id", "cosine", "rank") for field, df in _vectors(spark, d)]
+    return each[0].unionByName(each[1])
+
+
 # ---- problem 2: languages
 
 
