@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import langid, neighbours, overlap, quality
+from quernstone.llm import budget, langid, neighbours, overlap, pieces, quality
 from quernstone.llm.labels import code_of
+from quernstone.llm.tokens import Pieces
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,23 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("docid", "seg_no", "lang", "n_words", F.round("confidence", 6).alias("confidence"), F.length("segment").alias("n_chars"))
 
 
+# ---- problem 3: oversized items
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items above the window, and whether their boundaries suffice."""
+    cut = pieces.split_items(table(spark, d, "token_dataset"), Pieces.of(table(spark, d, "vocab")))
+    return cut.where("cut_kind <> 'whole'").select("item_id", "cut_kind").distinct()
+
+
+@query
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every item's pieces."""
+    cut = pieces.split_items(table(spark, d, "token_dataset"), Pieces.of(table(spark, d, "vocab")))
+    return cut.dropDuplicates(["item_id", "piece_no"])
+
+
 # ---- problem 5: overlaps across splits
 
 
@@ -105,6 +123,27 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(*overlap.same_questions(*_splits(spark, d)))
 
 
+# ---- problem 6: token budgets
+
+
+def _budget(spark: SparkSession, d: str) -> DataFrame:
+    code = code_of(F.col("lang"), table(spark, d, "languages"))
+    counts = budget.item_tokens(table(spark, d, "token_dataset"), table(spark, d, "corpus_df"), Pieces.of(table(spark, d, "vocab")), code)
+    return budget.totals(counts, table(spark, d, "sources"))
+
+
+@query
+def p6_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Items and tokens of each source, domain and language."""
+    return _budget(spark, d)
+
+
+@query
+def p6_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Items and tokens of each source, of each language, of each domain and of all."""
+    return budget.rollup(_budget(spark, d))
+
+
 # ---- problem 9: text statistics
 
 
