@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import budget, langid, neighbours, overlap, pieces, quality
+from quernstone.llm import budget, langid, mixing, neighbours, overlap, packing, pieces, quality, sampling
 from quernstone.llm.labels import code_of
-from quernstone.llm.tokens import Pieces
+from quernstone.llm.tokens import BytePairs, Pieces, count_tokens
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,36 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut.dropDuplicates(["item_id", "piece_no"])
 
 
+# ---- problem 4: samples in target proportions
+
+
+def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    codes = table(spark, d, "languages")
+    domains = table(spark, d, "sources").groupBy("source").agg(F.min("domain").alias("attribute"))
+    asked = table(spark, d, "train").where(F.col("query").rlike(r"(?U)\S"))
+    records = asked.select(F.col("query_id").alias("rec_id"), code_of(F.col("lang"), codes).alias("category"), "source").join(domains, "source", "left")
+    targets = table(spark, d, "sample_targets").withColumnRenamed("lang", "category")
+    return sampling.stratified(records.select("rec_id", "category", "attribute"), targets)
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that train cannot meet."""
+    return _drawn(spark, d)[1].where("unmet").select("plan_id", F.col("category").alias("lang")).distinct()
+
+
+@query
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every target with what there is and what was drawn."""
+    return _drawn(spark, d)[1].withColumnRenamed("category", "lang")
+
+
+@query
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn queries of every plan."""
+    return _drawn(spark, d)[0].select("plan_id", F.col("rec_id").alias("query_id"), F.col("category").alias("lang"), F.col("attribute").alias("domain"))
+
+
 # ---- problem 5: overlaps across splits
 
 
@@ -144,6 +174,58 @@ def p6_rollup(spark: SparkSession, d: str) -> DataFrame:
     return budget.rollup(_budget(spark, d))
 
 
+# ---- problems 7 and 8: containers and mixes
+
+
+def _sizes(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return count_tokens(documents, "doc_id", "text", BytePairs, keep)
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents larger than a container, which are split."""
+    packed = packing.pack(_sizes(table(spark, d, "documents")))
+    return packed.groupBy("doc_id").agg(F.countDistinct("container").alias("n")).where("n > 1").select("doc_id")
+
+
+@query
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's container, or containers."""
+    return packing.pack(_sizes(table(spark, d, "documents")))
+
+
+@query
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(packing.pack(_sizes(table(spark, d, "documents"))))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    named = targets.select("source").distinct()
+    documents = table(spark, d, "documents").join(F.broadcast(named.limit(mixing.MOST_ROWS)), "source", "left_semi")
+    return mixing.mix(_sizes(documents, ("source",)), targets)
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that their source can't reach with all its uses."""
+    return _mixed(spark, d)[1].where("short").select("mix_id", "source").distinct()
+
+
+@query
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source in every mix."""
+    made = _mixed(spark, d)[1]
+    return made.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes])
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix and how often each is used."""
+    return _mixed(spark, d)[0]
+
+
 # ---- problem 9: text statistics
 
 
