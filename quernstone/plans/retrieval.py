@@ -1,17 +1,522 @@
-"""The retrieval engine's queries over a data directory, and the same in SQL."""
+"""The retrieval engine's queries over a data directory; ``retrieval_sql`` holds the same in SQL.
+
+Known-item queries: every document whose number is divisible by 20 asks with its tokens 3
+to 8 against all documents of its language.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.functions import text as X
+from quernstone.functions import vectors as V
+from quernstone.operators import analyze, dense, search, train
+from quernstone.operators import evaluate as E
+from quernstone.operators import index as I
+from quernstone.plans.retrieval_sql import SQL
+from quernstone.plans.staging import Stage
+from quernstone.sources import io
+from quernstone.sources.tables import table
+from quernstone.streaming.scoring import answer_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, Query] = {}
+PUBLIC_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def query(f: Query) -> Query:
+    _ALL[f.__name__] = f
+    return f
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.tokenize(_documents(spark, d)).select("doc_id", "lang", "tokens")
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "corpus_df").select(F.col("docid").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return analyze.tokenize(once, analyzers={}).select("doc_id", "lang", "tokens")
+
+
+def _known_items(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "lang", F.slice("tokens", 3, 6).alias("terms"))
+
+
+def _relevant(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "lang", F.col("query_id").alias("doc_id"))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "dev").select("query_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("query", F.lit("")).alias("query"), "positive_docs").distinct()
+    return asked.select("query_id", "lang", X.split_words(X.clean_lexical(F.col("query"))).alias("terms"), "positive_docs")
+
+
+def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# ---- texts and tokens
+
+
+@query
+def clean_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.clean_lexical(F.col("text")).alias("clean"))
+
+
+@query
+def clean_dense(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.clean_dense(F.col("text")).alias("clean"))
+
+
+@query
+def arabic_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("lang = 'ar'").select("doc_id", X.normalize_arabic(F.col("text")).alias("clean"))
+
+
+@query
+def tokenize_words(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", "lang", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def remove_stop_words(spark: SparkSession, d: str) -> DataFrame:
+    kept = analyze.remove_stop_words(_docs(spark, d), analyze.stop_word_table(spark))
+    return kept.select("doc_id", "lang", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def split_compounds(spark: SparkSession, d: str) -> DataFrame:
+    german = _docs(spark, d).where("lang = 'de'")
+    return german.select("doc_id", F.array_join(analyze.split_compounds(F.col("tokens"), analyze.halves_at_vowels), " ").alias("parts"))
+
+
+@query
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return analyze.chunk_documents(table(spark, d, "documents"))
+
+
+def _token_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "token_dataset").select("item_id", "lang", F.col("tokens.input_ids").alias("ids")).where("ids is not null").distinct()
+
+
+@query
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    cut = _token_ids(spark, d).select("item_id", V.window_ids(F.col("ids"), 510, 1, 2).alias("w"))
+    return cut.select("item_id", F.size("w").cast("long").alias("n_windows"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.size(x)).alias("n_ids"))
+
+
+@query
+def explode_windows(spark: SparkSession, d: str) -> DataFrame:
+    cut = _token_ids(spark, d).select("item_id", "lang", F.posexplode(V.window_ids(F.col("ids"), 510, 1, 2)).alias("i", "w"))
+    return cut.select("item_id", "lang", (F.col("i") + 1).alias("window_no"), F.array_join(F.col("w").cast("array<string>"), " ").alias("ids"))
+
+
+@query
+def subword_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of a public tokenizer in windows of 510; there is no SQL for it."""
+
+    def encoder() -> Callable[[str], list[int]]:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(PUBLIC_VOCABULARY)
+        return lambda s: t.encode(s, add_special_tokens=False).ids
+
+    ids = analyze.subword_ids(_documents(spark, d), "doc_id", "text", encoder)
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), F.size(V.window_ids(F.col("ids"), 510, 50256, 50256)).alias("n_windows"))
+
+
+# ---- indexes
+
+
+@query
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return I.vocabulary(_docs(spark, d))
+
+
+@query
+def term_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return I.postings(_docs(spark, d))
+
+
+@query
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return I.document_frequency(I.postings(_docs(spark, d)))
+
+
+@query
+def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _r(I.corpus_stats(_docs(spark, d)), "avgdl")
+
+
+@query
+def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return _r(I.bm25_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs)), "idf").select("lang", "term", "df", "idf")
+
+
+@query
+def bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    return _r(I.bm25_index(_docs(spark, d)), "weight")
+
+
+@query
+def bm25_index_tuned(spark: SparkSession, d: str) -> DataFrame:
+    return _r(I.bm25_index(_docs(spark, d), tuned=I.TUNED), "weight")
+
+
+@query
+def tfidf_idf(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return _r(I.tfidf_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs)), "idf").select("lang", "term", "df", "idf")
+
+
+@query
+def tfidf_tf_norm(spark: SparkSession, d: str) -> DataFrame:
+    return _r(I.pivoted_tf(_docs(spark, d)), "norm_tf")
+
+
+@query
+def tfidf_index(spark: SparkSession, d: str) -> DataFrame:
+    return _r(I.tfidf_index(_docs(spark, d)), "weight")
+
+
+@query
+def df_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    counted = I.tfidf_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs))
+    return I.df_filter(counted, 3, 0.5).select("lang", "term", "df")
+
+
+# ---- sparse retrieval
+
+
+def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _docs(spark, d)
+    queries = _known_items(docs)
+    return docs, queries, search.scores(I.bm25_index(docs), queries)
+
+
+def _tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    idf = I.tfidf_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs))
+    return search.tfidf_scores(I.tfidf_index(docs), idf, queries)
+
+
+@query
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d)[2]
+
+
+@query
+def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(_bm25(spark, d)[2], 10)
+
+
+@query
+def bm25_top_k_padded(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, scored = _bm25(spark, d)
+    return search.match(scored, queries, docs)
+
+
+@query
+def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
+    """The tuned index is written, read again and searched."""
+    docs = _docs(spark, d)
+    stage = Stage(spark, "index")
+    io.save_index(I.bm25_index(docs, tuned=I.TUNED), I.corpus_stats(docs), stage.path)
+    index, _ = io.load_index(spark, stage.path)
+    queries = _known_items(docs)
+    return search.match(search.scores(index, queries), queries, docs)
+
+
+@query
+def bm25_match_and_eval(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, scored = _bm25(spark, d)
+    return E.pessimistic_ranks(scored, _relevant(queries), I.corpus_stats(docs))
+
+
+@query
+def tfidf_top_k(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    queries = _known_items(docs)
+    return search.match(_tfidf(docs, queries), queries, docs)
+
+
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs, queries, scored = _bm25(spark, d)
+    return queries, search.fuse(search.match(scored, queries, docs), search.match(_tfidf(docs, queries), queries, docs))
+
+
+@query
+def fused_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d)[1]
+
+
+@query
+def hit_list(spark: SparkSession, d: str) -> DataFrame:
+    return search.hit_list(bm25_top_k_padded(spark, d)).withColumn("docids", F.array_join("docids", " "))
+
+
+@query
+def scatter_results(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, scored = _bm25(spark, d)
+    hits = search.hit_list(search.match(scored, queries, docs)).withColumn("docids", F.array_join("docids", " "))
+    return search.scatter(queries.select("query_id", "lang", F.size("terms").cast("long").alias("n_terms")), hits)
+
+
+@query
+def passage_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every question of dev against the documents of corpus_df with the same label."""
+    docs, queries = _corpus(spark, d), _questions(spark, d)
+    return search.match(search.scores(I.bm25_index(docs), queries), queries, docs)
+
+
+@query
+def stream_passage_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the questions arriving as a stream against a stored index."""
+    docs, stage = _corpus(spark, d), Stage(spark, "stream")
+    index = stage.write(I.bm25_index(docs), "index")
+    ids = stage.write(docs.select("lang", "doc_id"), "ids")
+    arriving = stage.write(_questions(spark, d), "questions")
+    stream = spark.readStream.schema(arriving.schema).parquet(f"{stage.path}/questions")
+    answer_stream(stream, index, ids, lambda df, epoch: df.write.mode("overwrite").parquet(f"{stage.path}/answers/epoch={epoch}"), checkpoint=f"{stage.path}/state").awaitTermination()
+    return spark.read.parquet(f"{stage.path}/answers").drop("epoch")
+
+
+# ---- evaluation
+
+
+@query
+def accuracy_bm25(spark: SparkSession, d: str) -> DataFrame:
+    docs, queries, scored = _bm25(spark, d)
+    return _r(E.accuracy(search.match(scored, queries, docs), _relevant(queries), "lang"), "accuracy")
+
+
+@query
+def accuracy_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    queries = _known_items(docs)
+    return _r(E.accuracy(search.match(_tfidf(docs, queries), queries, docs), _relevant(queries), "lang"), "accuracy")
+
+
+@query
+def accuracy_fused(spark: SparkSession, d: str) -> DataFrame:
+    queries, ranked = _fused(spark, d)
+    return _r(E.accuracy(ranked, _relevant(queries), "lang"), "accuracy")
+
+
+@query
+def accuracy_corpus(spark: SparkSession, d: str) -> DataFrame:
+    relevant = _questions(spark, d).select("query_id", "lang", F.col("positive_docs").alias("doc_id"))
+    return _r(E.accuracy(passage_search(spark, d), relevant), "accuracy")
+
+
+@query
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return _r(E.recall_at_k(bm25_match_and_eval(spark, d), 10, "lang"), "recall")
+
+
+@query
+def bm25_grid(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    queries = _known_items(docs)
+    return _r(E.bm25_grid(docs, queries, _relevant(queries), (1.2, 1.5, 2.0), (0.0, 0.75, 1.0)), "recall")
+
+
+@query
+def best_params(spark: SparkSession, d: str) -> DataFrame:
+    return E.best_parameters(bm25_grid(spark, d))
+
+
+# ---- sources, shards, reshaping
+
+
+@query
+def language_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+
+
+@query
+def split_floor(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", "lang", io.floor_split(4).alias("shard"))
+
+
+@query
+def split_ceil(spark: SparkSession, d: str) -> DataFrame:
+    return io.ceil_split(table(spark, d, "documents").select("doc_id"))
+
+
+@query
+def merge_shards(spark: SparkSession, d: str) -> DataFrame:
+    return io.union_shards(*[table(spark, d, t).select("query_id", "lang") for t in ("train", "dev", "test")])
+
+
+@query
+def merge_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "corpus_df").select("docid", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "loaded_at")
+    return io.last_wins(rows, "docid", "loaded_at").drop("loaded_at")
+
+
+@query
+def flatten_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _usable(table(spark, d, "doc_embeds"), "embeds").select("docid", "lang", F.size("embeds").cast("long").alias("width")).distinct()
+
+
+def _train_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "train").select("query_id", "lang", "positive_docs", "negative_docs").distinct()
+
+
+@query
+def parse_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return _train_rows(spark, d).select("query_id", F.explode(X.parse_list(F.col("negative_docs"))).alias("doc_id"))
+
+
+@query
+def training_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return train.training_pairs(_train_rows(spark, d))
+
+
+@query
+def upsample_balance(spark: SparkSession, d: str) -> DataFrame:
+    return train.upsample(_documents(spark, d).select("doc_id", "lang"), row_id="doc_id")
+
+
+# ---- vectors and dense retrieval
+
+
+def _usable(df: DataFrame, vector: str, width: int = 64) -> DataFrame:
+    v = F.col(vector)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return df.where(v.isNotNull() & (F.size(v) == width)).where(~bad).where(F.exists(v, lambda x: x != 0))
+
+
+def _once(spark: SparkSession, d: str, name: str, vector: str) -> DataFrame:
+    return _usable(table(spark, d, name), vector).select("docid", F.col(vector).cast("array<double>").alias(vector)).distinct()
+
+
+@query
+def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
+    unit = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("i", "x"))
+    return _r(unit, "x")
+
+
+@query
+def inner_product(spark: SparkSession, d: str) -> DataFrame:
+    both = _once(spark, d, "doc_embeds", "embeds").join(_once(spark, d, "doc_encodes", "encode"), "docid")
+    return both.select("docid", F.round(V.inner_product(F.col("embeds"), F.col("encode")), 5).alias("product"))
+
+
+@query
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    both = _once(spark, d, "doc_embeds", "embeds").join(_once(spark, d, "doc_encodes", "encode"), "docid")
+    return both.select("docid", F.round(V.cosine(F.col("embeds"), F.col("encode")), 6).alias("cosine"))
+
+
+@query
+def masked_mean_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Eight positions of eight numbers each; a vector's number modulo 8 tells how many positions count."""
+    positions = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice("embedding", p * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.when(p <= F.col("vec_id") % 8, 1.0).otherwise(0.0))
+    pooled = table(spark, d, "embeddings").select("vec_id", positions.alias("v"), mask.alias("m"))
+    return _r(pooled.select("vec_id", F.posexplode(V.masked_mean(F.col("v"), F.col("m"))).alias("i", "x")), "x")
+
+
+@query
+def first_position(spark: SparkSession, d: str) -> DataFrame:
+    positions = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda p: F.slice("embedding", p * 8 + 1, 8))
+    first = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.first_vector(positions)).alias("i", "x"))
+    return first.withColumn("x", F.round(F.col("x").cast("double"), 6))
+
+
+@query
+def doc_mean_vector(spark: SparkSession, d: str) -> DataFrame:
+    windows = table(spark, d, "embeddings").select(F.expr("vec_id div 4").alias("doc_id"), "embedding")
+    return _r(dense.mean_windows(windows, "doc_id", "embedding").select("doc_id", F.posexplode("embedding").alias("i", "x")), "x")
+
+
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("lang"), F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return dense.top_k(asked, rows.withColumnRenamed("vec_id", "doc_id"), k)
+
+
+@query
+def dense_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d, 10)
+
+
+def _chunked(spark: SparkSession, d: str, how: str) -> DataFrame:
+    return dense.chunk_scores(_dense(spark, d, 100).withColumn("doc_id", F.expr("doc_id div 4")), how)
+
+
+@query
+def chunk_to_doc_mean(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, "mean")
+
+
+@query
+def chunk_to_doc_sum(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, "sum")
+
+
+@query
+def chunk_to_doc_max(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, "max")
+
+
+@query
+def hash_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search by random signs; there is no SQL for it."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return dense.hash_neighbours(rows, rows.where("id % 20 = 0"), 10, 64)
+
+
+@query
+def encode_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document vector through an encoder with seeded weights; there is no SQL for it."""
+    rows = table(spark, d, "doc_embeds").select("docid", "embeds").distinct()
+    return dense.encode(rows, dense.Encoder.seeded(64, 256, 1), "embeds").where("encode is not null").select("docid", F.posexplode("encode").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
+
+
+# ---- training
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of train whose query stands for by its positive document's vector, and whose document has an encoding."""
+    pairs = train.training_pairs(_train_rows(spark, d))
+    asked = pairs.where("is_positive").select("query_id", F.col("doc_id").alias("docid")).join(_once(spark, d, "doc_embeds", "embeds"), "docid").select("query_id", F.col("embeds").alias("vector"))
+    documents = _once(spark, d, "doc_encodes", "encode").select(F.col("docid").alias("doc_id"), F.col("encode").alias("vector"))
+    return train.with_vectors(pairs, asked, documents)
+
+
+@query
+def nll_loss(spark: SparkSession, d: str) -> DataFrame:
+    scored = _pairs(spark, d).select("query_id", "is_positive", V.cosine(F.col("qv"), F.col("dv")).alias("cosine"))
+    return _r(train.contrastive_loss(scored), "loss")
+
+
+@query
+def mean_nll_loss(spark: SparkSession, d: str) -> DataFrame:
+    scored = _pairs(spark, d).select("query_id", "is_positive", V.cosine(F.col("qv"), F.col("dv")).alias("cosine"))
+    return train.contrastive_loss(scored).agg(F.count("*").alias("n_queries"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query
+def train_encoders(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of two epochs over all pairs; there is no SQL for it."""
+    _, history = train.train(_pairs(spark, d), 64, hidden=64, epochs=2, rate=1e-3, steps=2)
+    return spark.createDataFrame(history, "epoch int, train_loss double, val_loss double")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: SQL[name] for name in _ALL if name in SQL}
