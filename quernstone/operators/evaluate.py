@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,16 +25,18 @@ def accuracy(ranked: DataFrame, relevant: DataFrame, *by: str) -> DataFrame:
     return (each.groupBy(*by) if by else each.groupBy()).agg(F.count("*").alias("n_queries"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
 
 
-def pessimistic_ranks(scored: DataFrame, relevant: DataFrame, stats: DataFrame, *keys: str) -> DataFrame:
-    """Documents that score at least as much as the relevant one; all of the language if it doesn't score.
+def pessimistic_ranks(scored: DataFrame, relevant: DataFrame, stats: DataFrame, score: tuple[str, ...] = ("score",)) -> DataFrame:
+    """``query_id, lang``, and for each column of ``score`` its target score and its rank, named ``<score>_rank``.
 
-    ``keys`` name further columns of both inputs that tell runs apart, such as parameters.
+    The rank is the number of documents that score at least as much as the relevant one;
+    all of the language if that doesn't score. Several scores share one pass.
     """
-    by = [*keys, "query_id"]
-    target = relevant.join(scored.drop("lang"), [*by, "doc_id"], "left").select(*by, "lang", F.coalesce("score", F.lit(0.0)).alias("target"))
-    above = scored.drop("lang").join(target.where("target > 0").select(*by, "target"), by).where(F.col("score") >= F.col("target")).groupBy(*by).agg(F.count("*").alias("n"))
-    ranks = target.join(above, by, "left").join(F.broadcast(stats.limit(10_000)), "lang")
-    return ranks.select(*by, "lang", F.col("target").alias("score"), F.coalesce(F.col("n"), F.col("n_docs")).alias("rank"))
+    wanted = [F.coalesce(c, F.lit(0.0)).alias(f"t_{c}") for c in score]
+    target = relevant.join(scored.drop("lang"), ["query_id", "doc_id"], "left").select("query_id", "lang", *wanted)
+    met = scored.drop("lang").join(target.drop("lang"), "query_id")
+    above = met.groupBy("query_id").agg(*[F.count(F.when((F.col(f"t_{c}") > 0) & (F.col(c) >= F.col(f"t_{c}")), 1)).alias(f"n_{c}") for c in score])
+    ranks = target.join(above, "query_id", "left").join(F.broadcast(stats.limit(10_000)), "lang")
+    return ranks.select("query_id", "lang", *[F.col(f"t_{c}").alias(c) for c in score], *[F.when(F.col(f"t_{c}") > 0, F.col(f"n_{c}")).otherwise(F.col("n_docs")).alias(f"{c}_rank") for c in score])
 
 
 def recall_at_k(ranks: DataFrame, k: int, *by: str) -> DataFrame:
@@ -42,21 +44,20 @@ def recall_at_k(ranks: DataFrame, k: int, *by: str) -> DataFrame:
     return ranks.groupBy(*by).agg(F.avg((F.col("rank") <= k).cast("double")).alias("recall")).withColumn("k", F.lit(k))
 
 
-def grid(k1s: tuple[float, ...], bs: tuple[float, ...]) -> Column:
-    """An array of ``(grid_pos, k1, b)``, in the order k1 by k1."""
+def bm25_grid(tf: DataFrame, stats: DataFrame, queries: DataFrame, relevant: DataFrame, k1s: tuple[float, ...] = K1_GRID, bs: tuple[float, ...] = B_GRID, k: int = 10) -> DataFrame:
+    """``lang, grid_pos, k1, b, recall, k``, the grid in the order k1 by k1.
+
+    Postings are counted once; those that a query meets are weighted at all points in one
+    pass, a column a point, so rows aren't multiplied.
+    """
     points = [(k1, b) for k1 in k1s for b in bs]
-    return F.array(*[F.struct(F.lit(i).alias("grid_pos"), F.lit(k1).alias("k1"), F.lit(b).alias("b")) for i, (k1, b) in enumerate(points)])
-
-
-def bm25_grid(docs: DataFrame, queries: DataFrame, relevant: DataFrame, k1s: tuple[float, ...] = K1_GRID, bs: tuple[float, ...] = B_GRID, k: int = 10) -> DataFrame:
-    """``lang, grid_pos, k1, b, recall, k``: the index is counted once, and only postings that a query meets are weighted at each point."""
-    met = I.with_idf(I.postings(docs), docs).join(query_terms(queries), ["lang", "term"])
-    each = met.select("query_id", "lang", "doc_id", "qtf", "tf", "dl", "avgdl", "idf", F.explode(grid(k1s, bs)).alias("p")).select("*", "p.*").drop("p")
-    weight = I.bm25_weight(F.col("k1"), F.col("b"))
-    scored = each.groupBy("grid_pos", "k1", "b", "query_id", "lang", "doc_id").agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
-    runs = relevant.withColumn("p", F.explode(grid(k1s, bs))).select("*", "p.*").drop("p")
-    ranks = pessimistic_ranks(scored, runs, I.corpus_stats(docs), "grid_pos", "k1", "b")
-    return recall_at_k(ranks, k, "lang", "grid_pos", "k1", "b")
+    met = I.with_idf(tf, stats).join(query_terms(queries), ["lang", "term"])
+    names = tuple(f"s{i}" for i in range(len(points)))
+    sums = [F.round(F.sum(F.col("qtf") * I.bm25_weight(k1, b)), DIGITS).alias(n) for n, (k1, b) in zip(names, points, strict=True)]
+    scored = met.groupBy("query_id", "lang", "doc_id").agg(*sums)
+    ranks = pessimistic_ranks(scored, relevant, stats, names)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("grid_pos"), F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.col(f"s{i}_rank").alias("rank")) for i, (k1, b) in enumerate(points)]))
+    return recall_at_k(ranks.select("lang", each.alias("p")).select("lang", "p.*"), k, "lang", "grid_pos", "k1", "b")
 
 
 def best_parameters(tuned: DataFrame) -> DataFrame:

@@ -23,11 +23,10 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """How often each term occurs in each document.
 
-    The documents are spread by id before their words are exploded: that moves each text
-    once, and the count needs no further exchange.
+    If ``docs`` are hash-partitioned by ``doc_id`` before their words are exploded, the
+    count needs no exchange: each text moves once, instead of its words.
     """
-    spread = docs.select("lang", "doc_id", "tokens").repartition("doc_id")
-    words = spread.select("lang", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    words = docs.select("lang", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     return words.groupBy("lang", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -41,6 +40,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
 
 
+def stats_of(documents: DataFrame, tf: DataFrame) -> DataFrame:
+    """The same from ``lang`` of all documents and the postings, without reading a text again."""
+    n = documents.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    total = tf.groupBy("lang").agg(F.sum("tf").alias("total"))
+    return n.join(total, "lang", "left").select("lang", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
+
+
 def document_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "doc_id", F.size("tokens").cast("long").alias("dl"))
 
@@ -56,9 +62,12 @@ def bm25_weight(k1: Column | float, b: Column | float) -> Column:
     return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
-def with_idf(tf: DataFrame, docs: DataFrame) -> DataFrame:
-    """Postings with ``df, n_docs, avgdl, idf``; the adaptive plan splits the commonest terms' partitions."""
-    return tf.join(bm25_idf(document_frequency(tf), corpus_stats(docs)), ["lang", "term"])
+def with_idf(tf: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings with ``df, n_docs, avgdl, idf``; the adaptive plan splits the commonest terms' partitions.
+
+    ``tf`` is read twice: write it first where it isn't stored.
+    """
+    return tf.join(bm25_idf(document_frequency(tf), stats), ["lang", "term"])
 
 
 def per_language(default: float, chosen: dict[str, float]) -> Column:
@@ -68,11 +77,11 @@ def per_language(default: float, chosen: dict[str, float]) -> Column:
     return c
 
 
-def bm25_index(docs: DataFrame, k1: float = K1, b: float = B, tuned: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def bm25_index(tf: DataFrame, stats: DataFrame, k1: float = K1, b: float = B, tuned: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Weighted postings ``lang, doc_id, term, tf, weight``; ``tuned`` gives languages their own (k1, b)."""
     tuned = tuned or {}
     weight = bm25_weight(per_language(k1, {x: p[0] for x, p in tuned.items()}), per_language(b, {x: p[1] for x, p in tuned.items()}))
-    return with_idf(postings(docs), docs).select("lang", "doc_id", "term", "tf", weight.alias("weight"))
+    return with_idf(tf, stats).select("lang", "doc_id", "term", "tf", weight.alias("weight"))
 
 
 def tfidf_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -80,17 +89,17 @@ def tfidf_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats.limit(10_000)), "lang").withColumn("idf", F.log(F.col("n_docs") / F.col("df")))
 
 
-def tf_norms(docs: DataFrame) -> DataFrame:
+def tf_norms(documents: DataFrame, tf: DataFrame) -> DataFrame:
     """``lang, doc_id, norm``: root of the summed squares of a document's counts; 0 if it is empty."""
-    squares = postings(docs).groupBy("lang", "doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("s"))
-    return docs.select("lang", "doc_id").join(squares, ["lang", "doc_id"], "left").select("lang", "doc_id", F.sqrt(F.coalesce(F.col("s"), F.lit(0)).cast("double")).alias("norm"))
+    squares = tf.groupBy("lang", "doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("s"))
+    return documents.select("lang", "doc_id").join(squares, ["lang", "doc_id"], "left").select("lang", "doc_id", F.sqrt(F.coalesce(F.col("s"), F.lit(0)).cast("double")).alias("norm"))
 
 
-def pivoted_tf(docs: DataFrame) -> DataFrame:
+def pivoted_tf(documents: DataFrame, tf: DataFrame) -> DataFrame:
     """``lang, doc_id, term, tf, norm_tf``: counts over half the median norm and half the own norm."""
-    norms = tf_norms(docs)
+    norms = tf_norms(documents, tf)
     medians = norms.groupBy("lang").agg(F.median("norm").alias("median"))
-    joined = postings(docs).join(norms, ["lang", "doc_id"]).join(F.broadcast(medians.limit(10_000)), "lang")
+    joined = tf.join(norms, ["lang", "doc_id"]).join(F.broadcast(medians.limit(10_000)), "lang")
     return joined.select("lang", "doc_id", "term", "tf", (F.col("tf") / (0.5 * F.col("median") + 0.5 * F.col("norm"))).alias("norm_tf"))
 
 
@@ -105,12 +114,11 @@ def unit_weights(weighted: DataFrame, key: str) -> DataFrame:
     return weighted.withColumn("weight", F.when(length > 0, F.col("weight") / length).otherwise(F.lit(0.0)))
 
 
-def tfidf_index(docs: DataFrame) -> DataFrame:
+def tfidf_index(tf: DataFrame, stats: DataFrame) -> DataFrame:
     """Weighted postings at unit length: ``lang, doc_id, term, tf, weight``.
 
     Pivoted counts would be the same up to rounding, as their norm cancels out.
     """
-    tf = postings(docs)
-    idf = tfidf_idf(document_frequency(tf), corpus_stats(docs)).select("lang", "term", "idf")
+    idf = tfidf_idf(document_frequency(tf), stats).select("lang", "term", "idf")
     weighted = tf.join(idf, ["lang", "term"]).select("lang", "doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
     return unit_weights(weighted, "doc_id")

@@ -37,14 +37,26 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.tokenize(_documents(spark, d)).select("doc_id", "lang", "tokens")
+    return analyze.tokenize(_documents(spark, d).repartition("doc_id")).select("doc_id", "lang", "tokens")
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "corpus_df").select(F.col("docid").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    once = table(spark, d, "corpus_df").select(F.col("docid").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").distinct()
     return analyze.tokenize(once, analyzers={}).select("doc_id", "lang", "tokens")
 
 
+def _counted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings, written once as they are read several times, and statistics; ``ids`` has ``lang`` of all documents."""
+    tf = Stage(docs.sparkSession, "postings").write(I.postings(docs), "tf")
+    return tf, I.stats_of(ids, tf)
+
+
+def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``lang, doc_id`` of all documents, their postings and statistics."""
+    ids = _documents(spark, d).select("lang", "doc_id")
+    return ids, *_counted(_docs(spark, d), ids)
+
+
 def _known_items(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "lang", F.slice("tokens", 3, 6).alias("terms"))
 
@@ -157,100 +169,104 @@ def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return _r(I.bm25_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs)), "idf").select("lang", "term", "df", "idf")
+    _, tf, stats = _postings(spark, d)
+    return _r(I.bm25_idf(I.document_frequency(tf), stats), "idf").select("lang", "term", "df", "idf")
 
 
 @query
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    return _r(I.bm25_index(_docs(spark, d)), "weight")
+    return _r(I.bm25_index(*_postings(spark, d)[1:]), "weight")
 
 
 @query
 def bm25_index_tuned(spark: SparkSession, d: str) -> DataFrame:
-    return _r(I.bm25_index(_docs(spark, d), tuned=I.TUNED), "weight")
+    return _r(I.bm25_index(*_postings(spark, d)[1:], tuned=I.TUNED), "weight")
 
 
 @query
 def tfidf_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return _r(I.tfidf_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs)), "idf").select("lang", "term", "df", "idf")
+    _, tf, stats = _postings(spark, d)
+    return _r(I.tfidf_idf(I.document_frequency(tf), stats), "idf").select("lang", "term", "df", "idf")
 
 
 @query
 def tfidf_tf_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _r(I.pivoted_tf(_docs(spark, d)), "norm_tf")
+    return _r(I.pivoted_tf(*_postings(spark, d)[:2]), "norm_tf")
 
 
 @query
 def tfidf_index(spark: SparkSession, d: str) -> DataFrame:
-    return _r(I.tfidf_index(_docs(spark, d)), "weight")
+    return _r(I.tfidf_index(*_postings(spark, d)[1:]), "weight")
 
 
 @query
 def df_filter(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    counted = I.tfidf_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs))
+    _, tf, stats = _postings(spark, d)
+    counted = I.tfidf_idf(I.document_frequency(tf), stats)
     return I.df_filter(counted, 3, 0.5).select("lang", "term", "df")
 
 
 # ---- sparse retrieval
 
 
-def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = _docs(spark, d)
-    queries = _known_items(docs)
-    return docs, queries, search.scores(I.bm25_index(docs), queries)
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The known-item queries; only their own documents are split into words."""
+    return _known_items(analyze.tokenize(_documents(spark, d).where(F.col("doc_id") % 20 == 0)))
+
+
+def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``lang, doc_id`` of all documents, statistics, queries and scores."""
+    (ids, tf, stats), queries = _postings(spark, d), _asked(spark, d)
+    return ids, stats, queries, search.scores(I.bm25_index(tf, stats), queries)
 
 
-def _tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    idf = I.tfidf_idf(I.document_frequency(I.postings(docs)), I.corpus_stats(docs))
-    return search.tfidf_scores(I.tfidf_index(docs), idf, queries)
+def _tfidf(tf: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    return search.tfidf_scores(I.tfidf_index(tf, stats), I.tfidf_idf(I.document_frequency(tf), stats), queries)
 
 
 @query
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d)[2]
+    return _bm25(spark, d)[3]
 
 
 @query
 def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_bm25(spark, d)[2], 10)
+    return search.top_k(_bm25(spark, d)[3], 10)
 
 
 @query
 def bm25_top_k_padded(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, scored = _bm25(spark, d)
-    return search.match(scored, queries, docs)
+    ids, _, queries, scored = _bm25(spark, d)
+    return search.match(scored, queries, ids)
 
 
 @query
 def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
     """The tuned index is written, read again and searched."""
-    docs = _docs(spark, d)
+    ids, tf, stats = _postings(spark, d)
     stage = Stage(spark, "index")
-    io.save_index(I.bm25_index(docs, tuned=I.TUNED), I.corpus_stats(docs), stage.path)
+    io.save_index(I.bm25_index(tf, stats, tuned=I.TUNED), stats, stage.path)
     index, _ = io.load_index(spark, stage.path)
-    queries = _known_items(docs)
-    return search.match(search.scores(index, queries), queries, docs)
+    queries = _asked(spark, d)
+    return search.match(search.scores(index, queries), queries, ids)
 
 
 @query
 def bm25_match_and_eval(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, scored = _bm25(spark, d)
-    return E.pessimistic_ranks(scored, _relevant(queries), I.corpus_stats(docs))
+    _, stats, queries, scored = _bm25(spark, d)
+    return E.pessimistic_ranks(scored, _relevant(queries), stats).withColumnRenamed("score_rank", "rank")
 
 
 @query
 def tfidf_top_k(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    queries = _known_items(docs)
-    return search.match(_tfidf(docs, queries), queries, docs)
+    (ids, tf, stats), queries = _postings(spark, d), _asked(spark, d)
+    return search.match(_tfidf(tf, stats, queries), queries, ids)
 
 
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs, queries, scored = _bm25(spark, d)
-    return queries, search.fuse(search.match(scored, queries, docs), search.match(_tfidf(docs, queries), queries, docs))
+    (ids, tf, stats), queries = _postings(spark, d), _asked(spark, d)
+    sparse = search.match(search.scores(I.bm25_index(tf, stats), queries), queries, ids)
+    return queries, search.fuse(sparse, search.match(_tfidf(tf, stats, queries), queries, ids))
 
 
 @query
@@ -265,8 +281,8 @@ def hit_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scatter_results(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, scored = _bm25(spark, d)
-    hits = search.hit_list(search.match(scored, queries, docs)).withColumn("docids", F.array_join("docids", " "))
+    ids, _, queries, scored = _bm25(spark, d)
+    hits = search.hit_list(search.match(scored, queries, ids)).withColumn("docids", F.array_join("docids", " "))
     return search.scatter(queries.select("query_id", "lang", F.size("terms").cast("long").alias("n_terms")), hits)
 
 
@@ -274,15 +290,16 @@ def scatter_results(spark: SparkSession, d: str) -> DataFrame:
 def passage_search(spark: SparkSession, d: str) -> DataFrame:
     """Every question of dev against the documents of corpus_df with the same label."""
     docs, queries = _corpus(spark, d), _questions(spark, d)
-    return search.match(search.scores(I.bm25_index(docs), queries), queries, docs)
+    ids = docs.select("lang", "doc_id")
+    return search.match(search.scores(I.bm25_index(*_counted(docs, ids)), queries), queries, ids)
 
 
 @query
 def stream_passage_search(spark: SparkSession, d: str) -> DataFrame:
     """The same with the questions arriving as a stream against a stored index."""
     docs, stage = _corpus(spark, d), Stage(spark, "stream")
-    index = stage.write(I.bm25_index(docs), "index")
     ids = stage.write(docs.select("lang", "doc_id"), "ids")
+    index = stage.write(I.bm25_index(*_counted(docs, ids)), "index")
     arriving = stage.write(_questions(spark, d), "questions")
     stream = spark.readStream.schema(arriving.schema).parquet(f"{stage.path}/questions")
     answer_stream(stream, index, ids, lambda df, epoch: df.write.mode("overwrite").parquet(f"{stage.path}/answers/epoch={epoch}"), checkpoint=f"{stage.path}/state").awaitTermination()
@@ -294,15 +311,13 @@ def stream_passage_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def accuracy_bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs, queries, scored = _bm25(spark, d)
-    return _r(E.accuracy(search.match(scored, queries, docs), _relevant(queries), "lang"), "accuracy")
+    ids, _, queries, scored = _bm25(spark, d)
+    return _r(E.accuracy(search.match(scored, queries, ids), _relevant(queries), "lang"), "accuracy")
 
 
 @query
 def accuracy_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    queries = _known_items(docs)
-    return _r(E.accuracy(search.match(_tfidf(docs, queries), queries, docs), _relevant(queries), "lang"), "accuracy")
+    return _r(E.accuracy(tfidf_top_k(spark, d), _relevant(_asked(spark, d)), "lang"), "accuracy")
 
 
 @query
@@ -324,9 +339,8 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_grid(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    queries = _known_items(docs)
-    return _r(E.bm25_grid(docs, queries, _relevant(queries), (1.2, 1.5, 2.0), (0.0, 0.75, 1.0)), "recall")
+    (_, tf, stats), queries = _postings(spark, d), _asked(spark, d)
+    return _r(E.bm25_grid(tf, stats, queries, _relevant(queries), (1.2, 1.5, 2.0), (0.0, 0.75, 1.0)), "recall")
 
 
 @query
