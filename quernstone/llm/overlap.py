@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.plans.staging import Stage
+from quernstone.plans.staging import Stage, spread
 
 BANDS, ROWS = 16, 4
 MIN_JACCARD = 0.5
@@ -204,10 +204,10 @@ def same_questions(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame,
     spark = train.sparkSession
     stage = Stage(spark, "overlap")
     every = train.select("query_id", F.lit("train").alias("split"), "source", "query").unionByName(evaluation.select("query_id", "split", "source", "query"))
-    members = stage.write(every.mapInArrow(_bags, "query_id long, split string, source string, class binary, words string"), "members")
+    members = stage.write(spread(every).mapInArrow(_bags, "query_id long, split string, source string, class binary, words string"), "members")
     classes = members.groupBy("class").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"), F.first("words").alias("words"))
     classes = stage.write(classes, "classes")
-    banded = stage.write(classes.mapInArrow(_band, "class binary, in_train boolean, in_eval boolean, buckets array<long>"), "bands")
+    banded = stage.write(spread(classes).mapInArrow(_band, "class binary, in_train boolean, in_eval boolean, buckets array<long>"), "bands")
     left = banded.where("in_train").select(F.col("class").alias("train_class"), F.explode("buckets").alias("bucket"))
     right = banded.where("in_eval").select(F.col("class").alias("eval_class"), F.explode("buckets").alias("bucket"))
     met = left.join(right, "bucket").where("train_class <> eval_class").select("train_class", "eval_class").distinct()

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.plans.staging import spread
+
 FUNCTION_WORDS = 100  # commonest words of a language by documents
 SENTENCE_WORDS = 7  # a stretch with fewer words and no sentence's end is an item
 FIELDS = 3  # a row has so many fields at least
@@ -55,11 +57,9 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum((a + b) / 2, 0)
 
 
-def char_classes(text: str) -> np.ndarray:
-    """Counts of CLASSES."""
-    if not text:
-        return np.zeros(len(CLASSES))
-    kinds = Counter(text)
+def char_classes(text: str | Counter) -> np.ndarray:
+    """Counts of CLASSES in a text, or in counted characters."""
+    kinds = text if isinstance(text, Counter) else Counter(text)
     out = [0] * len(CLASSES)
     for c, n in kinds.items():
         if c == "\n":
@@ -91,24 +91,51 @@ class Profiles:
         self.classes = {lang: classes[lang] / max(1, classes[lang].sum()) for lang in self.langs}
         self.known = known
 
-    def nearest(self, words: Counter, classes: np.ndarray) -> tuple[str | None, float, float]:
-        """The nearest language and the divergences of its function words and classes of characters.
+    def nearest(self, words: list[Counter], classes: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Of each text the nearest language and the divergences of its function words and classes of characters.
 
-        The function words are compared with a further word, "any other", left out.
+        Only a language's function words are compared; a text without any is at distance 1.
         """
-        best: tuple[str | None, float, float] = (None, 1.0, 1.0)
-        share = classes / max(1, classes.sum())
-        for lang in self.langs:
-            index, x = self.index[lang], np.zeros(len(self.freq[lang]))
-            for w, n in words.items():
-                if w in index:
-                    x[index[w]] += n
-            total = x.sum()
-            d = float(divergence(x / total, self.freq[lang])) if total else 1.0
-            e = float(divergence(share, self.classes[lang]))
-            if best[0] is None or d + e < best[1] + best[2]:
-                best = (lang, d, e)
-        return best
+        n = len(words)
+        if not self.langs:
+            return [None] * n, np.ones(n), np.ones(n)
+        place = {}
+        for j, lang in enumerate(self.langs):
+            for w, i in self.index[lang].items():
+                place.setdefault(w, []).append((j, i))
+        hits: list[list[list[int]]] = [[[], [], []] for _ in self.langs]
+        for r, counted in enumerate(words):
+            for w in counted.keys() & place.keys():
+                for j, i in place[w]:
+                    hits[j][0].append(r)
+                    hits[j][1].append(i)
+                    hits[j][2].append(counted[w])
+        share = classes / np.maximum(classes.sum(1, keepdims=True), 1)
+        d, e = np.ones((n, len(self.langs))), np.ones((n, len(self.langs)))
+        for j, lang in enumerate(self.langs):
+            x = np.zeros((n, len(self.freq[lang])))
+            x[hits[j][0], hits[j][1]] = hits[j][2]
+            total = x.sum(1, keepdims=True)
+            d[:, j] = np.where(total[:, 0] > 0, divergence(x / np.maximum(total, 1), self.freq[lang]), 1.0)
+            e[:, j] = divergence(share, self.classes[lang])
+        best = (d + e).argmin(1)
+        rows = np.arange(n)
+        return [self.langs[j] for j in best], d[rows, best], e[rows, best]
+
+
+def _class_counts(labelled: DataFrame) -> DataFrame:
+    """``_lang, x``: characters of each of CLASSES over all texts of a language, summed in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, Counter] = {}
+        for b in batches:
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.setdefault(lang, Counter()).update(t)
+        found = {lang: char_classes(c) for lang, c in total.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([lang for lang in found for _ in CLASSES], pa.string()), pa.array([i for _ in found for i in range(len(CLASSES))], pa.int32()), pa.array([float(v) for x in found.values() for v in x], pa.float64())], names=["_lang", "i", "n"])
+
+    each = labelled.select("_lang", "_text").mapInArrow(run, "_lang string, i int, n double").groupBy("_lang", "i").agg(F.sum("n").alias("n"))
+    return each.groupBy("_lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda s: s["n"]).alias("x"))
 
 
 def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", known_share: float = 0.002, known_least: int = 3) -> Profiles:
@@ -117,7 +144,7 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
     A word is known if ``known_share`` of its language's documents have it, and
     ``known_least`` at least; only the 20,000 commonest of a language are kept.
     """
-    labelled = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    labelled = spread(documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text")))
     words = labelled.select("_lang", F.array_distinct(F.split(F.lower("_text"), r"(?U)[^\p{L}]+")).alias("_w"))
     sizes = labelled.groupBy("_lang").agg(F.count("*").alias("_docs"))
     counts = words.select("_lang", F.explode("_w").alias("_word")).where("_word <> ''").groupBy("_lang", "_word").agg(F.count("*").alias("_n")).where(F.col("_n") >= known_least)
@@ -130,11 +157,7 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
         known.add(r["_word"])
         if r["_rank"] <= FUNCTION_WORDS:
             each.setdefault(r["_lang"], {})[r["_word"]] = float(r["_n"])
-    lengths = labelled.groupBy("_lang").agg(*[F.sum(F.length(F.regexp_replace("_text", f"(?U){keep}", "")).cast("double")).alias(f"c{i}") for i, keep in enumerate((r"[^\p{Ll}]", r"[^\p{Lu}]", r"[^\p{Lo}\p{Lm}]", r"[^\p{Nd}]", r"[^\p{Z}\t]", r"[^\n]", r"[^.!?…؟。]", "[^|;,،؛:\\-•'’«»\"()]"))], F.sum(F.length("_text").cast("double")).alias("all"))
-    classes = {}
-    for r in lengths.collect():
-        got = [r[f"c{i}"] or 0.0 for i in range(8)]
-        classes[r["_lang"]] = np.array([*got, max(0.0, (r["all"] or 0.0) - sum(got))])
+    classes = {r["_lang"]: np.array(r["x"]) for r in _class_counts(labelled).collect()}  # one row a language
     return Profiles({k: {w: n / sum(v.values()) for w, n in v.items()} for k, v in each.items()}, {k: classes[k] for k in each}, known)
 
 
@@ -250,27 +273,35 @@ def statistics(documents: DataFrame, profiles: Profiles, doc_id: str = "doc_id",
     kinds, prototypes = list(STRUCTURES), np.array(list(STRUCTURES.values()))
     common = {w for lang in profiles.langs for w in profiles.words[lang]}
 
-    def one(t: str | None, p: Profiles) -> tuple:
-        if t is None or not t.strip():
-            return (0, None, None, None, None, None, None, None, None, None, None, None, None)
-        spread, words = structure(t, p.known)
-        classes = char_classes(t)
-        lang, d, e = p.nearest(Counter(words), classes)
-        lines = [x for x in t.split("\n") if x.strip()]
-        total = sum(spread.values())
-        share = np.array([spread[k] for k in ("sentence", "item", "field", "noise")]) / total if total else np.array([0, 0, 0, 1.0])
-        kind = kinds[int(divergence(share[None, :], prototypes).argmin())]
-        solid = classes.sum() - classes[4] - classes[5]
-        n = len(words)
-        return (n, sum(map(len, words)) / n if n else None, float(classes[6:].sum() / solid) if solid else None, sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines), sum(w in common for w in words) / n if n else None, lang, d, e, *map(float, share), kind)
+    def numbers(texts: list[str], p: Profiles) -> list[tuple]:
+        read = [structure(t, p.known) for t in texts]
+        classes = np.array([char_classes(t) for t in texts]).reshape(-1, len(CLASSES))
+        langs, d, e = p.nearest([Counter(words) for _, words in read], classes)
+        spread_ = np.array([[s[k] for k in ("sentence", "item", "field", "noise")] for s, _ in read]).reshape(-1, 4)
+        total = spread_.sum(1, keepdims=True)
+        share = np.where(total > 0, spread_ / np.maximum(total, 1), [0, 0, 0, 1.0])
+        kind = divergence(share[:, None, :], prototypes[None]).argmin(1)
+        solid = classes.sum(1) - classes[:, 4] - classes[:, 5]
+        symbols = classes[:, 6:].sum(1)
+        out = []
+        for i, t in enumerate(texts):
+            words = read[i][1]
+            n, lines = len(words), [x for x in t.split("\n") if x.strip()]
+            out.append((n, sum(map(len, words)) / n if n else None, float(symbols[i] / solid[i]) if solid[i] else None, sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines), sum(w in common for w in words) / n if n else None, langs[i], float(d[i]), float(e[i]), *map(float, share[i]), kinds[kind[i]]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shipped.value
         for b in batches:
-            rows = [one(t, p) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            full = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            rows: list[tuple] = [(0, *[None] * 12)] * len(texts)
+            for at in range(0, len(full), 500):  # bounds the matrices of a step
+                for i, row in zip(full[at : at + 500], numbers([texts[i] for i in full[at : at + 500]], p), strict=True):
+                    rows[i] = row
             cols = list(zip(*rows, strict=True)) if rows else [()] * 13
             kinds_of = [pa.int64(), *[pa.float64()] * 4, pa.string(), *[pa.float64()] * 6, pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds_of, strict=True))], names=names)
 
     fields = ", ".join([f"`{doc_id}` {shape[0].dataType.simpleString()}", NEEDED])
-    return documents.select(doc_id, text).mapInArrow(run, fields)
+    return spread(documents.select(doc_id, text)).mapInArrow(run, fields)

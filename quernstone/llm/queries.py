@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from quernstone.llm import budget, langid, mixing, neighbours, overlap, packing, pieces, quality, sampling
 from quernstone.llm.labels import code_of
 from quernstone.llm.tokens import BytePairs, Pieces, count_tokens
+from quernstone.llm.queries_sql import SQL
+from quernstone.plans.staging import spread
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
@@ -184,20 +185,20 @@ def _sizes(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents larger than a container, which are split."""
-    packed = packing.pack(_sizes(table(spark, d, "documents")))
+    packed = packing.pack(_sizes(spread(table(spark, d, "documents").select("doc_id", "text"))))
     return packed.groupBy("doc_id").agg(F.countDistinct("container").alias("n")).where("n > 1").select("doc_id")
 
 
 @query
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document's container, or containers."""
-    return packing.pack(_sizes(table(spark, d, "documents")))
+    return packing.pack(_sizes(spread(table(spark, d, "documents").select("doc_id", "text"))))
 
 
 @query
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are."""
-    return packing.fill(packing.pack(_sizes(table(spark, d, "documents"))))
+    return packing.fill(packing.pack(_sizes(spread(table(spark, d, "documents").select("doc_id", "text")))))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -252,4 +253,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

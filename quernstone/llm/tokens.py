@@ -18,7 +18,8 @@ MOST_PIECES = 2_000_000
 MOST_KNOWN = 500_000  # chunks that a worker remembers before it starts afresh
 CHUNK_CHARS = 1 << 16
 
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
+# U+001C to U+001F are white space for this library, but not for the pattern's
+_CHUNK = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]")
 
 
 class Pieces:
