@@ -10,7 +10,6 @@ fields, in noise), and the structural profile nearest to that spread is its kind
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +26,10 @@ SENTENCE_WORDS = 7  # a stretch with fewer words and no sentence's end is an ite
 FIELDS = 3  # a row has so many fields at least
 WRAPPED_CHARS = 40  # a line that long without a sentence's end goes on in the next line, if that isn't an item
 LEAST_KNOWN = 0.2  # share of common words under which nothing in a text can be read
-MOST_SAME = 0.3  # share of one word, in a text of MANY_WORDS or more, above which it says the same over and over
-MANY_WORDS = 12
-PACKED = 14.0  # a text that zlib shrinks so many times repeats itself
+MANY_WORDS = 12  # in a text with as many words or more,
+FEW_WORDS = 5.0  # so few effective words (the exponential of their entropy) are the same over and over,
+FEW_SENTENCES = 0.1  # and so is such a share of different sentences among ten or more
+BROKEN = 0.03  # share of letters that are bytes of another encoding
 
 #: Shares of words in sentences, items, fields and noise.
 STRUCTURES = {"prose": (0.85, 0.08, 0.04, 0.03), "list": (0.10, 0.80, 0.05, 0.05), "table": (0.05, 0.15, 0.75, 0.05), "junk": (0.05, 0.05, 0.05, 0.85)}
@@ -45,6 +45,8 @@ _ROW_SEPARATORS = ("|", "\t", ";", ",", "،")
 _LEADER = re.compile(r"\.{3,}|_{3,}|…{2,}|(?:\. ){3,}")
 _NUMBER = re.compile(r"^[\W_]*\d[\d.,:/%\-\s]*[\W_]*$")
 _MARKUP = re.compile(r"&[#\w]+;|\{\{|\}\}|</?\w+>|\$\w+|%[sd]\b|\[object")
+_LOST = re.compile("[\x7f-\x9f\ufffd]")  # control characters and marks of lost ones
+_OTHER_BYTES = re.compile("[\xc2-\xd9][\x80-\xbf]")  # two bytes of UTF-8 that were read as two letters
 _HEX = re.compile(r"^[0-9a-f]{2,}$|^[0-9A-F]{2,}$")
 
 
@@ -234,7 +236,7 @@ def _noise(text: str, lower: str, words: list[str], chunks: list[str], known: se
     n = len(chunks)
     solid = sum(map(len, chunks))
     letters = sum(map(len, words))
-    if sum("\x7f" <= c <= "\x9f" or c == "�" for c in text) > 0.01 * solid:
+    if len(_LOST.findall(text)) > 0.01 * solid or 2 * len(_OTHER_BYTES.findall(text)) > BROKEN * solid:
         return True
     single = sum(len(c) == 1 and c.isalpha() for c in chunks)
     if n >= MANY_WORDS and single > 0.6 * n:
@@ -242,10 +244,11 @@ def _noise(text: str, lower: str, words: list[str], chunks: list[str], known: se
     if n >= 4 and sum(map(len, _MARKUP.findall(text))) > 0.15 * solid:
         return True
     if words and len(words) >= MANY_WORDS:
-        top, often = Counter(words).most_common(1)[0]
-        if often > MOST_SAME * len(words) or len(set(words)) <= 3:
+        often = np.array(list(Counter(words).values()), float) / len(words)
+        if np.exp(-(often * np.log(often)).sum()) <= FEW_WORDS:
             return True
-        if len(text) > 400 and len(text.encode()) / len(zlib.compress(text.encode(), 6)) > PACKED:
+        sentences = [x for line in text.split("\n") for x in _SENTENCE.split(line) if len(x) > 20]
+        if len(sentences) >= 10 and len(set(sentences)) <= FEW_SENTENCES * len(sentences):
             return True
     numeric = sum(bool(_NUMBER.match(c)) for c in chunks)
     coded = sum(bool(_HEX.match(c)) and not c.isalpha() for c in chunks)
