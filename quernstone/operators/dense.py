@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.functions.vectors import cosine
-
 DIGITS = 6
 BLOCK = 4096  # documents that are compared at once
-SPREAD = 16  # blocks of each language's documents that are searched in parallel
+ASKED = 20_000  # queries that a task holds, about
+SPREAD = 16  # parts of each language's documents that are searched in parallel, at least
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -127,21 +126,35 @@ def mean_windows(windows: DataFrame, doc_id: str, vector: str) -> DataFrame:
     return means.groupBy(doc_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(vector))
 
 
-def top_k(queries: DataFrame, documents: DataFrame, k: int = 10, spread: int = SPREAD) -> DataFrame:
+def top_k(queries: DataFrame, documents: DataFrame, k: int = 10, spread: int | None = None) -> DataFrame:
     """``query_id, lang, doc_id, score, rank``: the ``k`` documents of the query's language with the highest cosine.
 
     queries: ``query_id, lang, vector``; documents: ``doc_id, lang, vector``. Exact: the
     queries meet each of ``spread`` parts of their language's documents, a block at a
-    time, and each part sends its k best. Zero vectors score 0; null vectors, and those of
+    time, and each part sends its k best; many queries are split into rows of a grid. Zero vectors score 0; null vectors, and those of
     another width than a part's first, are left out.
     """
+    return _best(_search_parts(queries, documents, k, spread), k)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _search_parts(queries: DataFrame, documents: DataFrame, k: int, spread: int | None) -> DataFrame:
+    """The ``k`` best of every part: ``query_id, lang, doc_id, score``."""
+    spread = spread or max(SPREAD, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ids = documents.schema["doc_id"].dataType.simpleString()
     q_ids = queries.schema["query_id"].dataType.simpleString()
     lang = documents.schema["lang"].dataType.simpleString()
     parts = F.sequence(F.lit(0), F.lit(spread - 1))
-    asks = queries.where("vector is not null").select("lang", F.explode(parts).alias("part"), F.col("query_id"), F.lit(None).cast(ids).alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("kind"))
-    docs = documents.where("vector is not null").select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int").alias("part"), F.lit(None).cast(q_ids).alias("query_id"), "doc_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(1).alias("kind"))
-    mixed = asks.unionByName(docs).repartition("lang", "part").sortWithinPartitions("lang", "part", "kind")
+    asked = queries.where("vector is not null")
+    rows = max(1, -(-asked.count() // ASKED))  # of the grid; each holds at most about ASKED queries
+    row = F.sequence(F.lit(0), F.lit(rows - 1))
+    asks = asked.select("lang", F.explode(parts).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("row"), F.col("query_id"), F.lit(None).cast(ids).alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("kind"))
+    docs = documents.where("vector is not null").select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int").alias("part"), F.explode(row).alias("row"), F.lit(None).cast(q_ids).alias("query_id"), "doc_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(1).alias("kind"))
+    mixed = asks.unionByName(docs).repartition("lang", "part", "row").sortWithinPartitions("lang", "part", "row", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Queries of a part come before its documents."""
@@ -176,7 +189,7 @@ def top_k(queries: DataFrame, documents: DataFrame, k: int = 10, spread: int = S
                 best = all_.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
 
         for batch in batches:
-            for key, b in batch.groupby(["lang", "part"], sort=False, dropna=False):
+            for key, b in batch.groupby(["lang", "part", "row"], sort=False, dropna=False):
                 if key != group:
                     if (out := done()) is not None:
                         yield out[["query_id", "lang", "doc_id", "score"]]
@@ -189,9 +202,7 @@ def top_k(queries: DataFrame, documents: DataFrame, k: int = 10, spread: int = S
         if (out := done()) is not None:
             yield out[["query_id", "lang", "doc_id", "score"]]
 
-    near = mixed.mapInPandas(run, f"query_id {q_ids}, lang {lang}, doc_id {ids}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return mixed.mapInPandas(run, f"query_id {q_ids}, lang {lang}, doc_id {ids}, score double")
 
 
 def chunk_scores(scored: DataFrame, how: str = "mean") -> DataFrame:
@@ -215,10 +226,7 @@ def hash_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int, ta
         key = (signs * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
         return pd.Series(list(key))
 
-    d = vectors.select(F.col("id").alias("doc_id"), F.col("vector").alias("dv"), F.explode(keys("vector")).alias("key"))
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"), F.explode(keys("vector")).alias("key"))
-    met = d.select("doc_id", "key").join(q.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
-    pairs = met.join(vectors.select(F.col("id").alias("doc_id"), F.col("vector").alias("dv")), "doc_id").join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv")), "query_id")
-    scored = pairs.select("query_id", "doc_id", F.round(cosine(F.col("qv"), F.col("dv")), DIGITS).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    d = vectors.where("vector is not null").select(F.col("id").alias("doc_id"), "vector", F.explode(keys("vector")).alias("lang"))
+    q = queries.where("vector is not null").select(F.col("id").alias("query_id"), "vector", F.explode(keys("vector")).alias("lang"))
+    near = _search_parts(q, d, k, 1).select("query_id", "doc_id", "score").distinct()
+    return _best(near, k)

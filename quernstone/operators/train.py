@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quernstone.functions.text import parse_list
 from quernstone.operators.dense import Encoder
+from quernstone.operators.positions import places
 
 
 def training_pairs(queries: DataFrame) -> DataFrame:
@@ -43,16 +44,11 @@ def upsample(rows: DataFrame, lang: str = "lang", row_id: str = "query_id", seed
     counts = rows.groupBy(lang).agg(F.count("*").alias("_n"))
     lacking = counts.withColumn("_most", F.max("_n").over(Window.partitionBy())).where("_most > _n").select(F.col(lang).alias("_lang"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most") - F.col("_n"))).alias("copy"), "_n")
     draws = lacking.select("_lang", "copy", F.pmod(F.col("copy") * 48271 + seed, F.col("_n")).alias("_at"))
-    placed = in_order(rows, [lang], [row_id])
+    placed = places(rows, lang, row_id)
     drawn = placed.join(draws, placed[lang].eqNullSafe(draws["_lang"]) & (placed["place"] == draws["_at"])).select(*rows.columns, "copy")
     return rows.withColumn("copy", F.lit(0).cast("long")).unionByName(drawn)
 
 
-def in_order(rows: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """Adds ``place``, 0 up, in the order of ``ids`` inside each group of ``keys``."""
-    return rows.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(*ids)) - 1).cast("long"))
-
-
 def _batch_gradient(b: pd.DataFrame, query: Encoder, document: Encoder) -> tuple[float, int, list[np.ndarray]]:
     """Summed loss, queries and summed gradients of both encoders over whole queries."""
     queries, at = np.unique(b["query_id"].values, return_inverse=True)

@@ -358,7 +358,7 @@ def language_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_floor(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", "lang", io.floor_split(4).alias("shard"))
+    return io.floor_split(_documents(spark, d).select("doc_id", "lang"), 4)
 
 
 @query

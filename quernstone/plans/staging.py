@@ -34,6 +34,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._files("").deleteOnExit(self._at(""))  # with the session at the latest
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Writes ``df`` once and returns a reader of what was written."""
@@ -42,9 +43,13 @@ class Stage:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._files(name).delete(self._at(name), True)
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self, name: str):
+        return self._at(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quernstone.operators.positions import positions
+from quernstone.operators.positions import places, positions
 
 CORPUS = "docid string, text string, lang string"
 QUERIES = "query string, lang string, positive_docs string, negative_docs string"
@@ -49,11 +48,11 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read.withColumn("lang", F.col("lang").cast("string")), spark.read.parquet(f"{path}/stats")
 
 
-def floor_split(n: int, lang: str = "lang", order: str = "doc_id") -> Column:
-    """Shard 1 to ``n`` of a row of its language: equal shards, the last one with the rest; fewer rows than ``n`` all go to the last."""
-    size = F.floor(F.count("*").over(Window.partitionBy(lang)) / n)
-    place = F.row_number().over(Window.partitionBy(lang).orderBy(order)) - 1
-    return F.when(size == 0, n).otherwise(F.least(F.lit(n), 1 + F.floor(place / size))).cast("int")
+def floor_split(rows: DataFrame, n: int, lang: str = "lang", order: str = "doc_id") -> DataFrame:
+    """Adds ``shard``, 1 to ``n``, inside each language: equal shards, the last one with the rest; fewer rows than ``n`` all go to the last."""
+    size = F.floor(F.col("group_size") / n)
+    shard = F.when(size == 0, n).otherwise(F.least(F.lit(n), 1 + F.floor(F.col("place") / size))).cast("int")
+    return places(rows, lang, order).withColumn("shard", shard).drop("place", "group_size")
 
 
 def ceil_split(rows: DataFrame, n: int = 12, order: str = "doc_id") -> DataFrame:

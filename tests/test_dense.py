@@ -96,7 +96,7 @@ def test_upsample(spark):
 def test_shards(spark):
     for n, floor, ceil in ((10, [2, 2, 2, 4], [3, 3, 3, 1]), (3, [0, 0, 0, 3], [1, 1, 1, 0])):
         rows = spark.createDataFrame([("en", i) for i in range(n)], "lang string, doc_id long")
-        for got, want in ((rows.select(io.floor_split(4).alias("shard")), floor), (io.ceil_split(rows, 4), ceil)):
+        for got, want in ((io.floor_split(rows, 4), floor), (io.ceil_split(rows, 4), ceil)):
             sizes = {r["shard"]: r["count"] for r in got.groupBy("shard").count().collect()}
             assert [sizes.get(i, 0) for i in range(1, 5)] == want
 
@@ -110,6 +110,17 @@ def test_positions_and_ranks(spark):
     assert places.columns == ["id", "g", "place"]
 
 
+def test_hash_neighbours_find_copies(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.standard_normal(16).tolist()) for i in range(60)]
+    df = spark.createDataFrame([*rows, (100, rows[0][1])], "id long, vector array<double>")
+    got = dense.hash_neighbours(df, df.where("id < 3"), 4, 16, tables=6, bits=3)
+    best = {x["query_id"]: (x["doc_id"], x["score"]) for x in got.where("rank = 1").collect()}
+    assert best == {0: (0, 1.0), 1: (1, 1.0), 2: (2, 1.0)}
+    assert (100, 1.0) in {(x["doc_id"], x["score"]) for x in got.where("query_id = 0").collect()}
+    assert got.groupBy("query_id", "doc_id").count().where("count > 1").count() == 0
+
+
 def test_last_wins(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, t int, v string")
     assert {r["k"]: r["v"] for r in io.last_wins(rows, "k", "t").collect()} == {"a": "y", "b": None}
