@@ -92,7 +92,7 @@ def plan(targets: list[tuple[int, str, float, int]], lengths: dict[str, dict[int
             rounds, rest = divmod(budget, have) if have else (0, 0)
             extra = fit(lengths.get(source, {}), rest, seed + mix) if rest else {}
             actual = rounds * have + sum(s * n for s, n in extra.items())
-            report.append((mix, source, float(weight), most, have, target, actual, have * most < target))
+            report.append((mix, source, float(weight), most, have, target, actual, have * most * 100 < size * weight))
             quotas += [(mix, source, s, rounds, extra.get(s, 0)) for s in lengths.get(source, {})]
     return report, quotas
 

@@ -203,6 +203,7 @@ def nearest(df: DataFrame, doc_id: str, vector: str, k: int = 10, least: float =
     docs = stage.write(rows.groupBy("id").agg(F.min("class").alias("class")).withColumn("asks", F.expr(asking)), "docs")
     reps = docs.groupBy("class").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.count("*").alias("copies"))
     units = stage.write(rows.groupBy("class").agg(F.first("unit").alias("unit")).join(reps, "class"), "units")
+    stage.drop("rows")
     hashed = _hashed(units, dim, tables, hashes, probes)
 
     sizes = units.select("rep", "unit", F.lit(False).alias("asks"))
@@ -226,6 +227,7 @@ def nearest(df: DataFrame, doc_id: str, vector: str, k: int = 10, least: float =
     order = Window.partitionBy("rep").orderBy(F.desc("cosine"), "near")
     near = stage.write(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("rep", "near", "cosine"), "near")
 
+    stage.drop("large")
     # every class with its first k + 1 ids
     ids = docs.join(units.select("class", "rep", "copies"), "class")
     first = Window.partitionBy("rep").orderBy("id")

@@ -214,6 +214,7 @@ def same_questions(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame,
     words = classes.select("class", "words")
     met = met.join(words.select(F.col("class").alias("train_class"), F.col("words").alias("p")), "train_class").join(words.select(F.col("class").alias("eval_class"), F.col("words").alias("q")), "eval_class")
     pairs = stage.write(met.select("train_class", "eval_class", "p", "q").mapInArrow(_verify, "train_class binary, eval_class binary, similarity double, doubts array<struct<p:string,q:string>>"), "pairs")
+    stage.drop("bands")
     # a pair of words that are both common, or a common word beside one that only these questions have, makes another question
     often = classes.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     doubts = pairs.select("train_class", "eval_class", F.explode("doubts").alias("d")).select("train_class", "eval_class", F.col("d.p").alias("p"), F.col("d.q").alias("q"))
