@@ -30,6 +30,7 @@ from quernstone.plans.staging import Stage, spread
 BANDS, ROWS = 16, 4
 MIN_JACCARD = 0.5
 MOST_SLIPS = 2  # letters, in all words together
+MOST_APART = 4  # different words on a side, when spaces are set otherwise
 MOST_SMALL = 1  # words added or left out
 MOST_SMALL_LETTERS = 11  # of a rare one of them
 RARE = 3  # a word in fewer classes may be anyone's slip
@@ -102,7 +103,7 @@ def compare(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
         left, right = right, left
     if len(right) > MOST_SLIPS + MOST_SMALL or len(right) - len(left) > MOST_SMALL:
         # spaces set otherwise change the words at two places, but not the letters
-        return [] if sorted("".join(a)) == sorted("".join(b)) and len(right) <= 4 and _spaced(left, right) else None
+        return [] if _spaced(left, right) else None
     best: tuple[int, list[tuple[str, str]]] | None = None
     for order in itertools.permutations(right, len(left)):
         cost = 0
@@ -120,7 +121,29 @@ def compare(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
 
 
 def _spaced(left: list[str], right: list[str]) -> bool:
-    return len(right) <= 4 and any("".join(p) == "".join(q) for p in itertools.permutations(left) for q in itertools.permutations(right))
+    """Whether the same letters stand with other spaces between."""
+    return len(right) <= MOST_APART and sorted("".join(left)) == sorted("".join(right)) and any("".join(p) == "".join(q) for p in itertools.permutations(left) for q in itertools.permutations(right))
+
+
+def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words' shingles, and where each word's begin; a word without shingles has one that is the largest."""
+    edged = []
+    for w in words:
+        letters = w if w.isalpha() else _DIGITS.sub("", w)
+        edged.append(f"<{letters if letters.isascii() else unicodedata.normalize('NFD', letters)}>" if letters else "<>?")
+    size = np.fromiter(map(len, edged), np.int64, len(edged))
+    chars = np.frombuffer("".join(edged).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
+    count = size - 2
+    start = np.concatenate(([0], np.cumsum(count)))[:-1]
+    at = np.arange(count.sum()) - np.repeat(start, count) + np.repeat(first, count)
+    h = (chars[at] * np.uint64(0x9E3779B1) + chars[at + 1]) * np.uint64(0x85EBCA77) + chars[at + 2]
+    h ^= h >> np.uint64(15)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    bare = np.fromiter((e == "<>?" for e in edged), bool, len(edged))
+    h[start[bare]] = np.uint64((1 << 64) - 1)
+    return h, start
 
 
 class Signer:
@@ -136,10 +159,8 @@ class Signer:
             self.__init__()
         fresh = [w for w in dict.fromkeys(w for b in bags for w in b) if w not in self.known]
         if fresh:
-            hashed = [[int.from_bytes(hashlib.blake2b(s.encode(), digest_size=7).digest()) for s in shingles(w)] or [(1 << 56) - 1] for w in fresh]
-            flat = np.fromiter(itertools.chain.from_iterable(hashed), np.uint64)
-            start = np.concatenate(([0], np.cumsum([len(h) for h in hashed])))[:-1]
-            mixed = flat[:, None] * _A
+            mixed, start = _hashes(fresh)
+            mixed = mixed[:, None] * _A
             mixed ^= mixed >> np.uint64(31)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(29)
@@ -184,6 +205,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep, sims, doubts = [], [], []
         for i, (p, q) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
             x, y = p.split(" "), q.split(" ")
+            if len(set(x).difference(y)) > MOST_APART or len(set(y).difference(x)) > MOST_APART:
+                continue  # compare() rejects them whatever their similarity
             if (sim := jaccard(x, y)) >= MIN_JACCARD and (doubt := compare(x, y)) is not None:
                 keep.append(i)
                 sims.append(sim)
