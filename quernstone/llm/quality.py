@@ -41,9 +41,11 @@ _SENTENCE = re.compile(r"(?<=[.!?…؟。])[\"'»”)\]]*\s+")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—+>▪◦‣]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)\]])\s+")
 _ITEM_SEPARATORS = re.compile(r"\s*[|;•·,،؛/]\s+|\s+[-–—]\s+|\t")
 _STRONG_SEPARATORS = re.compile(r"\s+[|•·/]\s+|\s*[;؛]\s+|\t|\s{3,}")
+_ANY_SEPARATOR = re.compile(r"[|;•·,،؛/\t]|\s[-–—]\s|\s{3}")
 _ROW_SEPARATORS = ("|", "\t", ";", ",", "،")
 _LEADER = re.compile(r"\.{3,}|_{3,}|…{2,}|(?:\. ){3,}")
 _NUMBER = re.compile(r"^[\W_]*\d[\d.,:/%\-\s]*[\W_]*$")
+_MARKS_CODE = re.compile(r"[&{}<$%\[]")
 _MARKUP = re.compile(r"&[#\w]+;|\{\{|\}\}|</?\w+>|\$\w+|%[sd]\b|\[object")
 _LOST = re.compile("[\x7f-\x9f\ufffd]")  # control characters and marks of lost ones
 _OTHER_BYTES = re.compile("[\xc2-\xd9][\x80-\xbf]")  # two bytes of UTF-8 that were read as two letters
@@ -217,17 +219,16 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
             n = len(part.split())
             if not n:
                 continue
-            items = [i for i in _ITEM_SEPARATORS.split(part) if i.strip()]
-            sizes = [len(i.split()) for i in items]
-            strong = [i for i in _STRONG_SEPARATORS.split(part) if i.strip()]
-            if len(strong) >= 2 and all(len(i.split()) < SENTENCE_WORDS for i in strong) and not _END.search(part):
-                out["item"] += n
-            elif len(items) >= 4 and sorted(sizes)[len(sizes) // 2] <= 6 and max(sizes) <= 2 * SENTENCE_WORDS:
-                out["item"] += n
-            elif n >= SENTENCE_WORDS or (n >= 3 and _END.search(part)):
-                out["sentence"] += n
-            else:
-                out["item"] += n
+            if _ANY_SEPARATOR.search(part):
+                strong = [i for i in _STRONG_SEPARATORS.split(part) if i.strip()]
+                if len(strong) >= 2 and all(len(i.split()) < SENTENCE_WORDS for i in strong) and not _END.search(part):
+                    out["item"] += n
+                    continue
+                sizes = sorted(len(i.split()) for i in _ITEM_SEPARATORS.split(part) if i.strip())
+                if len(sizes) >= 4 and sizes[len(sizes) // 2] <= 6 and sizes[-1] <= 2 * SENTENCE_WORDS:
+                    out["item"] += n
+                    continue
+            out["sentence" if n >= SENTENCE_WORDS or (n >= 3 and _END.search(part)) else "item"] += n
     return out, words
 
 
@@ -238,10 +239,9 @@ def _noise(text: str, lower: str, words: list[str], chunks: list[str], known: se
     letters = sum(map(len, words))
     if len(_LOST.findall(text)) > 0.01 * solid or 2 * len(_OTHER_BYTES.findall(text)) > BROKEN * solid:
         return True
-    single = sum(len(c) == 1 and c.isalpha() for c in chunks)
-    if n >= MANY_WORDS and single > 0.6 * n:
+    if n >= MANY_WORDS and list(map(len, chunks)).count(1) > 0.6 * n and sum(len(c) == 1 and c.isalpha() for c in chunks) > 0.6 * n:
         return True
-    if n >= 4 and sum(map(len, _MARKUP.findall(text))) > 0.15 * solid:
+    if n >= 4 and _MARKS_CODE.search(text) and sum(map(len, _MARKUP.findall(text))) > 0.15 * solid:
         return True
     if words and len(words) >= MANY_WORDS:
         often = np.array(list(Counter(words).values()), float) / len(words)
@@ -250,14 +250,16 @@ def _noise(text: str, lower: str, words: list[str], chunks: list[str], known: se
         sentences = [x for line in text.split("\n") for x in _SENTENCE.split(line) if len(x) > 20]
         if len(sentences) >= 10 and len(set(sentences)) <= FEW_SENTENCES * len(sentences):
             return True
+    readable = sum(map(known.__contains__, words))
+    if letters >= 0.6 * solid and len(words) >= 3:
+        return readable < LEAST_KNOWN * len(words)
+    # much of it isn't letters: numbers are fine, codes aren't
     numeric = sum(bool(_NUMBER.match(c)) for c in chunks)
-    coded = sum(bool(_HEX.match(c)) and not c.isalpha() for c in chunks)
-    hexed = sum(bool(_HEX.match(c)) for c in chunks)
-    if n >= 4 and hexed > 0.8 * n and coded:
+    hexed = [c for c in chunks if _HEX.match(c)]
+    if n >= 4 and len(hexed) > 0.8 * n and any(not c.isalpha() for c in hexed):
         return True
     if letters < 0.25 * solid and numeric < 0.5 * n:
         return True
-    readable = sum(w in known for w in words)
     return readable < LEAST_KNOWN * len(words) if len(words) >= 3 else letters == 0 and numeric < n
 
 
