@@ -48,3 +48,15 @@ def window_ids(ids: Column, width: int, first: int, last: int) -> Column:
     """Windows of ``width`` ids, each between ``first`` and ``last``; an empty array gives one empty window."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)), F.lit(width))
     return F.transform(starts, lambda i: F.concat(F.array(F.lit(first)), F.slice(ids, i + 1, width), F.array(F.lit(last))))
+
+
+def pad_ids(ids: Column, length: int, first: int, last: int, pad: int) -> Column:
+    """``ids`` cut so that they fit between ``first`` and ``last``, filled up with ``pad`` to ``length``."""
+    framed = F.concat(F.array(F.lit(first)), F.slice(ids, 1, length - 2), F.array(F.lit(last)))
+    return F.concat(framed, F.array_repeat(F.lit(pad), F.lit(length) - F.size(framed)))
+
+
+def attention_mask(ids: Column, length: int) -> Column:
+    """1 for each position that ``pad_ids`` takes from ``ids`` or frames them with, else 0."""
+    real = F.least(F.size(ids) + 2, F.lit(length))
+    return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(length) - real))

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.functions.vectors import cosine, l2_normalize
+
 DIGITS = 6
 BLOCK = 4096  # documents that are compared at once
 ASKED = 20_000  # queries that a task holds, about
@@ -74,13 +76,13 @@ class Encoder:
         return [x.T @ g1, g1.sum(0), a1.T @ g2, g2.sum(0), y.T @ g3, g3.sum(0), a2.T @ g4, g4.sum(0)]
 
 
-def save_weights(spark, encoders: dict[str, Encoder], path: str) -> None:
+def save_weights(spark: SparkSession, encoders: dict[str, Encoder], path: str) -> None:
     """Writes ``name, part, shape, data`` as parquet."""
     rows = [(name, i, list(p.shape), p.ravel().tolist()) for name, e in encoders.items() for i, p in enumerate(e.parameters())]
     spark.createDataFrame(rows, "name string, part int, shape array<int>, data array<double>").write.mode("overwrite").parquet(path)
 
 
-def load_weights(spark, path: str) -> dict[str, Encoder]:
+def load_weights(spark: SparkSession, path: str) -> dict[str, Encoder]:
     """Weights have the size of a model, not of data, so they come to the driver."""
     parts: dict[str, dict[int, np.ndarray]] = {}
     for r in spark.read.parquet(path).collect():
@@ -205,6 +207,22 @@ def _search_parts(queries: DataFrame, documents: DataFrame, k: int, spread: int
     return mixed.mapInPandas(run, f"query_id {q_ids}, lang {lang}, doc_id {ids}, score double")
 
 
+def save_vectors(documents: DataFrame, path: str) -> None:
+    """``doc_id, lang, vector`` at unit length, in a folder a language."""
+    documents.select("doc_id", "lang", l2_normalize(F.col("vector")).alias("vector")).where("vector is not null").write.mode("overwrite").partitionBy("lang").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, lang_type: str = "string") -> DataFrame:
+    stored = spark.read.parquet(path)
+    return stored.withColumn("lang", F.col("lang").cast(lang_type))
+
+
+def model_scores(pairs: DataFrame, query: Encoder, document: Encoder) -> DataFrame:
+    """Adds ``score``, the cosine of the encodings of ``qv`` and ``dv``."""
+    both = encode(encode(pairs, query, "qv", "_q"), document, "dv", "_d")
+    return both.withColumn("score", cosine(F.col("_q"), F.col("_d"))).drop("_q", "_d")
+
+
 def chunk_scores(scored: DataFrame, how: str = "mean") -> DataFrame:
     """Scores of chunks to one of their document: ``mean``, ``sum`` or ``max``."""
     f = {"mean": F.avg, "sum": F.sum, "max": F.max}[how]

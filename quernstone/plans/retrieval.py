@@ -144,6 +144,14 @@ def subword_windows(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").alias("n_ids"), F.size(V.window_ids(F.col("ids"), 510, 50256, 50256)).alias("n_windows"))
 
 
+@query
+def pad_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Ids cut and padded to 512 with their mask, as a query encoder takes them."""
+    ids = F.col("ids")
+    padded = _token_ids(spark, d).select("item_id", V.pad_ids(ids, 512, 1, 2, 0).alias("p"), V.attention_mask(ids, 512).alias("m"))
+    return padded.select("item_id", F.array_join(F.col("p").cast("array<string>"), " ").alias("ids"), F.aggregate("m", F.lit(0), lambda s, x: s + x).cast("long").alias("n_real"))
+
+
 # ---- indexes
 
 
@@ -348,6 +356,14 @@ def best_params(spark: SparkSession, d: str) -> DataFrame:
     return E.best_parameters(bm25_grid(spark, d))
 
 
+@query
+def accuracy_first_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Over the first 100 questions of dev, whatever their language."""
+    first = table(spark, d, "dev").select("query_id").distinct().orderBy("query_id").limit(100)
+    relevant = _questions(spark, d).join(first, "query_id", "left_semi").select("query_id", "lang", F.col("positive_docs").alias("doc_id"))
+    return _r(E.accuracy(passage_search(spark, d), relevant), "accuracy")
+
+
 # ---- sources, shards, reshaping
 
 
@@ -465,6 +481,22 @@ def dense_top_k(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 10)
 
 
+@query
+def dense_saved_index(spark: SparkSession, d: str) -> DataFrame:
+    """Unit vectors are written by language, read again and searched."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("lang"), F.col("embedding").alias("vector"))
+    stage = Stage(spark, "vectors")
+    dense.save_vectors(rows.withColumnRenamed("vec_id", "doc_id"), stage.path)
+    return dense.top_k(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), dense.load_vectors(spark, stage.path, "int"))
+
+
+@query
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of train scored by two encoders with seeded weights; there is no SQL for it."""
+    scored = dense.model_scores(_pairs(spark, d), dense.Encoder.seeded(64, 64, 1), dense.Encoder.seeded(64, 64, 2))
+    return _r(scored.select("query_id", "doc_id", "is_positive", "score"), "score", digits=5)
+
+
 def _chunked(spark: SparkSession, d: str, how: str) -> DataFrame:
     return dense.chunk_scores(_dense(spark, d, 100).withColumn("doc_id", F.expr("doc_id div 4")), how)
 

@@ -142,6 +142,7 @@ SQL: dict[str, str] = {
     "chunk_documents": _CHUNKS,
     "token_windows": "SELECT item_id, len(w) AS n_windows, list_sum(list_transform(w, lambda x: len(x)))::BIGINT AS n_ids FROM (SELECT item_id, list_transform(range(0, greatest(len(ids), 1), 510), lambda i: list_concat([1], list_concat(list_slice(ids, i + 1, i + 510), [2]))) AS w FROM (SELECT DISTINCT item_id, tokens.input_ids AS ids FROM token_dataset WHERE tokens IS NOT NULL AND tokens.input_ids IS NOT NULL))",
     "explode_windows": "SELECT item_id, lang, CAST(i // 510 + 1 AS INTEGER) AS window_no, array_to_string(list_concat([1], list_concat(list_slice(ids, i + 1, i + 510), [2])), ' ') AS ids FROM (SELECT item_id, lang, ids, unnest(range(0, greatest(len(ids), 1), 510)) AS i FROM (SELECT DISTINCT item_id, lang, tokens.input_ids AS ids FROM token_dataset WHERE tokens IS NOT NULL AND tokens.input_ids IS NOT NULL))",
+    "pad_windows": "SELECT item_id, array_to_string(list_concat(f, list_transform(range(0, 512 - len(f)), lambda i: 0)), ' ') AS ids, len(f) AS n_real FROM (SELECT item_id, list_concat([1], list_concat(list_slice(ids, 1, 510), [2])) AS f FROM (SELECT DISTINCT item_id, tokens.input_ids AS ids FROM token_dataset WHERE tokens IS NOT NULL AND tokens.input_ids IS NOT NULL))",
     "vocabulary": _with(DOCS, TF) + "SELECT lang, term FROM df",
     "term_frequency": _with(DOCS, TF) + "SELECT lang, doc_id, dl, term, tf FROM tf",
     "document_frequency": _with(DOCS, TF) + "SELECT lang, term, df FROM df",
@@ -171,6 +172,7 @@ SQL: dict[str, str] = {
     "passage_search": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT query_id, lang, doc_id, score, rank FROM b10",
     "stream_passage_search": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT query_id, lang, doc_id, score, rank FROM b10",
     "accuracy_corpus": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT count(*) AS n_queries, round(avg(CASE WHEN h.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS accuracy FROM q LEFT JOIN b10 h ON q.query_id = h.query_id AND h.doc_id = q.positive_docs",
+    "accuracy_first_queries": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT count(*) AS n_queries, round(avg(CASE WHEN h.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS accuracy FROM q LEFT JOIN b10 h ON q.query_id = h.query_id AND h.doc_id = q.positive_docs WHERE q.query_id IN (SELECT DISTINCT query_id FROM dev ORDER BY query_id LIMIT 100)",
     "language_filter": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
     "split_floor": "SELECT doc_id, lang, CAST(CASE WHEN n // 4 = 0 THEN 4 ELSE least(4, 1 + rn // nullif(n // 4, 0)) END AS INTEGER) AS shard FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, count(*) OVER (PARTITION BY coalesce(lang, 'und')) AS n, row_number() OVER (PARTITION BY coalesce(lang, 'und') ORDER BY doc_id) - 1 AS rn FROM documents)",
     "split_ceil": "SELECT doc_id, CAST(1 + rn // (n // 12 + 1) AS INTEGER) AS shard FROM (SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)",
@@ -190,6 +192,7 @@ SELECT doc_id, lang, CAST(0 AS BIGINT) AS copy FROM d UNION ALL SELECT p.doc_id,
     "first_position": "SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, (SELECT unnest(range(0, 8)) AS i)",
     "doc_mean_vector": "SELECT vec_id // 4 AS doc_id, CAST(i - 1 AS INTEGER) AS i, round(avg(v[i]), 6) AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) GROUP BY ALL",
     "dense_top_k": _with(_DENSE, _top("d10", "dscored")) + "SELECT query_id, lang, doc_id, score, rank FROM d10",
+    "dense_saved_index": _with(_DENSE, _top("d10", "dscored")) + "SELECT query_id, lang, doc_id, score, rank FROM d10",
     "chunk_to_doc_mean": _chunk_agg("avg"),
     "chunk_to_doc_sum": _chunk_agg("sum"),
     "chunk_to_doc_max": _chunk_agg("max"),
