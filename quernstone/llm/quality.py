@@ -42,7 +42,9 @@ _BULLET = re.compile(r"^\s*(?:[-*•·–—+>▪◦‣]|\(?(?:\d{1,4}|[a-zA-Z]|
 _ITEM_SEPARATORS = re.compile(r"\s*[|;•·,،؛/]\s+|\s+[-–—]\s+|\t")
 _STRONG_SEPARATORS = re.compile(r"\s+[|•·/]\s+|\s*[;؛]\s+|\t|\s{3,}")
 _ANY_SEPARATOR = re.compile(r"[|;•·,،؛/\t]|\s[-–—]\s|\s{3}")
-_ROW_SEPARATORS = ("|", "\t", ";", ",", "،")
+_ROW_SEPARATORS = ("|", "\t", ";", "  ", ",", "،")
+_COLUMNS = re.compile(r"\s{2,}")
+_PARTS = re.compile(r"[\s|;,،\"%]+")
 _LEADER = re.compile(r"\.{3,}|_{3,}|…{2,}|(?:\. ){3,}")
 _NUMBER = re.compile(r"^[\W_]*\d[\d.,:/%\-\s]*[\W_]*$")
 _MARKS_CODE = re.compile(r"[&{}<$%\[]")
@@ -165,46 +167,62 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
     return Profiles({k: {w: n / sum(v.values()) for w, n in v.items()} for k, v in each.items()}, {k: classes[k] for k in each}, known)
 
 
-def _rows(lines: list[str]) -> tuple[str | None, list[int]]:
-    """The separator that most lines share FIELDS - 1 times or more, and the fields of each line by it."""
-    best: tuple[str | None, list[int]] = (None, [])
-    for sep in _ROW_SEPARATORS:
-        n = [x.strip().strip("|").count(sep) + 1 if sep == "|" else x.count(sep) + 1 for x in lines]
-        rows = sum(k >= FIELDS for k in n)
-        if rows > sum(k >= FIELDS for k in best[1]):
-            best = sep, n
-    columns = [len(re.split(r"\s{2,}", x.strip())) for x in lines]
-    if sum(k >= FIELDS for k in columns) > sum(k >= FIELDS for k in best[1]):
-        best = "  ", columns
-    return best
+def _fields(line: str, sep: str) -> list[str]:
+    return _COLUMNS.split(line.strip()) if sep == "  " else (line.strip().strip("|") if sep == "|" else line).split(sep)
+
+
+def _table_lines(lines: list[str]) -> tuple[set[int], float]:
+    """Numbers of the lines that are rows of fields, and the words of their fields.
+
+    Separator by separator, the one of most rows first: lines of FIELDS short fields or more, of which
+    two at least have about as many fields as is usual. Blank fields may leave a row shorter.
+    """
+    taken: set[int] = set()
+    words = 0.0
+    for _ in range(len(_ROW_SEPARATORS)):
+        best: tuple[str, list[int]] = ("", [])
+        for sep in _ROW_SEPARATORS:
+            rows = [i for i, x in enumerate(lines) if i not in taken and sep in x and len(_fields(x, sep)) >= FIELDS]
+            if len(rows) > len(best[1]):
+                best = sep, rows
+        sep, rows = best
+        if len(rows) < 2:
+            break
+        split = {i: _fields(lines[i], sep) for i in rows}
+        usual = Counter(map(len, split.values())).most_common(1)[0][0]
+        comma = sep in (",", "،")
+        alike = [i for i in rows if abs(len(split[i]) - usual) <= (0 if comma else 2)]
+        full = [f for i in alike for f in split[i] if f.strip()]
+        short = bool(full) and sum(len(f.split()) for f in full) <= 6 * len(full)
+        if len(alike) < 2 or not short or (comma and sum(bool(_END.search(lines[i])) for i in alike) > len(alike) / 2):
+            break
+        if sep in ("  ", "\t"):
+            first, last = min(alike), max(alike)
+            alike += [i for i, x in enumerate(lines) if i not in taken and i not in split and not _END.search(x) and (len(_fields(x, sep)) > 1 or (first < i < last and len(x.split()) < SENTENCE_WORDS))]
+        taken.update(alike)
+        words += sum(len(f.split()) for i in alike for f in _fields(lines[i], sep))
+    return taken, words
 
 
 def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
-    """Words in sentences, items, fields and noise, and the words of the text in lower case."""
+    """Words in sentences, items, fields and noise, and the words of the text in lower case.
+
+    A single sentence beside items or rows introduces them and counts for less; three or
+    more make a text of which a list or table is a part, and count for more.
+    """
     lower = text.lower()
     words = _WORD.findall(lower)
     chunks = text.split()
     out = {"sentence": 0.0, "item": 0.0, "field": 0.0, "noise": 0.0}
     if not chunks:
         return out, words
-    if _noise(text, lower, words, chunks, known):
+    if _noise(text, words, chunks, known):
         out["noise"] = float(len(chunks))
         return out, words
     lines = [x for x in (y.rstrip("\r ") for y in text.split("\n")) if x.strip()]
-    sep, fields = _rows(lines) if len(lines) > 1 else (None, [])
-    if sep is not None:
-        # rows: the fields are short, and enough lines have as many as the others
-        rows = [(x, n) for x, n in zip(lines, fields, strict=True) if n >= FIELDS]
-        usual = Counter(n for _, n in rows).most_common(1)[0][0]
-        alike = [x for x, n in rows if abs(n - usual) <= (0 if sep in (",", "،") else 1)]
-        short = sum(len(x.split()) for x in alike) / max(1, sum(max(1, x.count(sep)) for x in alike) if sep != "  " else usual * len(alike)) <= 6
-        if len(alike) >= 2 and short and not (sep in (",", "،") and sum(bool(_END.search(x)) for x in alike) > len(alike) / 2):
-            taken = set(map(id, alike))
-            if sep in ("  ", "\t"):  # empty fields leave rows with fewer
-                taken |= {id(x) for x, n in zip(lines, fields, strict=True) if n == FIELDS - 1 and not _END.search(x)}
-            split = re.compile(r"\s{2,}" if sep == "  " else re.escape(sep))
-            out["field"] += sum(len(f.split()) for x in lines if id(x) in taken for f in split.split(x))
-            lines = [x for x in lines if id(x) not in taken]
+    if len(lines) > 1:
+        taken, out["field"] = _table_lines(lines)
+        lines = [x for i, x in enumerate(lines) if i not in taken]
     merged: list[str] = []
     open_line = False
     for x in lines:
@@ -213,6 +231,7 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
         else:
             merged.append(x)
         open_line = len(x) >= WRAPPED_CHARS and not _END.search(x) and not _LEADER.search(x)
+    sentences = 0
     for x in merged:
         body = _BULLET.sub("", _LEADER.sub(" ", x))
         for part in _SENTENCE.split(body):
@@ -228,11 +247,16 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
                 if len(sizes) >= 4 and sizes[len(sizes) // 2] <= 6 and sizes[-1] <= 2 * SENTENCE_WORDS:
                     out["item"] += n
                     continue
-            out["sentence" if n >= SENTENCE_WORDS or (n >= 3 and _END.search(part)) else "item"] += n
+            if n >= SENTENCE_WORDS or (n >= 3 and _END.search(part)):
+                out["sentence"] += n
+                sentences += 1
+            else:
+                out["item"] += n
+    out["sentence"] *= 0.6 if sentences == 1 else 1.6 if sentences >= 3 else 1.0
     return out, words
 
 
-def _noise(text: str, lower: str, words: list[str], chunks: list[str], known: set[str]) -> bool:
+def _noise(text: str, words: list[str], chunks: list[str], known: set[str]) -> bool:
     """Whether no reader could understand the text: symbols, codes, broken letters, the same words over and over."""
     n = len(chunks)
     solid = sum(map(len, chunks))
@@ -250,17 +274,19 @@ def _noise(text: str, lower: str, words: list[str], chunks: list[str], known: se
         sentences = [x for line in text.split("\n") for x in _SENTENCE.split(line) if len(x) > 20]
         if len(sentences) >= 10 and len(set(sentences)) <= FEW_SENTENCES * len(sentences):
             return True
-    readable = sum(map(known.__contains__, words))
-    if letters >= 0.6 * solid and len(words) >= 3:
-        return readable < LEAST_KNOWN * len(words)
-    # much of it isn't letters: numbers are fine, codes aren't
-    numeric = sum(bool(_NUMBER.match(c)) for c in chunks)
+    # a word or two of letters may be anything; longer ones are weighed by their letters
+    long = [w for w in words if len(w) > 2 or not w.isascii()]
+    readable = sum(len(w) for w in long if w in known)
+    unread = len(long) >= 3 and readable < LEAST_KNOWN * sum(map(len, long))
+    if unread or (letters >= 0.6 * solid and len(words) >= 3):
+        return unread
+    # much of it isn't letters: numbers are fine, codes and symbols aren't
     hexed = [c for c in chunks if _HEX.match(c)]
     if n >= 4 and len(hexed) > 0.8 * n and any(not c.isalpha() for c in hexed):
         return True
-    if letters < 0.25 * solid and numeric < 0.5 * n:
-        return True
-    return readable < LEAST_KNOWN * len(words) if len(words) >= 3 else letters == 0 and numeric < n
+    parts = [x for x in _PARTS.split(text) if x]
+    odd = sum(not _NUMBER.match(x) and 2 * sum(map(str.isalpha, x)) < len(x) for x in parts)
+    return odd > 0.5 * len(parts) or not parts
 
 
 NEEDED = "n_words bigint, mean_word_length double, symbol_ratio double, end_punctuation_share double, common_word_share double, nearest_lang string, word_divergence double, class_divergence double, sentence_share double, item_share double, field_share double, noise_share double, kind string"
