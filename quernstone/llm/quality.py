@@ -252,7 +252,7 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
                 sentences += 1
             else:
                 out["item"] += n
-    out["sentence"] *= 0.6 if sentences == 1 else 1.6 if sentences >= 3 else 1.0
+    out["sentence"] *= 0.6 if sentences == 1 else 2.5 if sentences >= 3 else 1.0
     return out, words
 
 
