@@ -6,6 +6,8 @@ separators U+001C-U+001F; plain Java classes differ in combining marks and separ
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ NOT_WORD = rf"[^\p{{L}}\p{{N}}_{SPACE}]"
 SPACES = rf"(?U)[{SPACE}]+"
 BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 ARABIC_MARKS = "[ً-ْٰـ]"
-#: ASCII punctuation, and Arabic and typographic marks, that are deleted from Arabic text (fixed values).
-ARABIC_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~،؛؟«»“”‘’…–—ـ÷×"
+#: Punctuation that is deleted from Arabic text (fixed values): ASCII, and these further marks.
+ARABIC_PUNCTUATION = string.punctuation + "÷×؛،؟«»“”…–¦ـ"
 
 
 def strip_urls(c: Column) -> Column:
