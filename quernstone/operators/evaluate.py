@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quernstone.operators import index as I
 from quernstone.operators.search import DIGITS, query_terms
+from quernstone.plans.staging import checked_broadcast
 
 K1_GRID = (1.2, 1.1, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9, 2.0)
 B_GRID = (0.0, 0.25, 0.5, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
@@ -35,7 +36,7 @@ def pessimistic_ranks(scored: DataFrame, relevant: DataFrame, stats: DataFrame,
     target = relevant.join(scored.drop("lang"), ["query_id", "doc_id"], "left").select("query_id", "lang", *wanted)
     met = scored.drop("lang").join(target.drop("lang"), "query_id")
     above = met.groupBy("query_id").agg(*[F.count(F.when((F.col(f"t_{c}") > 0) & (F.col(c) >= F.col(f"t_{c}")), 1)).alias(f"n_{c}") for c in score])
-    ranks = target.join(above, "query_id", "left").join(F.broadcast(stats.limit(10_000)), "lang")
+    ranks = target.join(above, "query_id", "left").join(checked_broadcast(stats), "lang")
     return ranks.select("query_id", "lang", *[F.col(f"t_{c}").alias(c) for c in score], *[F.when(F.col(f"t_{c}") > 0, F.col(f"n_{c}")).otherwise(F.col("n_docs")).alias(f"{c}_rank") for c in score])
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.plans.staging import checked_broadcast
+
 #: Tuned (k1, b) of each language (fixed values).
 TUNED = {"ar": (1.6, 1.0), "de": (2.0, 0.95), "en": (1.4, 0.5), "es": (1.7, 0.95), "fr": (1.8, 0.95), "it": (2.0, 0.9), "ko": (1.7, 1.0)}
 K1, B = 1.5, 0.75
@@ -52,8 +54,8 @@ def document_lengths(docs: DataFrame) -> DataFrame:
 
 
 def bm25_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds ``idf`` = ln((N - df + 0.5) / (df + 0.5) + 1). A language has one row of statistics."""
-    return df.join(F.broadcast(stats.limit(10_000)), "lang").withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    """Adds ``idf`` = ln((N - df + 0.5) / (df + 0.5) + 1). A language has one row of statistics; they are counted before they are broadcast."""
+    return df.join(checked_broadcast(stats), "lang").withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
 def bm25_weight(k1: Column | float, b: Column | float) -> Column:
@@ -86,7 +88,7 @@ def bm25_index(tf: DataFrame, stats: DataFrame, k1: float = K1, b: float = B, tu
 
 def tfidf_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Adds ``idf`` = ln(N / df): a term of every document weighs nothing."""
-    return df.join(F.broadcast(stats.limit(10_000)), "lang").withColumn("idf", F.log(F.col("n_docs") / F.col("df")))
+    return df.join(checked_broadcast(stats), "lang").withColumn("idf", F.log(F.col("n_docs") / F.col("df")))
 
 
 def tf_norms(documents: DataFrame, tf: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def pivoted_tf(documents: DataFrame, tf: DataFrame) -> DataFrame:
     """``lang, doc_id, term, tf, norm_tf``: counts over half the median norm and half the own norm."""
     norms = tf_norms(documents, tf)
     medians = norms.groupBy("lang").agg(F.median("norm").alias("median"))
-    joined = tf.join(norms, ["lang", "doc_id"]).join(F.broadcast(medians.limit(10_000)), "lang")
+    joined = tf.join(norms, ["lang", "doc_id"]).join(checked_broadcast(medians), "lang")
     return joined.select("lang", "doc_id", "term", "tf", (F.col("tf") / (0.5 * F.col("median") + 0.5 * F.col("norm"))).alias("norm_tf"))
 
 

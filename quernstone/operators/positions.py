@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.plans.staging import Stage
+from quernstone.plans.staging import Stage, checked_broadcast
 
 MOST_GROUPS = 100_000  # groups whose starts are broadcast
 
@@ -26,6 +26,5 @@ def places(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """Adds ``place``, 0 up in each group, and ``group_size``; ``order`` is unique in a group."""
     placed = positions(rows, group, *order)
     groups = placed.groupBy(F.col(group).alias("_group")).agg(F.min("position").alias("_first"), F.count("*").alias("group_size"))
-    few = groups.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
-    joined = placed.join(F.broadcast(groups) if few else groups, placed[group].eqNullSafe(groups["_group"]))
+    joined = placed.join(checked_broadcast(groups, MOST_GROUPS), placed[group].eqNullSafe(groups["_group"]))
     return joined.withColumn("place", F.col("position") - F.col("_first")).drop("position", "_group", "_first")

@@ -47,8 +47,9 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def _counted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings, written once as they are read several times, and statistics; ``ids`` has ``lang`` of all documents."""
-    tf = Stage(docs.sparkSession, "postings").write(I.postings(docs), "tf")
-    return tf, I.stats_of(ids, tf)
+    stage = Stage(docs.sparkSession, "postings")
+    tf = stage.write(I.postings(docs), "tf")
+    return tf, stage.write(I.stats_of(ids, tf), "stats")
 
 
 def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -60,3 +61,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def checked_broadcast(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have ``most`` rows or fewer, else as it is.
+
+    For tables of a row a language or the like, which must be cheap to count.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
