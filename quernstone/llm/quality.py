@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.plans.staging import spread
+from quernstone.plans.staging import checked_broadcast, spread
 
 FUNCTION_WORDS = 100  # commonest words of a language by documents
 SENTENCE_WORDS = 7  # a stretch with fewer words and no sentence's end is an item
@@ -28,6 +28,7 @@ WRAPPED_CHARS = 40  # a line that long without a sentence's end goes on in the n
 LEAST_KNOWN = 0.2  # share of common words under which nothing in a text can be read
 MANY_WORDS = 12  # in a text with as many words or more,
 FEW_WORDS = 5.0  # so few effective words (the exponential of their entropy) are the same over and over,
+FEW_DIFFERENT = 0.3  # (looked for where no more of the words than this are different)
 FEW_SENTENCES = 0.1  # and so is such a share of different sentences among ten or more
 BROKEN = 0.03  # share of letters that are bytes of another encoding
 
@@ -45,6 +46,7 @@ _ANY_SEPARATOR = re.compile(r"[|;•·,،؛/\t]|\s[-–—]\s|\s{3}")
 _ROW_SEPARATORS = ("|", "\t", ";", "  ", ",", "،")
 _COLUMNS = re.compile(r"\s{2,}")
 _PARTS = re.compile(r"[\s|;,،\"%]+")
+_LEADERS = frozenset("._…")
 _LEADER = re.compile(r"\.{3,}|_{3,}|…{2,}|(?:\. ){3,}")
 _NUMBER = re.compile(r"^[\W_]*\d[\d.,:/%\-\s]*[\W_]*$")
 _MARKS_CODE = re.compile(r"[&{}<$%\[]")
@@ -63,27 +65,33 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum((a + b) / 2, 0)
 
 
-def char_classes(text: str | Counter) -> np.ndarray:
-    """Counts of CLASSES in a text, or in counted characters."""
-    kinds = text if isinstance(text, Counter) else Counter(text)
-    out = [0] * len(CLASSES)
-    for c, n in kinds.items():
-        if c == "\n":
-            k = 5
-        elif c.isspace():
-            k = 4
-        elif c.isalpha():
-            k = 0 if c.islower() else 1 if c.isupper() else 2
-        elif c.isdigit():
-            k = 3
-        elif c in ".!?…؟。":
-            k = 6
-        elif c in "|;,،؛:-•'’«»\"()":
-            k = 7
-        else:
-            k = 8
-        out[k] += n
-    return np.array(out, float)
+_CLASS_OF = np.zeros(0, np.uint8)
+
+
+def _class(c: str) -> int:
+    if c == "\n":
+        return 5
+    if c.isspace():
+        return 4
+    if c.isalpha():
+        return 0 if c.islower() else 1 if c.isupper() else 2
+    if c.isdigit():
+        return 3
+    return 6 if c in ".!?…؟。" else 7 if c in "|;,،؛:-•'’«»\"()" else 8
+
+
+def char_classes(texts: list[str]) -> np.ndarray:
+    """Counts of CLASSES in each text, by a table over the code points below 65,536; others are letters or other."""
+    global _CLASS_OF
+    if not len(_CLASS_OF):
+        _CLASS_OF = np.array([_class(chr(i)) for i in range(1 << 16)], np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _CLASS_OF[np.minimum(code, (1 << 16) - 1)].astype(np.int64)
+    for i in np.flatnonzero(code >= 1 << 16):
+        kind[i] = _class(chr(code[i]))
+    kind += np.repeat(np.arange(len(texts)) * len(CLASSES), size)
+    return np.bincount(kind, minlength=len(texts) * len(CLASSES)).reshape(len(texts), len(CLASSES)).astype(float)
 
 
 class Profiles:
@@ -133,11 +141,11 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
     """``_lang, x``: characters of each of CLASSES over all texts of a language, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, Counter] = {}
+        found: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.setdefault(lang, Counter()).update(t)
-        found = {lang: char_classes(c) for lang, c in total.items()}
+            texts = b.column(1).to_pylist()
+            for lang, x in zip(b.column(0).to_pylist(), char_classes(texts), strict=True):
+                found[lang] = found[lang] + x if lang in found else x
         yield pa.RecordBatch.from_arrays([pa.array([lang for lang in found for _ in CLASSES], pa.string()), pa.array([i for _ in found for i in range(len(CLASSES))], pa.int32()), pa.array([float(v) for x in found.values() for v in x], pa.float64())], names=["_lang", "i", "n"])
 
     each = labelled.select("_lang", "_text").mapInArrow(run, "_lang string, i int, n double").groupBy("_lang", "i").agg(F.sum("n").alias("n"))
@@ -154,7 +162,7 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
     words = labelled.select("_lang", F.array_distinct(F.split(F.lower("_text"), r"(?U)[^\p{L}]+")).alias("_w"))
     sizes = labelled.groupBy("_lang").agg(F.count("*").alias("_docs"))
     counts = words.select("_lang", F.explode("_w").alias("_word")).where("_word <> ''").groupBy("_lang", "_word").agg(F.count("*").alias("_n")).where(F.col("_n") >= known_least)
-    counts = counts.join(F.broadcast(sizes.limit(10_000)), "_lang").where(F.col("_n") >= F.col("_docs") * known_share)
+    counts = counts.join(checked_broadcast(sizes), "_lang").where(F.col("_n") >= F.col("_docs") * known_share)
     order = Window.partitionBy("_lang").orderBy(F.desc("_n"), "_word")
     rows = counts.withColumn("_rank", F.row_number().over(order)).where("_rank <= 20000").select("_lang", "_word", "_n", "_rank").collect()
     each: dict[str, dict[str, float]] = {}
@@ -204,14 +212,13 @@ def _table_lines(lines: list[str]) -> tuple[set[int], float]:
     return taken, words
 
 
-def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
-    """Words in sentences, items, fields and noise, and the words of the text in lower case.
+def structure(text: str, known: set[str]) -> tuple[dict[str, float], Counter]:
+    """Words in sentences, items, fields and noise, and the counted words of the text in lower case.
 
     A single sentence beside items or rows introduces them and counts for less; three or
     more make a text of which a list or table is a part, and count for more.
     """
-    lower = text.lower()
-    words = _WORD.findall(lower)
+    words = Counter(_WORD.findall(text.lower()))
     chunks = text.split()
     out = {"sentence": 0.0, "item": 0.0, "field": 0.0, "noise": 0.0}
     if not chunks:
@@ -230,10 +237,13 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
             merged[-1] += " " + x.strip()
         else:
             merged.append(x)
-        open_line = len(x) >= WRAPPED_CHARS and not _END.search(x) and not _LEADER.search(x)
+        open_line = len(x) >= WRAPPED_CHARS and not _END.search(x) and not (_LEADERS & set(x) and _LEADER.search(x))
     sentences = 0
     for x in merged:
-        body = _BULLET.sub("", _LEADER.sub(" ", x))
+        mark = _BULLET.match(x)
+        body = x[mark.end() :] if mark else x
+        if _LEADERS & set(body) and _LEADER.search(body):
+            body = _LEADER.sub(" ", body)
         for part in _SENTENCE.split(body):
             n = len(part.split())
             if not n:
@@ -256,29 +266,30 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], list[str]]:
     return out, words
 
 
-def _noise(text: str, words: list[str], chunks: list[str], known: set[str]) -> bool:
+def _noise(text: str, words: Counter, chunks: list[str], known: set[str]) -> bool:
     """Whether no reader could understand the text: symbols, codes, broken letters, the same words over and over."""
     n = len(chunks)
     solid = sum(map(len, chunks))
-    letters = sum(map(len, words))
+    n_words = words.total()
+    letters = sum(len(w) * k for w, k in words.items())
     if len(_LOST.findall(text)) > 0.01 * solid or 2 * len(_OTHER_BYTES.findall(text)) > BROKEN * solid:
         return True
     if n >= MANY_WORDS and list(map(len, chunks)).count(1) > 0.6 * n and sum(len(c) == 1 and c.isalpha() for c in chunks) > 0.6 * n:
         return True
     if n >= 4 and _MARKS_CODE.search(text) and sum(map(len, _MARKUP.findall(text))) > 0.15 * solid:
         return True
-    if words and len(words) >= MANY_WORDS:
-        often = np.array(list(Counter(words).values()), float) / len(words)
+    if n_words >= MANY_WORDS and len(words) <= max(MANY_WORDS, FEW_DIFFERENT * n_words):
+        often = np.array(list(words.values()), float) / n_words
         if np.exp(-(often * np.log(often)).sum()) <= FEW_WORDS:
             return True
         sentences = [x for line in text.split("\n") for x in _SENTENCE.split(line) if len(x) > 20]
         if len(sentences) >= 10 and len(set(sentences)) <= FEW_SENTENCES * len(sentences):
             return True
     # a word or two of letters may be anything; longer ones are weighed by their letters
-    long = [w for w in words if len(w) > 2 or not w.isascii()]
-    readable = sum(len(w) for w in long if w in known)
-    unread = len(long) >= 3 and readable < LEAST_KNOWN * sum(map(len, long))
-    if unread or (letters >= 0.6 * solid and len(words) >= 3):
+    long = {w: k for w, k in words.items() if len(w) > 2 or not w.isascii()}
+    readable = sum(len(w) * long[w] for w in long.keys() & known)
+    unread = sum(long.values()) >= 3 and readable < LEAST_KNOWN * sum(len(w) * k for w, k in long.items())
+    if unread or (letters >= 0.6 * solid and n_words >= 3):
         return unread
     # much of it isn't letters: numbers are fine, codes and symbols aren't
     hexed = [c for c in chunks if _HEX.match(c)]
@@ -306,8 +317,8 @@ def statistics(documents: DataFrame, profiles: Profiles, doc_id: str = "doc_id",
 
     def numbers(texts: list[str], p: Profiles) -> list[tuple]:
         read = [structure(t, p.known) for t in texts]
-        classes = np.array([char_classes(t) for t in texts]).reshape(-1, len(CLASSES))
-        langs, d, e = p.nearest([Counter(words) for _, words in read], classes)
+        classes = char_classes(texts)
+        langs, d, e = p.nearest([words for _, words in read], classes)
         spread_ = np.array([[s[k] for k in ("sentence", "item", "field", "noise")] for s, _ in read]).reshape(-1, 4)
         total = spread_.sum(1, keepdims=True)
         share = np.where(total > 0, spread_ / np.maximum(total, 1), [0, 0, 0, 1.0])
@@ -316,9 +327,9 @@ def statistics(documents: DataFrame, profiles: Profiles, doc_id: str = "doc_id",
         symbols = classes[:, 6:].sum(1)
         out = []
         for i, t in enumerate(texts):
-            words = read[i][1]
-            n, lines = len(words), [x for x in t.split("\n") if x.strip()]
-            out.append((n, sum(map(len, words)) / n if n else None, float(symbols[i] / solid[i]) if solid[i] else None, sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines), sum(w in common for w in words) / n if n else None, langs[i], float(d[i]), float(e[i]), *map(float, share[i]), kinds[kind[i]]))
+            words, lines = read[i][1], [x for x in t.split("\n") if x.strip()]
+            n = words.total()
+            out.append((n, sum(len(w) * k for w, k in words.items()) / n if n else None, float(symbols[i] / solid[i]) if solid[i] else None, sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines), sum(words[w] for w in words.keys() & common) / n if n else None, langs[i], float(d[i]), float(e[i]), *map(float, share[i]), kinds[kind[i]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
