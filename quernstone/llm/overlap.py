@@ -46,9 +46,9 @@ _A = np.random.default_rng(5).integers(1, _PRIME, BANDS * ROWS, dtype=np.uint64)
 def bag(question: str) -> list[str]:
     """The words without case, accents, punctuation and invisible characters, digits as 0-9, sorted."""
     s = question
-    if not s.isascii():
+    if not (s.isascii() and s.isprintable()):
         s = unicodedata.normalize("NFKD", s.casefold())
-        s = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in s if unicodedata.category(c) not in ("Mn", "Me", "Cf") and c != "ـ")
+        s = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in s if c.isspace() or unicodedata.category(c) not in ("Mn", "Me", "Cf", "Cc") and c != "ـ")
         s = unicodedata.normalize("NFC", s)
     return sorted(_WORD.findall(s.lower()))
 

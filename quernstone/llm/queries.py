@@ -11,7 +11,7 @@ from quernstone.llm import budget, langid, mixing, neighbours, overlap, packing,
 from quernstone.llm.labels import code_of
 from quernstone.llm.tokens import BytePairs, Pieces, count_tokens
 from quernstone.llm.queries_sql import SQL
-from quernstone.plans.staging import spread
+from quernstone.plans.staging import checked_broadcast, spread
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,7 +204,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
     named = targets.select("source").distinct()
-    documents = table(spark, d, "documents").join(F.broadcast(named.limit(mixing.MOST_ROWS)), "source", "left_semi")
+    documents = table(spark, d, "documents").join(checked_broadcast(named, mixing.MOST_ROWS), "source", "left_semi")
     return mixing.mix(_sizes(documents, ("source",)), targets)
 
 

@@ -154,6 +154,6 @@ def stratified(records: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[
     quota = spark.createDataFrame(drawn, "plan_id int, category string, attribute string, quota long")
     places = ranked(once.where("category is not null"), ["category", "attribute"], ["rec_id"], seed)
     same = places["category"].eqNullSafe(quota["category"]) & places["attribute"].eqNullSafe(quota["attribute"]) & (places["place"] < quota["quota"])
-    sample = places.join(F.broadcast(quota), same).select("plan_id", "rec_id", places["category"], places["attribute"])
+    sample = places.join(F.broadcast(quota) if len(drawn) <= MOST_CELLS else quota, same).select("plan_id", "rec_id", places["category"], places["attribute"])
     made = spark.createDataFrame(report, "plan_id int, category string, target_pct int, min_rows int, n_available long, n_target long, n_drawn long, short long, unmet boolean")
     return sample, made
