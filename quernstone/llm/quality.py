@@ -42,7 +42,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…؟。])[\"'»”)\]]*\s+")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—+>▪◦‣]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)\]])\s+")
 _ITEM_SEPARATORS = re.compile(r"\s*[|;•·,،؛/]\s+|\s+[-–—]\s+|\t")
 _STRONG_SEPARATORS = re.compile(r"\s+[|•·/]\s+|\s*[;؛]\s+|\t|\s{3,}")
-_ANY_SEPARATOR = re.compile(r"[|;•·,،؛/\t]|\s[-–—]\s|\s{3}")
+_STRONG_MARK = re.compile(r"[|;•·؛/\t]|\s[-–—]\s|\s{3}")
 _ROW_SEPARATORS = ("|", "\t", ";", "  ", ",", "،")
 _COLUMNS = re.compile(r"\s{2,}")
 _PARTS = re.compile(r"[\s|;,،\"%]+")
@@ -248,7 +248,7 @@ def structure(text: str, known: set[str]) -> tuple[dict[str, float], Counter]:
             n = len(part.split())
             if not n:
                 continue
-            if _ANY_SEPARATOR.search(part):
+            if part.count(",") + part.count("،") >= 3 or _STRONG_MARK.search(part):
                 strong = [i for i in _STRONG_SEPARATORS.split(part) if i.strip()]
                 if len(strong) >= 2 and all(len(i.split()) < SENTENCE_WORDS for i in strong) and not _END.search(part):
                     out["item"] += n
