@@ -43,13 +43,24 @@ _PRIME = (1 << 61) - 1
 _A = np.random.default_rng(5).integers(1, _PRIME, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
+class _Plain(dict):
+    """A table for str.translate: digits as 0-9, marks and invisible characters dropped; filled as characters come."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        drop = not c.isspace() and (unicodedata.category(c) in ("Mn", "Me", "Cf", "Cc") or c == "ـ")
+        self[code] = None if drop else str(unicodedata.decimal(c)) if c.isdecimal() else c
+        return self[code]
+
+
+_PLAIN = _Plain()
+
+
 def bag(question: str) -> list[str]:
     """The words without case, accents, punctuation and invisible characters, digits as 0-9, sorted."""
     s = question
     if not (s.isascii() and s.isprintable()):
-        s = unicodedata.normalize("NFKD", s.casefold())
-        s = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in s if c.isspace() or unicodedata.category(c) not in ("Mn", "Me", "Cf", "Cc") and c != "ـ")
-        s = unicodedata.normalize("NFC", s)
+        s = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", s.casefold()).translate(_PLAIN))
     return sorted(_WORD.findall(s.lower()))
 
 
