@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernstone.functions.vectors import cosine, l2_normalize
+from quernstone.sources.io import read_by_language, write_by_language
 
 DIGITS = 6
 BLOCK = 4096  # documents that are compared at once
@@ -209,12 +210,12 @@ def _search_parts(queries: DataFrame, documents: DataFrame, k: int, spread: int
 
 def save_vectors(documents: DataFrame, path: str) -> None:
     """``doc_id, lang, vector`` at unit length, in a folder a language."""
-    documents.select("doc_id", "lang", l2_normalize(F.col("vector")).alias("vector")).where("vector is not null").write.mode("overwrite").partitionBy("lang").parquet(path)
+    unit = documents.select("doc_id", "lang", l2_normalize(F.col("vector")).alias("vector")).where("vector is not null")
+    write_by_language(unit, path)
 
 
-def load_vectors(spark: SparkSession, path: str, lang_type: str = "string") -> DataFrame:
-    stored = spark.read.parquet(path)
-    return stored.withColumn("lang", F.col("lang").cast(lang_type))
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return read_by_language(spark, path)
 
 
 def model_scores(pairs: DataFrame, query: Encoder, document: Encoder) -> DataFrame:

@@ -488,7 +488,7 @@ def dense_saved_index(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("lang"), F.col("embedding").alias("vector"))
     stage = Stage(spark, "vectors")
     dense.save_vectors(rows.withColumnRenamed("vec_id", "doc_id"), stage.path)
-    return dense.top_k(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), dense.load_vectors(spark, stage.path, "int"))
+    return dense.top_k(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), dense.load_vectors(spark, stage.path))
 
 
 @query

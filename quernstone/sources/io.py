@@ -36,16 +36,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_by_language(df: DataFrame, path: str) -> None:
+    """A folder a language, and beside them an empty table that keeps the columns' types."""
+    df.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/rows")
+    df.limit(0).write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def read_by_language(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_by_language`` wrote, with the types it had, even if it is empty or languages look like numbers."""
+    return spark.read.schema(spark.read.parquet(f"{path}/shape").schema).parquet(f"{path}/rows")
+
+
 def save_index(index: DataFrame, stats: DataFrame, path: str) -> None:
     """Weighted postings by language, sorted by term inside each file so that row groups can be skipped."""
-    index.repartition("lang", F.pmod(F.xxhash64("term"), F.lit(32))).sortWithinPartitions("lang", "term").write.mode("overwrite").partitionBy("lang").parquet(f"{path}/postings")
+    ordered = index.repartition("lang", F.pmod(F.xxhash64("term"), F.lit(32))).sortWithinPartitions("lang", "term")
+    write_by_language(ordered, f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``lang`` stays a string even where the folders' names look like numbers."""
-    read = spark.read.parquet(f"{path}/postings")
-    return read.withColumn("lang", F.col("lang").cast("string")), spark.read.parquet(f"{path}/stats")
+    return read_by_language(spark, f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
 def floor_split(rows: DataFrame, n: int, lang: str = "lang", order: str = "doc_id") -> DataFrame:
