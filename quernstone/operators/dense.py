@@ -145,15 +145,15 @@ def _best(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search_parts(queries: DataFrame, documents: DataFrame, k: int, spread: int | None) -> DataFrame:
-    """The ``k`` best of every part: ``query_id, lang, doc_id, score``."""
+def _search_parts(queries: DataFrame, documents: DataFrame, k: int, spread: int | None, most: int | None = None) -> DataFrame:
+    """The ``k`` best of every part: ``query_id, lang, doc_id, score``; ``most``: queries that a language holds at most."""
     spread = spread or max(SPREAD, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ids = documents.schema["doc_id"].dataType.simpleString()
     q_ids = queries.schema["query_id"].dataType.simpleString()
     lang = documents.schema["lang"].dataType.simpleString()
     parts = F.sequence(F.lit(0), F.lit(spread - 1))
     asked = queries.where("vector is not null")
-    rows = max(1, -(-asked.count() // ASKED))  # of the grid; each holds at most about ASKED queries
+    rows = max(1, -(-(asked.count() if most is None else most) // ASKED))  # of the grid; each holds at most about ASKED queries
     row = F.sequence(F.lit(0), F.lit(rows - 1))
     asks = asked.select("lang", F.explode(parts).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("row"), F.col("query_id"), F.lit(None).cast(ids).alias("doc_id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("kind"))
     docs = documents.where("vector is not null").select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int").alias("part"), F.explode(row).alias("row"), F.lit(None).cast(q_ids).alias("query_id"), "doc_id", F.col("vector").cast("array<double>").alias("vector"), F.lit(1).alias("kind"))
@@ -230,22 +230,41 @@ def chunk_scores(scored: DataFrame, how: str = "mean") -> DataFrame:
     return scored.groupBy("query_id", "doc_id").agg(F.round(f("score"), DIGITS + 2).alias("score"))
 
 
-def hash_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 5) -> DataFrame:
+def _probes(products: np.ndarray, probes: int) -> np.ndarray:
+    """``probes`` keys a row and table: the signs of ``products`` (rows, tables, bits), then those with the surest least changed."""
+    bits = products.shape[2]
+    own = ((products > 0) * (1 << np.arange(bits))).sum(2)[:, :, None]
+    few = min(bits, probes - 1)  # the n-th cheapest change flips none but the n - 1 least sure bits
+    if not few:
+        return own
+    margins = np.abs(products)
+    at = np.argsort(margins, axis=2, kind="stable")[:, :, :few]
+    flips = (np.arange(1 << few)[:, None] >> np.arange(few)) & 1
+    price = np.take_along_axis(margins, at, 2) @ flips.T
+    changed = (1 << at) @ flips.T
+    return own ^ np.take_along_axis(changed, np.argsort(price, axis=2, kind="stable")[:, :, :probes], 2)
+
+
+def hash_neighbours(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 5, probes: int = 8) -> DataFrame:
     """``query_id, doc_id, score, rank``: approximate top k by signs of random projections, reranked exactly.
 
-    A vector and a query are compared if all ``bits`` signs of any table agree. Both have
-    ``id, vector`` with ``dim`` numbers.
+    A vector and a query are compared if in any table all ``bits`` signs of the vector agree with one of
+    the query's ``probes`` likeliest keys: its own, and those that change the signs of its smallest
+    products. Both have ``id, vector`` with ``dim`` numbers.
     """
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
 
-    @F.pandas_udf("array<long>")
-    def keys(s: pd.Series) -> pd.Series:
-        x = np.stack(s.map(lambda v: np.asarray(v, np.float64)).values) if len(s) else np.zeros((0, dim))
-        signs = (x @ planes.T > 0).reshape(len(s), tables, bits)
-        key = (signs * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
-        return pd.Series(list(key))
+    def keys(n: int):
+        @F.pandas_udf("array<long>")
+        def run(s: pd.Series) -> pd.Series:
+            x = np.stack(s.map(lambda v: np.asarray(v, np.float64)).values) if len(s) else np.zeros((0, dim))
+            key = _probes((x @ planes.T).reshape(len(s), tables, bits), n) + (np.arange(tables) << bits)[:, None]
+            return pd.Series(list(key.reshape(len(s), -1)))
 
-    d = vectors.where("vector is not null").select(F.col("id").alias("doc_id"), "vector", F.explode(keys("vector")).alias("lang"))
-    q = queries.where("vector is not null").select(F.col("id").alias("query_id"), "vector", F.explode(keys("vector")).alias("lang"))
-    near = _search_parts(q, d, k, 1).select("query_id", "doc_id", "score").distinct()
+        return run
+
+    asked = queries.where("vector is not null")
+    d = vectors.where("vector is not null").select(F.col("id").alias("doc_id"), "vector", F.explode(keys(1)("vector")).alias("lang"))
+    q = asked.select(F.col("id").alias("query_id"), "vector", F.explode(keys(probes)("vector")).alias("lang"))
+    near = _search_parts(q, d, k, 1, asked.count()).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return _best(near, k)

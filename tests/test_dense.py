@@ -121,6 +121,21 @@ def test_hash_neighbours_find_copies(spark):
     assert got.groupBy("query_id", "doc_id").count().where("count > 1").count() == 0
 
 
+def test_hash_neighbours_recall(spark):
+    """Of the 10 nearest on the whole table, for the registered query."""
+    from quernstone.plans import retrieval
+
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    asked = np.nonzero(ids % 20 == 0)[0]
+    best = np.argsort(-np.round(x[asked] @ x.T, 6), axis=1, kind="stable")[:, :10]
+    want = {(int(ids[q]), int(ids[j])) for q, near in zip(asked, best, strict=True) for j in near}
+    got = {(r["query_id"], r["doc_id"]) for r in retrieval.queries()["hash_neighbours"](spark, d).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_last_wins(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, t int, v string")
     assert {r["k"]: r["v"] for r in io.last_wins(rows, "k", "t").collect()} == {"a": "y", "b": None}
