@@ -357,6 +357,19 @@ def best_params(spark: SparkSession, d: str) -> DataFrame:
     return E.best_parameters(bm25_grid(spark, d))
 
 
+@query
+def bm25_grid_full(spark: SparkSession, d: str) -> DataFrame:
+    """All 110 points of the reference's grid; there is no SQL for it, ``bm25_grid`` has the 9 points of its SQL."""
+    (_, tf, stats), queries = _postings(spark, d), _asked(spark, d)
+    return _r(E.bm25_grid(tf, stats, queries, _relevant(queries)), "recall")
+
+
+@query
+def best_params_full(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all 110 points; there is no SQL for it."""
+    return E.best_parameters(bm25_grid_full(spark, d))
+
+
 @query
 def accuracy_first_queries(spark: SparkSession, d: str) -> DataFrame:
     """Over the first 100 questions of dev, whatever their language."""

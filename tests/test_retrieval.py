@@ -108,6 +108,19 @@ def test_grid_and_best(spark, corpus, tf):
     assert best["grid_pos"] == min(r["grid_pos"] for r in grid.collect() if abs(r["recall"] - best["recall"]) < 1e-9)
 
 
+def test_full_grid(spark):
+    """All points of the reference's grid, equal to the small one where both have a point; the best of all is taken."""
+    Q = retrieval.queries()
+    full = {(r["lang"], r["k1"], r["b"]): r for r in Q["bm25_grid_full"](spark, SF).collect()}
+    few = {(r["lang"], r["k1"], r["b"]): r["recall"] for r in Q["bm25_grid"](spark, SF).collect()}
+    langs = {lang for lang, _, _ in few}
+    assert full.keys() == {(lang, k1, b) for lang in langs for k1 in E.K1_GRID for b in E.B_GRID} and len(E.K1_GRID) * len(E.B_GRID) == 110
+    assert all(p in E.K1_GRID and b in E.B_GRID for p, b in I.TUNED.values())
+    assert {p: full[p]["recall"] for p in few} == few
+    best = {r["lang"]: (r["recall"], r["grid_pos"]) for r in Q["best_params_full"](spark, SF).collect()}
+    assert best == {lang: (x["recall"], x["grid_pos"]) for lang in langs for x in [min((r for r in full.values() if r["lang"] == lang), key=lambda r: (-r["recall"], r["grid_pos"]))]}
+
+
 def test_empty_inputs(spark, corpus, tf):
     none = ask(spark, "a").where("false")
     index = I.bm25_index(tf, I.corpus_stats(corpus))
