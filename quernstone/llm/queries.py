@@ -78,11 +78,10 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every stretch of one language in corpus_df, with its language, words and confidence."""
-    _, model = _labelled(spark, d)
-    corpus = table(spark, d, "corpus_df")
-    found = langid.segments(corpus, model, "docid", "text").dropDuplicates(["docid", "seg_no"])
-    return found.select("docid", "seg_no", "lang", "n_words", F.round("confidence", 6).alias("confidence"), F.length("segment").alias("n_chars"))
+    """Every stretch of one language in corpus_df and train, with its language, words and confidence."""
+    records, model = _labelled(spark, d)
+    found = langid.segments(records, model, keep=("tbl",))
+    return found.select("tbl", "rec_id", "seg_no", "lang", "n_words", F.round("confidence", 6).alias("confidence"), F.length("segment").alias("n_chars")).dropDuplicates(["tbl", "rec_id", "seg_no"])
 
 
 # ---- problem 3: oversized items

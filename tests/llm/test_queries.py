@@ -44,3 +44,19 @@ def test_sql_agrees(spark, name):
     a = sorted(tuple(str(r[c]) for c in names) for r in Q.queries()[name](spark, SMALL).collect())
     b = sorted(tuple(str(x) for x in r) for r in want.project(", ".join(names)).fetchall())
     assert a == b
+
+
+def test_segments_of_both_tables(spark):
+    """Every record with a text has stretches that together hold its words, numbered from 1."""
+    got = Q.queries()["p2_segments"](spark, SMALL).collect()
+    for tbl, key, text in (("corpus_df", "docid", "text"), ("train", "query_id", "query")):
+        rows = spark.read.parquet(f"{SMALL}/{tbl}.parquet").selectExpr(f"cast({key} as string) as rec_id", f"{text} as text").collect()
+        words = {r["rec_id"]: r["text"].split() for r in rows if r["text"] and r["text"].split()}
+        of = {}
+        for r in sorted((r for r in got if r["tbl"] == tbl), key=lambda r: r["seg_no"]):
+            of.setdefault(r["rec_id"], []).append(r)
+        assert of.keys() == words.keys()
+        for rec_id, stretches in of.items():
+            assert [r["seg_no"] for r in stretches] == list(range(1, len(stretches) + 1))
+            assert sum(r["n_chars"] for r in stretches) + len(stretches) - 1 == len(" ".join(words[rec_id]))
+    assert any(r["seg_no"] > 1 for r in got if r["tbl"] == "train")
