@@ -230,6 +230,20 @@ def chunk_scores(scored: DataFrame, how: str = "mean") -> DataFrame:
     return scored.groupBy("query_id", "doc_id").agg(F.round(f("score"), DIGITS + 2).alias("score"))
 
 
+def candidate_chunks(near: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score``: all chunks of every document of which a chunk is in ``near``, scored exactly.
+
+    near: ``query_id, lang, doc_id`` (of the document); queries: ``query_id, vector``; chunks: ``doc_id, lang,
+    vector``, where a document's chunks are those with its language. Null vectors and those of another width
+    than the query's are left out.
+    """
+    pairs = near.select("query_id", "lang", "doc_id").distinct()
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("_q"))
+    own = chunks.where("vector is not null").select("lang", "doc_id", F.col("vector").cast("array<double>").alias("_d"))
+    met = pairs.join(own, ["lang", "doc_id"]).join(asked, "query_id").where(F.size("_q") == F.size("_d"))
+    return met.select("query_id", "doc_id", F.round(cosine(F.col("_q"), F.col("_d")), DIGITS).alias("score"))
+
+
 def _probes(products: np.ndarray, probes: int) -> np.ndarray:
     """``probes`` keys a row and table: the signs of ``products`` (rows, tables, bits), then those with the surest least changed."""
     bits = products.shape[2]

@@ -530,6 +530,27 @@ def chunk_to_doc_max(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d, "max")
 
 
+def _rescored(spark: SparkSession, d: str, how: str) -> DataFrame:
+    """As in the reference, the 100 best chunks only choose the documents, whose chunks of the query's language all count."""
+    doc = F.expr("doc_id div 4").alias("doc_id")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("lang"), F.col("embedding").alias("vector"))
+    near = _dense(spark, d, 100).select("query_id", "lang", doc)
+    asked = rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return dense.chunk_scores(dense.candidate_chunks(near, asked, rows.select(doc, "lang", "vector")), how)
+
+
+@query
+def chunk_to_doc_mean_full(spark: SparkSession, d: str) -> DataFrame:
+    """Mean over all chunks of the candidate documents; there is no SQL for it, ``chunk_to_doc_mean`` has that of the 100 best chunks."""
+    return _rescored(spark, d, "mean")
+
+
+@query
+def chunk_to_doc_sum_full(spark: SparkSession, d: str) -> DataFrame:
+    """Sum over all chunks of the candidate documents; there is no SQL for it."""
+    return _rescored(spark, d, "sum")
+
+
 @query
 def hash_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Approximate search by random signs; there is no SQL for it."""

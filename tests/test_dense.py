@@ -121,6 +121,29 @@ def test_hash_neighbours_find_copies(spark):
     assert got.groupBy("query_id", "doc_id").count().where("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("how", ["mean", "sum"])
+def test_all_chunks_of_candidates_count(spark, how):
+    """Against numpy: the 100 best chunks choose the documents, and all their chunks of the language are scored."""
+    from quernstone.plans import retrieval
+
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding").orderBy("vec_id").collect()
+    ids, labels, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], object), np.array([r[2] for r in rows])
+    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want, cut = {}, 0
+    for q in np.nonzero(ids % 20 == 0)[0]:
+        own = np.nonzero(labels == labels[q])[0]
+        score = np.round(x[own] @ x[q], 6)
+        best = np.argsort(-score, kind="stable")[:100]
+        for doc in set((ids[own[best]] // 4).tolist()):
+            s = score[ids[own] // 4 == doc]
+            cut += len(s) > (ids[own[best]] // 4 == doc).sum()
+            want[int(ids[q]), doc] = s.mean() if how == "mean" else s.sum()
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.queries()[f"chunk_to_doc_{how}_full"](spark, d).collect()}
+    assert cut > 0 and got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
 def test_hash_neighbours_recall(spark):
     """Of the 10 nearest on the whole table, for the registered query."""
     from quernstone.plans import retrieval
