@@ -189,8 +189,8 @@ def _search(dim: int, k: int, least: float):
 def nearest(df: DataFrame, doc_id: str, vector: str, k: int = 10, least: float = -1.0, dim: int = 64, tables: int = 8, hashes: int = 2, probes: int = 2, asking: str = "true") -> DataFrame:
     """``id, near_id, cosine, rank``: of each document the ``k`` nearest others found, by falling cosine, then id.
 
-    Two hashes a bucket find vectors with a cosine of 0.9 or more all but surely; one hash
-    and more probes are for neighbours as far as 0.5 (recall in the README).
+    Two hashes a bucket find 0.99 of the vectors with a cosine of 0.90 and more of nearer ones; one
+    hash and more probes are for neighbours as far as 0.5 (recall in the README).
 
     asking: SQL over ``id`` that tells whose neighbours are sought; all vectors are
     searched. Rows with a vector that is null, of another width, zero or not finite are

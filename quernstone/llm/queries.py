@@ -35,7 +35,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents of which one is among the other's 10 nearest, with a cosine of 0.90 or more."""
     each = []
     for field, df in _vectors(spark, d):
-        near = neighbours.nearest(df, "docid", field, k=10, least=0.90, tables=5)
+        near = neighbours.nearest(df, "docid", field, k=10, least=0.90, tables=8)
         each.append(near.select(F.lit(field).alias("field"), F.least("id", "near_id").alias("docid_a"), F.greatest("id", "near_id").alias("docid_b")))
     return each[0].unionByName(each[1]).distinct()
 

@@ -1,4 +1,7 @@
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quernstone.llm import queries as Q
@@ -60,3 +63,22 @@ def test_segments_of_both_tables(spark):
             assert [r["seg_no"] for r in stretches] == list(range(1, len(stretches) + 1))
             assert sum(r["n_chars"] for r in stretches) + len(stretches) - 1 == len(" ".join(words[rec_id]))
     assert any(r["seg_no"] > 1 for r in got if r["tbl"] == "train")
+
+
+def planted_pairs(at, cosine, n=3000):
+    """Tables of ``n`` random pairs of vectors with the given cosine."""
+    for seed, (name, field) in enumerate((("doc_embeds", "embeds"), ("doc_encodes", "encode"))):
+        r = np.random.default_rng(seed)
+        a, b = r.standard_normal((2, n, 64))
+        a /= np.sqrt((a * a).sum(1, keepdims=True))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = cosine * a + np.sqrt(1 - cosine**2) * b / np.sqrt((b * b).sum(1, keepdims=True))
+        x = np.concatenate((a, b)).astype(np.float32)
+        pq.write_table(pa.table({"docid": [f"{i % n:05}{'ab'[i // n]}" for i in range(2 * n)], field: pa.array(list(x), pa.list_(pa.float32()))}), f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_near_pairs_at_the_limit_are_found(spark, tmp_path):
+    got = Q.queries()["p1_found"](spark, planted_pairs(tmp_path, 0.901)).collect()
+    assert all(r["docid_a"][:5] == r["docid_b"][:5] for r in got)
+    assert len(got) >= 0.975 * 6000
