@@ -7,8 +7,9 @@ hashes, verified first by exact Jaccard similarity and then word by word.
 TESTDATA.md's notion of the same question replaces five-word shingles: word places don't
 count, so shingles are letter trigrams inside words (Hangul as letters), without digits.
 Numbers must be equal, so the numbers are part of each bucket's key. Two slips and a small
-word leave short questions with a similarity a little above one half, which is
-``MIN_JACCARD``.
+word leave questions above ``SHORT`` letters with a similarity of about one half or more, which is
+``MIN_JACCARD``. Pairs with a shorter question meet in exact keys instead, whatever their
+similarity: their letters, with up to two and up to one word taken away.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from quernstone.plans.staging import Stage, spread
 
 BANDS, ROWS = 16, 4
 MIN_JACCARD = 0.5
+SHORT = 32  # letters of a question up to which bands don't suffice
 MOST_SLIPS = 2  # letters, in all words together
 MOST_APART = 4  # different words on a side, when spaces are set otherwise
 MOST_SMALL = 1  # words added or left out
@@ -77,6 +79,31 @@ def shingles(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def _letters(words: list[str]) -> str:
+    return _DIGITS.sub("", "".join(words))
+
+
+def short_keys(words: list[str]) -> set[int]:
+    """Keys of which any two questions have one in common that ``compare`` may take for the same and one of which is short.
+
+    A slip changes one letter of the bag of letters, a swap or another space none.
+    """
+    n, keys = numbers(words), set()
+    if sum(map(len, words)) - max(map(len, words), default=0) > SHORT + MOST_SLIPS and len(_letters(words)) - max(map(len, words)) > SHORT + MOST_SLIPS:
+        return keys  # too long whatever is taken away
+    for i in range(-1, len(words)):
+        if i >= 0 and (_DIGITS.search(words[i]) or words[i] in words[:i]):
+            continue  # numbers are the same on both sides
+        left = sorted(_letters(words if i < 0 else words[:i] + words[i + 1 :]))
+        if len(left) > SHORT + MOST_SLIPS:
+            continue
+        some = {"".join(left)}
+        for _ in range(MOST_SLIPS):
+            some |= {x[:j] + x[j + 1 :] for x in some for j in range(len(x))}
+        keys |= {int.from_bytes(hashlib.blake2b(f"{n}|{x}".encode(), digest_size=8).digest(), signed=True) for x in some if x}
+    return keys
+
+
 def jaccard(a: list[str], b: list[str]) -> float:
     x, y = {s for w in a for s in shingles(w)}, {s for w in b for s in shingles(w)}
     return len(x & y) / len(x | y) if x or y else 1.0
@@ -206,8 +233,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
     for b in batches:
-        keys = signer.bands([w.split(" ") for w in b.column(3).to_pylist()])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+        bags = [w.split(" ") for w in b.column(3).to_pylist()]
+        lists = pa.array([[*k, *short_keys(w)] for k, w in zip(signer.bands(bags).tolist(), bags, strict=True)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], names=["class", "in_train", "in_eval", "buckets"])
 
 
@@ -218,7 +245,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = p.split(" "), q.split(" ")
             if len(set(x).difference(y)) > MOST_APART or len(set(y).difference(x)) > MOST_APART:
                 continue  # compare() rejects them whatever their similarity
-            if (sim := jaccard(x, y)) >= MIN_JACCARD and (doubt := compare(x, y)) is not None:
+            if ((sim := jaccard(x, y)) >= MIN_JACCARD or min(len(_letters(x)), len(_letters(y))) <= SHORT) and (doubt := compare(x, y)) is not None:
                 keep.append(i)
                 sims.append(sim)
                 doubts.append([{"p": u, "q": v} for u, v in doubt])

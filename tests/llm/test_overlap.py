@@ -105,3 +105,18 @@ def test_hot_question(spark):
     pairs, members = O.same_questions(a, b)
     assert pairs.count() == 1 and O.expand(pairs, members).count() == 5000
     assert O.report(pairs, members).first()["n_pairs"] == 5000
+
+
+def test_short_questions_with_two_slips(spark):
+    """All pairs are found, though bands and similarity miss many; so is one with a word more, above the length."""
+    r = np.random.default_rng(8)
+    abc = list("abcdefghijklmnopqrstuvwxyz")
+    train, dev = [], []
+    for i in range(300):
+        words = ["".join(r.choice(abc, 5)) for _ in range(4)]
+        other = [w[:2] + ("x" if w[2] != "x" else "y") + w[3:] if j < 2 else w for j, w in enumerate(words)]
+        train.append((i, " ".join(words), None))
+        dev.append((1000 + i, " ".join([*other, "abcdefghij"] if i % 2 else other), None, "dev"))
+    pairs, members = O.same_questions(spark.createDataFrame(train, "query_id long, query string, source string"), spark.createDataFrame(dev, "query_id long, query string, source string, split string"))
+    got = {(x["train_id"], x["eval_id"]) for x in O.expand(pairs, members).collect()}
+    assert got == {(i, 1000 + i) for i in range(300)}
