@@ -104,13 +104,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 # ---- problem 4: samples in target proportions
 
 
-def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _asked_once(spark: SparkSession, d: str) -> DataFrame:
     codes = table(spark, d, "languages")
     domains = table(spark, d, "sources").groupBy("source").agg(F.min("domain").alias("attribute"))
     asked = table(spark, d, "train").where(F.col("query").rlike(r"(?U)\S"))
     records = asked.select(F.col("query_id").alias("rec_id"), code_of(F.col("lang"), codes).alias("category"), "source").join(domains, "source", "left")
+    return records.groupBy("rec_id").agg(F.min(F.struct("category", "attribute")).alias("x")).select("rec_id", "x.*")
+
+
+def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "sample_targets").withColumnRenamed("lang", "category")
-    return sampling.stratified(records.select("rec_id", "category", "attribute"), targets)
+    return sampling.stratified(_asked_once(spark, d), targets)
 
 
 @query
@@ -131,6 +135,20 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return _drawn(spark, d)[0].select("plan_id", F.col("rec_id").alias("query_id"), F.col("category").alias("lang"), F.col("attribute").alias("domain"))
 
 
+@query
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Of every plan and language the rows of each domain, and whether the sample holds their proportional share but for one row."""
+    records, domain = _asked_once(spark, d), "attribute"
+    sample, report = _drawn(spark, d)
+    cells = records.groupBy("category", domain).agg(F.count("*").alias("n_rows"))
+    drawn = sample.groupBy("plan_id", "category", domain).agg(F.count("*").alias("n"), F.countDistinct("rec_id").alias("n_ids"))
+    every = report.select("plan_id", "category", "n_available", "n_drawn").join(cells, "category")
+    both = [every[c].eqNullSafe(drawn[c]) for c in ("plan_id", "category", domain)]
+    share = F.col("n_drawn") * F.col("n_rows") / F.col("n_available")
+    fair = (F.abs(F.coalesce("n", F.lit(0)) - share) < 1) & (F.coalesce("n", F.lit(0)) == F.coalesce("n_ids", F.lit(0)))
+    return every.join(drawn, both, "left").select(every["plan_id"], every["category"].alias("lang"), every[domain].alias("domain"), "n_rows", fair.alias("fair"))
+
+
 # ---- problem 5: overlaps across splits
 
 
@@ -200,10 +218,21 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(_sizes(spread(table(spark, d, "documents").select("doc_id", "text")))))
 
 
+@query
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document whether it lies whole in one container, or in full ones and a rest, none of them above the capacity."""
+    sizes = _sizes(spread(table(spark, d, "documents").select("doc_id", "text")))
+    packed = packing.pack(sizes)
+    loads = packed.groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    parts = packed.join(loads, "container").groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.max("load").alias("load"))
+    kept = (F.col("placed") == F.col("n_tokens")) & (F.col("n") == F.col("parts")) & (F.col("n") == F.greatest(F.ceil(F.col("n_tokens") / packing.CAPACITY), F.lit(1))) & (F.col("load") <= packing.CAPACITY)
+    return sizes.where("n_tokens is not null").join(parts, "doc_id", "left").select("doc_id", F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
     named = targets.select("source").distinct()
-    documents = table(spark, d, "documents").join(checked_broadcast(named, mixing.MOST_ROWS), "source", "left_semi")
+    documents = table(spark, d, "documents").join(checked_broadcast(named, mixing.MOST_BROADCAST), "source", "left_semi")
     return mixing.mix(_sizes(documents, ("source",)), targets)
 
 
@@ -226,6 +255,16 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0]
 
 
+@query
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Of every target whether the mix keeps it: uses up to ``max_repeats``, tokens as reported, no more than the target rounded up, no use left where it is short."""
+    used, report = _mixed(spark, d)
+    sums = used.groupBy("mix_id", "source").agg(F.max("n_uses").alias("most"), F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+    kept = F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("tokens") == F.col("actual_tokens")) & (F.col("n") == F.col("ids")), F.col("actual_tokens") == 0)
+    kept &= (F.col("actual_tokens") <= F.ceil("target_tokens")) & (~F.col("short") | (F.col("actual_tokens") == F.col("available_tokens") * F.col("max_repeats")))
+    return report.join(sums, ["mix_id", "source"], "left").select("mix_id", "source", F.col("weight_pct").cast("int").alias("weight_pct"), "max_repeats", kept.alias("kept"))
+
+
 # ---- problem 9: text statistics
 
 

@@ -30,11 +30,12 @@ b AS (SELECT item_id, n, p FROM m WHERE p = n OR piece = chr(10) OR (ltrim(befor
 s AS (SELECT item_id, n, p - coalesce(lag(p) OVER (PARTITION BY item_id ORDER BY p), 0) AS stretch FROM b)
 SELECT item_id, CASE WHEN max(stretch) > 510 THEN 'forced' ELSE 'natural' END AS cut_kind FROM s WHERE n > 510 GROUP BY item_id"""
 
-P4 = rf"""WITH {CODES},
-t AS (SELECT query_id, min(k) AS k FROM (SELECT query_id, {KEY} AS k FROM train WHERE regexp_matches(query, '[^\s\p{{Z}}]')) GROUP BY query_id),
-l AS (SELECT coalesce(c.code, t.k) AS lang, count(*) AS n FROM t LEFT JOIN codes c ON t.k = c.name GROUP BY 1),
-a AS (SELECT count(*) AS n FROM t)
-SELECT DISTINCT plan_id, s.lang FROM sample_targets s CROSS JOIN a LEFT JOIN l ON l.lang = s.lang WHERE coalesce(l.n, 0) * 10000 < target_pct * sample_pct * a.n OR coalesce(l.n, 0) < min_rows"""
+_P4 = rf"""WITH {CODES},
+t AS (SELECT query_id, min(ROW(coalesce(c.code, k), domain)) AS x FROM (SELECT query_id, source, {KEY} AS k FROM train WHERE regexp_matches(query, '[^\s\p{{Z}}]')) q LEFT JOIN codes c ON q.k = c.name LEFT JOIN (SELECT source, min(domain) AS domain FROM sources GROUP BY source) d ON d.source = q.source GROUP BY query_id),
+l AS (SELECT x[1] AS lang, x[2] AS domain, count(*) AS n FROM t GROUP BY 1, 2),
+a AS (SELECT CAST(count(*) AS BIGINT) AS n FROM t),
+r AS (SELECT plan_id, s.lang, target_pct, min_rows, coalesce((SELECT CAST(sum(l.n) AS BIGINT) FROM l WHERE l.lang = s.lang), 0) AS n_available, greatest((target_pct * sample_pct * a.n + 9999) // 10000, min_rows) AS n_target FROM (SELECT DISTINCT * FROM sample_targets) s CROSS JOIN a)
+"""
 
 _P6 = rf"""WITH RECURSIVE {CODES},
 special AS (SELECT list(token_id) AS ids FROM vocab WHERE is_special),
@@ -54,7 +55,11 @@ b AS (SELECT f.source, d.domain, f.lang, count(*) AS n_items, CAST(sum(coalesce(
 SQL = {
     "p1_found": P1,
     "p3_found": P3,
-    "p4_found": P4,
+    "p4_found": _P4 + "SELECT plan_id, lang FROM r WHERE n_available < n_target",
+    "p4_report": _P4 + "SELECT *, least(n_target, n_available) AS n_drawn, greatest(n_target - n_available, 0) AS short, n_available < n_target AS unmet FROM r",
+    "p4_shares": _P4 + "SELECT plan_id, r.lang, domain, n AS n_rows, TRUE AS fair FROM r JOIN l ON l.lang = r.lang",
+    "p7_rules": "SELECT doc_id, TRUE AS kept FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL",
+    "p8_rules": "SELECT DISTINCT mix_id, source, weight_pct, max_repeats, TRUE AS kept FROM mix_targets",
     "p6_totals": _P6 + "SELECT * FROM b",
     "p6_rollup": _P6 + "SELECT slice, name, CAST(sum(n_items) AS BIGINT) AS n_items, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM (SELECT 'source' AS slice, source AS name, n_items, n_tokens FROM b UNION ALL SELECT 'lang', lang, n_items, n_tokens FROM b UNION ALL SELECT 'domain', domain, n_items, n_tokens FROM b UNION ALL SELECT 'all', 'all', n_items, n_tokens FROM b) GROUP BY slice, name",
 }

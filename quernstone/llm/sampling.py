@@ -1,14 +1,18 @@
 """Problem 4: samples whose shares of each category match target proportions.
 
 Records are counted by category and a second attribute (cells). For each plan a min-cost
-flow gives every cell a whole quota: arcs carry the categories' targets and floors, the
-cells' availability and the second attribute's margins; slack arcs carry what can't be met.
-Quotas are drawn by a seeded random rank inside each cell.
+flow runs from the categories over their cells to the attributes: arcs carry the
+categories' targets and floors and the cells' availability, and a dear slack arc of each
+category carries what can't be met. What the flow serves of a category is spread over its
+cells in proportion to their rows; each cell's quota is that share rounded down or up, drawn at random on
+the network of the fractional parts, so that categories keep their sums and attributes theirs but for one row.
+The rows of a quota are drawn by a seeded random rank inside each cell.
 """
 
 from __future__ import annotations
 
 import heapq
+import random
 from collections import defaultdict
 from fractions import Fraction
 
@@ -47,11 +51,11 @@ class Flow:
         return self.room[arc ^ 1]
 
     def run(self, source: object, sink: object) -> None:
-        """Sends all that fits, each path the cheapest (costs aren't negative)."""
+        """Sends all that fits, the cheapest first (costs aren't negative): blocking flows over the shortest paths of each cost."""
         s, t, n = self.node(source), self.node(sink), len(self.names)
         potential = [0] * n
         while True:
-            dist, via = [None] * n, [-1] * n
+            dist: list[int | None] = [None] * n
             dist[s] = 0
             heap = [(0, s)]
             while heap:
@@ -63,60 +67,159 @@ class Flow:
                     if self.room[e] > 0:
                         far = d + self.cost[e] + potential[u] - potential[v]
                         if dist[v] is None or far < dist[v]:
-                            dist[v], via[v] = far, e
+                            dist[v] = far
                             heapq.heappush(heap, (far, v))
             if dist[t] is None:
                 return
+            far = max(d for d in dist if d is not None)
             for v in range(n):
-                if dist[v] is not None:
-                    potential[v] += dist[v]
-            amount, v = None, t
-            while v != s:
-                amount = self.room[via[v]] if amount is None else min(amount, self.room[via[v]])
-                v = self.to[via[v] ^ 1]
-            v = t
-            while v != s:
-                self.room[via[v]] -= amount
-                self.room[via[v] ^ 1] += amount
-                v = self.to[via[v] ^ 1]
-
-
-def shared_out(total: int, weights: dict) -> dict:
-    """``total`` split by weights into whole numbers, the largest remainders rounded up."""
-    whole = sum(weights.values())
-    if not whole:
-        return dict.fromkeys(weights, 0)
-    exact = {k: Fraction(total) * w / whole for k, w in weights.items()}
+                potential[v] += far if dist[v] is None else dist[v]
+            while self._block(s, t, n, potential):
+                pass
+
+    def _block(self, s: int, t: int, n: int, potential: list[int]) -> bool:
+        """Saturates the arcs without reduced cost level by level; False if they don't reach the sink."""
+        level, todo = [-1] * n, [s]
+        level[s] = 0
+        for u in todo:
+            for e in self.arcs[u]:
+                v = self.to[e]
+                if level[v] < 0 and self.room[e] > 0 and self.cost[e] + potential[u] == potential[v]:
+                    level[v] = level[u] + 1
+                    todo.append(v)
+        if level[t] < 0:
+            return False
+        at, path, u = [0] * n, [], s
+        while True:
+            if u == t:
+                amount = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= amount
+                    self.room[e ^ 1] += amount
+                while path and self.room[path[-1]] == 0:
+                    path.pop()
+                full = next((i for i, e in enumerate(path) if self.room[e] == 0), len(path))
+                del path[full:]
+                u = self.to[path[-1]] if path else s
+            elif at[u] < len(self.arcs[u]):
+                e = self.arcs[u][at[u]]
+                v = self.to[e]
+                if self.room[e] > 0 and level[v] == level[u] + 1 and self.cost[e] + potential[u] == potential[v]:
+                    path.append(e)
+                    u = v
+                else:
+                    at[u] += 1
+            elif path:
+                u = self.to[path.pop() ^ 1]
+                at[u] += 1
+            else:
+                return True
+
+
+def rounded(exact: dict[tuple, Fraction], seed: object = 0) -> dict[tuple, int]:
+    """Each cell's exact number rounded down or up at random, up as often as its fraction says.
+
+    The sums of each category are whole and stay as they are, those of each attribute are rounded down or up. On the
+    network of the cells' fractions a cycle is raised and lowered in turn until one of its cells is whole, at random in
+    the direction that keeps every cell's expectation; there is a cycle as long as a cell has a fraction.
+    """
     out = {k: int(x) for k, x in exact.items()}
-    for k in sorted(weights, key=lambda k: (out[k] - exact[k], str(k)))[: total - sum(out.values())]:
-        out[k] += 1
+    ends, part, keys = [], [], []
+    beyond: dict = defaultdict(Fraction)
+    for k in sorted(exact, key=str):
+        if f := exact[k] - out[k]:
+            ends.append((("category", k[0]), ("attribute", k[1])))
+            part.append(float(f))
+            keys.append(k)
+            beyond[k[1]] += f
+    for a in sorted(beyond, key=str):  # makes the attributes' sums whole too
+        if f := -beyond[a] % 1:
+            ends.append(("rest", ("attribute", a)))
+            part.append(float(f))
+            keys.append(None)
+    draw, tiny = random.Random(str(seed)), 1e-9
+    open_ = [True] * len(ends)
+    around: dict = defaultdict(list)
+    for e, (u, v) in enumerate(ends):
+        around[u].append(e)
+        around[v].append(e)
+    for edges in around.values():
+        draw.shuffle(edges)
+
+    def leave(node: object, came: int) -> int:
+        """Another open edge of a node than the one that led there; -1 if there is none."""
+        edges = around[node]
+        for back in (1, 2):
+            while len(edges) >= back and not open_[edges[-back]]:
+                del edges[-back]
+            if len(edges) >= back and edges[-back] != came:
+                return edges[-back]
+        return -1
+
+    def settle(e: int) -> None:
+        if part[e] <= tiny or part[e] >= 1 - tiny:
+            part[e], open_[e] = float(round(part[e])), False
+
+    for first in range(len(ends)):
+        nodes, path, seen = [ends[first][0]], [], {ends[first][0]: 0}
+        while nodes and open_[first]:
+            e = leave(nodes[-1], path[-1] if path else -1)
+            if e < 0:  # the rounding of the sums left one edge
+                if not path:
+                    break
+                last = path.pop()
+                seen.pop(nodes.pop())
+                part[last], open_[last] = float(round(part[last])), False
+                continue
+            u, v = ends[e]
+            node = v if u == nodes[-1] else u
+            path.append(e)
+            if node not in seen:
+                seen[node] = len(nodes)
+                nodes.append(node)
+                continue
+            start = seen[node]
+            up, down = path[start::2], path[start + 1 :: 2]
+            more = min(min(1 - part[x] for x in up), min(part[x] for x in down))
+            less = min(min(part[x] for x in up), min(1 - part[x] for x in down))
+            step = more if draw.random() * (more + less) < less else -less
+            for sign, edges in ((1, up), (-1, down)):
+                for x in edges:
+                    part[x] += sign * step
+                    settle(x)
+            del path[start:]
+            for x in nodes[start + 1 :]:
+                del seen[x]
+            del nodes[start + 1 :]
+    for k, p in zip(keys, part, strict=True):
+        if k is not None:
+            out[k] += round(p)
     return out
 
 
-def quotas(cells: dict[tuple, int], targets: dict[str, tuple[int, int]], sample: int) -> tuple[dict[tuple, int], dict[str, int]]:
-    """Quota of each cell (category, attribute), and what each category's target lacks.
+def quotas(cells: dict[tuple, int], targets: dict[str, tuple[Fraction, int]], seed: object = 0) -> tuple[dict[tuple, int], dict[str, int], dict[str, int]]:
+    """Quota of each cell (category, attribute), the categories' demands, and what each demand lacks.
 
-    targets: category -> (percent, least rows). A category's demand is its share of the
-    sample or its floor, whichever is more. Attributes get their share of the targeted
-    cells as far as the categories allow.
+    targets: category -> (exact rows, least rows). A demand is the exact number rounded up, or the least if that is more.
     """
-    demand = {c: max(n, targets[c][1]) for c, n in shared_out(sample * sum(p for p, _ in targets.values()) // 100, {c: p for c, (p, _) in targets.items()}).items()}
-    own = {k: n for k, n in cells.items() if k[0] in targets and n > 0}
-    margins: dict = defaultdict(int)
-    for (_, a), n in own.items():
-        margins[a] += n
-    margins = shared_out(sum(demand.values()), margins)
-    flow, slack, arcs = Flow(), {}, {}
+    demand = {c: max(-(-x.numerator // x.denominator), least) for c, (x, least) in targets.items()}
+    own = {k: n for k, n in cells.items() if k[0] in demand and n > 0}
+    flow, slack, arcs = Flow(), {}, defaultdict(list)
     for c in sorted(demand):
         flow.arc("source", ("category", c), demand[c])
-        slack[c] = flow.arc(("category", c), "sink", demand[c], 1000)  # what isn't there
+        slack[c] = flow.arc(("category", c), "sink", demand[c], 1)  # what isn't there
     for (c, a), n in sorted(own.items(), key=str):
-        arcs[c, a] = flow.arc(("category", c), ("attribute", a), n)
-    for a, n in sorted(margins.items(), key=str):
-        flow.arc(("attribute", a), "sink", n)
-        flow.arc(("attribute", a), "sink", sum(demand.values()), 1)  # beyond its margin
+        arcs[c].append(flow.arc(("category", c), ("attribute", a), n))
+    rows: dict = defaultdict(int)
+    for (c, a), n in own.items():
+        rows["attribute", a] += n
+        rows["category", c] += n
+    for kind, a in sorted((x for x in rows if x[0] == "attribute"), key=str):
+        flow.arc((kind, a), "sink", rows[kind, a])
     flow.run("source", "sink")
-    return {k: flow.carried(e) for k, e in arcs.items()}, {c: flow.carried(e) for c, e in slack.items()}
+    served = {c: sum(map(flow.carried, arcs[c])) for c in demand}
+    exact = {(c, a): Fraction(served[c] * n, rows["category", c]) for (c, a), n in own.items()}
+    return rounded(exact, seed), demand, {c: flow.carried(e) for c, e in slack.items()}
 
 
 def stratified(records: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +230,9 @@ def stratified(records: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[
     sample_pct, category, target_pct, min_rows``. Repeated ids count once; rows of targets with a
     null are left out and of repeated ones the largest holds. A plan's size is ``sample_pct`` percent of all records. Returns
     ``plan_id, rec_id, category, attribute`` and ``plan_id, category, target_pct, min_rows,
-    n_available, n_target, n_drawn, short, unmet``: ``unmet`` if there are fewer records
-    than the exact, unrounded target or the floor.
+    n_available, n_target, n_drawn, short, unmet``: the target is rounded up, or the floor; ``short`` is what
+    the flow sends over the category's slack arc, and ``unmet`` whether it sends any there, which it does if and only
+    if there are fewer records than the exact, unrounded target or the floor.
     """
     spark = records.sparkSession
     stage = Stage(spark, "sampling")
@@ -140,17 +244,21 @@ def stratified(records: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[
         raise ValueError("too many cells or targets")
     cells = {(r["category"], r["attribute"]): r["count"] for r in counted}
     n = sum(cells.values())
+    have: dict = defaultdict(int)
+    for (c, _), k in cells.items():
+        have[c] += k
     drawn, report = [], []
-    for plan in sorted({r["plan_id"] for r in rows}):
-        own = {r["category"]: r["x"] for r in rows if r["plan_id"] == plan}
-        pct = max(x["sample_pct"] for x in own.values())
-        quota, lacking = quotas(cells, {c: (x["target_pct"], x["min_rows"]) for c, x in own.items()}, pct * n // 100)
+    plans: dict = defaultdict(dict)
+    for r in rows:
+        plans[r["plan_id"]][r["category"]] = r["x"]
+    for plan in sorted(plans):
+        exact = {c: (Fraction(x["target_pct"] * x["sample_pct"] * n, 10_000), x["min_rows"]) for c, x in plans[plan].items()}
+        quota, demand, lacking = quotas(cells, exact, f"{seed} {plan}")
         drawn += [(plan, c, a, q) for (c, a), q in quota.items() if q]
-        for c, x in own.items():
-            have = sum(k for (cc, _), k in cells.items() if cc == c)
-            got = sum(q for (cc, _), q in quota.items() if cc == c)
-            unmet = have * 10_000 < x["target_pct"] * x["sample_pct"] * n or have < x["min_rows"]
-            report.append((plan, c, x["target_pct"], x["min_rows"], have, got + lacking[c], got, lacking[c], unmet))
+        got: dict = defaultdict(int)
+        for (c, _), q in quota.items():
+            got[c] += q
+        report += [(plan, c, x["target_pct"], x["min_rows"], have[c], demand[c], got[c], lacking[c], lacking[c] > 0) for c, x in plans[plan].items()]
     quota = spark.createDataFrame(drawn, "plan_id int, category string, attribute string, quota long")
     places = ranked(once.where("category is not null"), ["category", "attribute"], ["rec_id"], seed)
     same = places["category"].eqNullSafe(quota["category"]) & places["attribute"].eqNullSafe(quota["attribute"]) & (places["place"] < quota["quota"])

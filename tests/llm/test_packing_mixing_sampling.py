@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +91,20 @@ def test_fit(seed):
     assert all(0 < n <= counts[s] for s, n in take.items()) and sum(s * n for s, n in take.items()) == budget
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_fit_reaches_what_the_programme_over_all_reaches(seed):
+    r = random.Random(seed)
+    counts = {r.choice([r.randint(1, 60), r.randint(1000, 20_000)]): r.randint(1, 8) for _ in range(r.randint(1, 6))}
+    budget = r.randint(0, sum(s * n for s, n in counts.items()))
+    size = lambda take: sum(s * n for s, n in take.items())
+    assert size(mixing.fit(counts, budget, seed)) == size(mixing.knapsack(counts, budget)) <= mixing.ceiling(counts, budget) <= budget
+
+
+def test_fit_takes_back_the_proportional_step_and_knows_gaps():
+    assert mixing.fit({5000: 10, 7001: 10}, 40_000) == {5000: 8}
+    assert sum(s * n for s, n in mixing.fit({1000: 10**6, 1: 3}, 5 * 10**8 + 500).items()) == 5 * 10**8 + 3
+
+
 def test_mix(spark):
     r = random.Random(5)
     rows = [(i, r.randint(1, 60), None, None, "big") for i in range(2000)] + [(5000 + i, 10, None, None, "small") for i in range(20)] + [(7000, 0, None, None, "small"), (7001, None, None, None, "small"), (7002, 5, None, None, None), (None, 5, None, None, "big")]
@@ -102,7 +119,7 @@ def test_mix(spark):
     for (m, s), x in got.items():
         assert x["target_tokens"] == pytest.approx(size * x["weight_pct"] / 100)
         assert x["short"] == (sizes[s] * x["max_repeats"] < x["target_tokens"])
-        assert x["actual_tokens"] == (sizes[s] * x["max_repeats"] if x["short"] else int(x["target_tokens"])) or (s == "small" and x["actual_tokens"] >= x["target_tokens"] - 10)
+        assert x["actual_tokens"] == (sizes[s] * x["max_repeats"] if x["short"] else math.ceil(x["target_tokens"])) or (s == "small" and x["actual_tokens"] >= x["target_tokens"] - 10)
     sums = {(x["mix_id"], x["source"]): (x["n"], x["m"]) for x in used.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n"), F.max("n_uses").alias("m")).collect()}
     for key, (n, most) in sums.items():
         assert n == got[key]["actual_tokens"] and most <= got[key]["max_repeats"]
@@ -111,34 +128,88 @@ def test_mix(spark):
     assert empty.count() == 0 and none.count() == 5
 
 
+def test_short_is_a_source_without_uses_left(spark):
+    df = docs(spark, [(i, 10, None, None, "abc"[i % 3]) for i in range(90)])
+    targets = spark.createDataFrame([(1, "a", 90, 2), (1, "b", 5, 1), (1, "c", 5, 1)], "mix_id int, source string, weight_pct int, max_repeats int")
+    short = lambda: {r["source"] for r in mixing.mix(df, targets)[1].where("short").collect()}
+    assert short() == {"a"}
+    left = mixing.mix(df, targets)[1].where("source = 'b'").first()
+    assert left["actual_tokens"] == 40 and not left["short"]  # 45 can't be met with tens, but documents are left
+
+
 # ---- samples
 
 
-def test_quotas_keep_targets_floors_and_margins():
+def demands(targets, sample):
+    return {c: (Fraction(p * sample, 100), least) for c, (p, least) in targets.items()}
+
+
+def test_quotas_keep_targets_and_floors():
     cells = {("en", "x"): 500, ("en", "y"): 500, ("fr", "x"): 10, ("fr", None): 5, (None, "x"): 100, ("de", "y"): 300}
-    quota, lacking = sampling.quotas(cells, {"en": (50, 1), "fr": (30, 1), "de": (10, 40), "pt": (10, 2)}, 200)
+    quota, demand, lacking = sampling.quotas(cells, demands({"en": (50, 1), "fr": (30, 1), "de": (10, 40), "pt": (10, 2)}, 199))
     by = Counter()
     for (c, _), q in quota.items():
         by[c] += q
+    assert demand == {"en": 100, "fr": 60, "de": 40, "pt": 20}
     assert by == {"en": 100, "fr": 15, "de": 40} and lacking == {"en": 0, "fr": 45, "de": 0, "pt": 20}
     assert all(q <= cells[k] for k, q in quota.items())
 
 
 @pytest.mark.parametrize("seed", range(8))
+def test_quotas_are_proportional(seed):
+    """Every cell within a row of its share of its category, every attribute within a row of the sum of its shares."""
+    r = random.Random(seed)
+    cells = {(c, a): r.randint(1, 500) for c in "pqrstuv" for a in range(12)}
+    have = Counter()
+    for (c, _), n in cells.items():
+        have[c] += n
+    targets = {c: (Fraction(r.randint(0, 11 * have[c]), 10), 0) for c in have}
+    quota, demand, lacking = sampling.quotas(cells, targets, seed)
+    columns, exact = Counter(), Counter()
+    for (c, a), n in cells.items():
+        share = (demand[c] - lacking[c]) * n / have[c]
+        assert abs(quota[c, a] - share) < 1 + 1e-9 and quota[c, a] <= n
+        columns[a] += quota[c, a]
+        exact[a] += share
+    for c in have:
+        assert sum(q for (x, _), q in quota.items() if x == c) == demand[c] - lacking[c] == min(have[c], demand[c])
+        assert (lacking[c] > 0) == (targets[c][0] > have[c])
+    assert all(abs(columns[a] - exact[a]) < 1 + 1e-6 for a in columns)
+    assert quota == sampling.quotas(cells, targets, seed)[0] and quota != sampling.quotas(cells, targets, seed + 100)[0]
+
+
+def test_rounding_is_unbiased():
+    exact = {("x", "a"): Fraction(1, 3), ("x", "b"): Fraction(2, 3), ("y", "a"): Fraction(7, 4), ("y", "b"): Fraction(1, 4)}
+    got = Counter()
+    for i in range(3000):
+        got.update(sampling.rounded(exact, i))
+    assert all(abs(got[k] / 3000 - x) < 0.04 for k, x in exact.items())
+
+
+@pytest.mark.parametrize("seed", range(10))
 def test_flow_against_brute_force(seed):
+    """The cheapest of all greatest flows in small networks."""
     r = random.Random(seed)
-    cells = {(c, a): r.randint(0, 4) for c in "pq" for a in "uv"}
-    targets = {"p": (50, 0), "q": (50, 0)}
-    sample = r.randint(0, 10)
-    quota, lacking = sampling.quotas(cells, targets, sample)
-    want = sampling.shared_out(sample, {"p": 50, "q": 50})
-    for c in "pq":
-        have = sum(n for (x, _), n in cells.items() if x == c)
-        assert sum(q for (x, _), q in quota.items() if x == c) == min(have, want[c]) and lacking[c] == max(0, want[c] - have)
-    margins = sampling.shared_out(sum(want.values()), {a: n for a in "uv" if (n := sum(k for (_, x), k in cells.items() if x == a))} or {"u": 1})
-    over = lambda f: sum(max(0, sum(v for (_, x), v in f.items() if x == a) - margins.get(a, 0)) for a in "uv")
-    best = min((over({("p", "u"): i, ("p", "v"): min(want["p"], cells["p", "u"] + cells["p", "v"]) - i, ("q", "u"): j, ("q", "v"): min(want["q"], cells["q", "u"] + cells["q", "v"]) - j}) for i in range(5) for j in range(5) if i <= cells["p", "u"] and j <= cells["q", "u"] and 0 <= min(want["p"], cells["p", "u"] + cells["p", "v"]) - i <= cells["p", "v"] and 0 <= min(want["q"], cells["q", "u"] + cells["q", "v"]) - j <= cells["q", "v"]))
-    assert over(quota) == best
+    arcs = [("s", c, r.randint(0, 3), 0) for c in "pq"] + [(c, a, r.randint(0, 3), r.randint(0, 3)) for c in "pq" for a in "uv"] + [(a, "t", r.randint(0, 4), r.randint(0, 3)) for a in "uv"]
+    flow = sampling.Flow()
+    numbers = [flow.arc(*x) for x in arcs]
+    flow.run("s", "t")
+    carried = [flow.carried(e) for e in numbers]
+    best = None
+    for f in itertools.product(*(range(x[2] + 1) for x in arcs[2:6])):
+        (pu, pv, qu, qv) = f
+        if pu + pv <= arcs[0][2] and qu + qv <= arcs[1][2] and pu + qu <= arcs[6][2] and pv + qv <= arcs[7][2]:
+            cost = sum(n * x[3] for n, x in zip(f, arcs[2:6], strict=True)) + (pu + qu) * arcs[6][3] + (pv + qv) * arcs[7][3]
+            best = min(best or (1, 0), (-sum(f), cost))
+    assert best == (-sum(carried[:2]), sum(n * x[3] for n, x in zip(carried, arcs, strict=True)))
+
+
+def test_unmet_is_read_from_the_slack(spark, monkeypatch):
+    records = spark.createDataFrame([(i, "en", "a") for i in range(10)], "rec_id long, category string, attribute string")
+    targets = spark.createDataFrame([(1, 100, "en", 50, 1)], "plan_id int, sample_pct int, category string, target_pct int, min_rows int")
+    assert not sampling.stratified(records, targets)[1].first()["unmet"]
+    monkeypatch.setattr(sampling.Flow, "carried", lambda self, arc: self.room[arc])
+    assert sampling.stratified(records, targets)[1].first()["unmet"]
 
 
 def test_stratified(spark):
@@ -147,7 +218,7 @@ def test_stratified(spark):
     targets = spark.createDataFrame([(1, 10, "en", 50, 5), (1, 10, "fr", 40, 5), (1, 10, "ko", 10, 5), (2, 20, "pt", 0, 3), (2, 20, "en", 100, 1), (3, None, "en", 1, 1), (1, 10, "en", 50, 5)], "plan_id int, sample_pct int, category string, target_pct int, min_rows int")
     sample, report = sampling.stratified(records, targets)
     got = {(r["plan_id"], r["category"]): r for r in report.collect()}
-    assert {k: (r["n_available"], r["n_drawn"], r["short"], r["unmet"]) for k, r in got.items()} == {(1, "en"): (2000, 155, 0, False), (1, "fr"): (1000, 124, 0, False), (1, "ko"): (9, 9, 22, True), (2, "pt"): (0, 0, 3, True), (2, "en"): (2000, 621, 0, False)}
+    assert {k: (r["n_available"], r["n_drawn"], r["short"], r["unmet"]) for k, r in got.items()} == {(1, "en"): (2000, 156, 0, False), (1, "fr"): (1000, 125, 0, False), (1, "ko"): (9, 9, 23, True), (2, "pt"): (0, 0, 3, True), (2, "en"): (2000, 622, 0, False)}
     drawn = sample.collect()
     assert Counter((r["plan_id"], r["category"]) for r in drawn) == Counter({k: r["n_drawn"] for k, r in got.items() if r["n_drawn"]})
     assert len({(r["plan_id"], r["rec_id"]) for r in drawn}) == len(drawn)

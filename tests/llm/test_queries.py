@@ -40,7 +40,7 @@ def test_columns_and_distinct_rows(spark, name):
 @pytest.mark.parametrize("name", Q.oracle_sql())
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("doc_embeds", "doc_encodes", "token_dataset", "vocab", "train", "sample_targets", "languages", "corpus_df", "sources"):
+    for t in ("doc_embeds", "doc_encodes", "token_dataset", "vocab", "train", "sample_targets", "languages", "corpus_df", "sources", "documents", "mix_targets"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.sql(Q.oracle_sql()[name])
     names = sorted(want.columns)
