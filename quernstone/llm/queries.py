@@ -270,7 +270,7 @@ def p8_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return quality.statistics(documents, quality.fit_profiles(documents))
+    return quality.statistics(documents, quality.fit_profiles(documents, table(spark, d, "languages")))
 
 
 @query
@@ -286,6 +286,14 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
+@query
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The basic counts of every document that isn't blank."""
+    documents = table(spark, d, "documents")
+    measured = quality.measure(documents, quality.Profiles({}, {}, set())).where("shares is not null")
+    return measured.select("doc_id", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("end_punctuation_share", 6).alias("end_punctuation_share"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 

@@ -52,6 +52,9 @@ d AS (SELECT source, min(domain) AS domain FROM sources GROUP BY source),
 b AS (SELECT f.source, d.domain, f.lang, count(*) AS n_items, CAST(sum(coalesce(f.n, f.est, 0)) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN f.n IS NULL THEN coalesce(f.est, 0) ELSE 0 END) AS BIGINT) AS n_estimated FROM f LEFT JOIN d ON d.source = f.source GROUP BY f.source, d.domain, f.lang)
 """
 
+_P9 = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS l FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]'))
+SELECT doc_id, len(w) AS n_words, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) END, 6) AS mean_word_length, round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…؟。]["''»”)\]]*[\s\p{Z}]*$'))) / len(l), 6) AS end_punctuation_share FROM t"""
+
 SQL = {
     "p1_found": P1,
     "p3_found": P3,
@@ -59,6 +62,7 @@ SQL = {
     "p4_report": _P4 + "SELECT *, least(n_target, n_available) AS n_drawn, greatest(n_target - n_available, 0) AS short, n_available < n_target AS unmet FROM r",
     "p4_shares": _P4 + "SELECT plan_id, r.lang, domain, n AS n_rows, TRUE AS fair FROM r JOIN l ON l.lang = r.lang",
     "p7_rules": "SELECT doc_id, TRUE AS kept FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL",
+    "p9_counts": _P9,
     "p8_rules": "SELECT DISTINCT mix_id, source, weight_pct, max_repeats, TRUE AS kept FROM mix_targets",
     "p6_totals": _P6 + "SELECT * FROM b",
     "p6_rollup": _P6 + "SELECT slice, name, CAST(sum(n_items) AS BIGINT) AS n_items, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM (SELECT 'source' AS slice, source AS name, n_items, n_tokens FROM b UNION ALL SELECT 'lang', lang, n_items, n_tokens FROM b UNION ALL SELECT 'domain', domain, n_items, n_tokens FROM b UNION ALL SELECT 'all', 'all', n_items, n_tokens FROM b) GROUP BY slice, name",

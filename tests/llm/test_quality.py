@@ -1,6 +1,7 @@
+from collections import Counter
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quernstone.llm import quality as Q
 from quernstone.sources.tables import table
@@ -10,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def profiles(spark):
-    return Q.fit_profiles(table(spark, SF, "documents"))
+    return Q.fit_profiles(table(spark, SF, "documents"), table(spark, SF, "languages"))
 
 
 SENTENCES = "The river council opened the winter garden near the station. According to the old observatory, the night ferry sold twelve wooden boats."
@@ -69,7 +70,7 @@ def test_edges(spark, profiles):
 
 
 def test_no_profiles(spark):
-    none = Q.fit_profiles(spark.createDataFrame([], "text string, lang string"))
+    none = Q.fit_profiles(spark.createDataFrame([], "text string, lang string"), table(spark, SF, "languages"))
     row = Q.statistics(spark.createDataFrame([(1, SENTENCES)], "doc_id long, text string"), none).first()
     assert row["nearest_lang"] is None and row["word_divergence"] == 1.0
 
@@ -80,7 +81,30 @@ def test_divergence():
 
 
 def test_profiles_count_all_documents(spark, profiles):
-    docs = table(spark, SF, "documents")
-    n = docs.where("lang = 'en' and lower(text) rlike '(?U)(^|[^\\\\p{L}])the([^\\\\p{L}]|$)'").count()
-    all_ = sum(r["count"] for r in docs.where("lang = 'en'").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"(?U)[^\p{L}]+"))).alias("w")).where("w <> ''").groupBy("w").count().orderBy(F.desc("count"), "w").limit(Q.FUNCTION_WORDS).collect())
-    assert profiles.words["en"]["the"] == pytest.approx(n / all_)
+    texts = [r["text"] for r in table(spark, SF, "documents").where("lang = 'en' and text is not null").select("text").collect()]
+    every = sum((Q.words_of(t) for t in texts), Counter())
+    at = profiles.words["en"].index("the")
+    assert profiles.share["en"][at] == pytest.approx(every["the"] / every.total())
+    assert profiles.share["en"].sum() == pytest.approx(1) and set(profiles.words["en"]) <= profiles.known
+
+
+def test_words_and_ends():
+    assert Q.words_of("Don't STOP_x 12a ², ½Ⅷ été") == Counter(["don", "t", "stop", "x", "a", "²", "½ⅷ", "été"])
+    assert [Q.ends_sentence(x) for x in ("", "a.", 'a."', "a”", "a!)", "a")] == [False, True, True, False, True, False]
+
+
+def test_the_nearest_profile_decides(spark, profiles):
+    """Other profiles of the kinds, or of the languages, give other kinds."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "doc_id long, text string")
+    fitted = Q.fit_kinds(Q.measure(df, profiles))
+    kinds = lambda p, k: {r["doc_id"]: r["kind"] for r in Q.statistics(df, p, kinds=k).collect()}
+    true = kinds(profiles, fitted)
+    order = fitted.names
+    swapped = Q.Kinds(fitted.classes, dict(zip(order, fitted.spread[[1, 0, 2, 3]], strict=True)), dict(zip(order, fitted.far, strict=True)))
+    assert kinds(profiles, swapped) != true
+    undecided, half = np.array([[0.5, 0.5, 0, 0]] * 2), dict(zip(order, map(tuple, fitted.spread), strict=True))
+    k = Q.Kinds(fitted.classes, half, Q.DIVERGENCES)
+    assert [order[i] for i in k.of(undecided, np.array([[0.1, 0.02], [0.45, 0.6]]))] == ["prose", "list"]  # words and characters decide
+    foreign = Q.Profiles({"xx": {"zzz": 0.5}}, {"xx": (0.2, 0.3)}, profiles.known)
+    far = [r["word_divergence"] for r in Q.statistics(df, foreign).collect()]
+    assert np.mean(far) > np.mean([r["word_divergence"] for r in Q.statistics(df, profiles).collect()]) + 0.05
