@@ -9,7 +9,9 @@ count, so shingles are letter trigrams inside words (Hangul as letters), without
 Numbers must be equal, so the numbers are part of each bucket's key. Two slips and a small
 word leave questions above ``SHORT`` letters with a similarity of about one half or more, which is
 ``MIN_JACCARD``. Pairs with a shorter question meet in exact keys instead, whatever their
-similarity: their letters, with up to two and up to one word taken away.
+similarity: sums of random numbers, one a letter, so that a key without a letter is a subtraction; with up to
+two letters and up to one small word taken away. All letters together are a key of every question,
+in which those meet that only set their spaces otherwise.
 """
 
 from __future__ import annotations
@@ -28,30 +30,39 @@ from pyspark.sql import functions as F
 
 from quernstone.plans.staging import Stage, spread
 
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 4
 MIN_JACCARD = 0.5
 SHORT = 32  # letters of a question up to which bands don't suffice
 MOST_SLIPS = 2  # letters, in all words together
-MOST_APART = 4  # different words on a side, when spaces are set otherwise
 MOST_SMALL = 1  # words added or left out
-MOST_SMALL_LETTERS = 11  # of a rare one of them
 RARE = 3  # a word in fewer classes may be anyone's slip
-RATIO = 20  # a slip is at least so many times rarer than the word that was meant
+RATIO = 20  # a slip is at least so many times rarer, in its language, than the word that was meant
+OPTIONAL = 0.1  # share of a word's classes that also stand without it, three at least, which makes it a small word
 MOST_KNOWN = 300_000  # words whose signature a worker remembers before it starts afresh
 
-_WORD = re.compile(r"[^\W_]+")
+#: Small words: articles, prepositions, pronouns, conjunctions, auxiliaries and particles, folded (fixed values).
+SMALL_WORDS = {
+    "en": "a an the of in on at to for from by with and or is are was were do does did it that this there then so just really actually exactly please",
+    "fr": "le la les l un une des du de d en au aux a et ou est sont ce il elle y dans pour par alors donc bien vraiment exactement",
+    "de": "der die das den dem des ein eine einen und oder in im am zu zum von mit es ist denn doch mal nun wohl genau bitte eigentlich wirklich",
+    "es": "el los las lo una unos del al y o es por con se que entonces pues realmente exactamente",
+    "it": "il gli i uno di da nel e ed che si con per allora proprio davvero esattamente",
+    "ar": "من في على الى عن ان هل ما و اذن حقا تماما",
+    "ko": "그 이 저 좀 정말 정말로 정확히 도대체 과연 그럼",
+}
+
 _DIGITS = re.compile(r"\d+")
 _PRIME = (1 << 61) - 1
 _A = np.random.default_rng(5).integers(1, _PRIME, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 class _Plain(dict):
-    """A table for str.translate: digits as 0-9, marks and invisible characters dropped; filled as characters come."""
+    """A table for str.translate: digits as 0-9, marks and invisible characters dropped, spaces for what belongs to no word; filled as characters come."""
 
     def __missing__(self, code: int) -> str | None:
         c = chr(code)
         drop = not c.isspace() and (unicodedata.category(c) in ("Mn", "Me", "Cf", "Cc") or c == "ـ")
-        self[code] = None if drop else str(unicodedata.decimal(c)) if c.isdecimal() else c
+        self[code] = None if drop else str(unicodedata.decimal(c)) if c.isdecimal() else c if c.isalnum() else " "
         return self[code]
 
 
@@ -60,14 +71,16 @@ _PLAIN = _Plain()
 
 def bag(question: str) -> list[str]:
     """The words without case, accents, punctuation and invisible characters, digits as 0-9, sorted."""
-    s = question
-    if not (s.isascii() and s.isprintable()):
-        s = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", s.casefold()).translate(_PLAIN))
-    return sorted(_WORD.findall(s.lower()))
+    s = question.lower() if question.isascii() else unicodedata.normalize("NFKD", question.casefold())
+    s = s.translate(_PLAIN)
+    return sorted((s if s.isascii() else unicodedata.normalize("NFC", s).lower()).split())
+
+
+SMALL = frozenset(w for line in SMALL_WORDS.values() for w in bag(line))
 
 
 def numbers(words: list[str]) -> str:
-    return " ".join(sorted(n for w in words for n in _DIGITS.findall(w)))
+    return " ".join(sorted(_DIGITS.findall(" ".join(words))))
 
 
 def shingles(word: str) -> list[str]:
@@ -83,25 +96,47 @@ def _letters(words: list[str]) -> str:
     return _DIGITS.sub("", "".join(words))
 
 
-def short_keys(words: list[str]) -> set[int]:
-    """Keys of which any two questions have one in common that ``compare`` may take for the same and one of which is short.
+class _Numbers(dict):
+    """A random 64-bit number for each letter."""
+
+    def __missing__(self, c: str) -> np.uint64:
+        self[c] = np.uint64(int.from_bytes(hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=8).digest()))
+        return self[c]
+
+
+_NUMBER = _Numbers()
+
+
+def _without(letters: str, start: np.uint64, most: int = MOST_SLIPS) -> np.ndarray:
+    """Sums of the letters' numbers without up to ``most`` (two at most) of them."""
+    held = Counter(letters)
+    each = np.fromiter((_NUMBER[c] for c in held), np.uint64, len(held))
+    count = np.fromiter(held.values(), np.uint64, len(held))
+    total = start + (each * count).sum(dtype=np.uint64)
+    if most < 2:
+        return np.concatenate((total[None], total - each))
+    i, j = np.triu_indices(len(each))
+    ok = (i != j) | (count[i] > 1)
+    return np.concatenate((total[None], total - each, total - each[i[ok]] - each[j[ok]]))
 
-    A slip changes one letter of the bag of letters, a swap or another space none.
+
+def exact_keys(words: list[str], number: np.uint64) -> np.ndarray:
+    """Keys of which any two questions with ``number`` have one in common that ``compare`` may take for the same and one of which is short.
+
+    A slip changes one letter of the bag of letters, a swap or another space none. The first key, of all letters, every question has.
+    A word that isn't in SMALL_WORDS is taken away with one slip beside.
     """
-    n, keys = numbers(words), set()
-    if sum(map(len, words)) - max(map(len, words), default=0) > SHORT + MOST_SLIPS and len(_letters(words)) - max(map(len, words)) > SHORT + MOST_SLIPS:
-        return keys  # too long whatever is taken away
-    for i in range(-1, len(words)):
-        if i >= 0 and (_DIGITS.search(words[i]) or words[i] in words[:i]):
-            continue  # numbers are the same on both sides
-        left = sorted(_letters(words if i < 0 else words[:i] + words[i + 1 :]))
-        if len(left) > SHORT + MOST_SLIPS:
-            continue
-        some = {"".join(left)}
-        for _ in range(MOST_SLIPS):
-            some |= {x[:j] + x[j + 1 :] for x in some for j in range(len(x))}
-        keys |= {int.from_bytes(hashlib.blake2b(f"{n}|{x}".encode(), digest_size=8).digest(), signed=True) for x in some if x}
-    return keys
+    letters = _letters(words)
+    if len(letters) <= SHORT + MOST_SLIPS:
+        keys = [_without(letters, number)]
+    else:
+        keys = [np.array([sum(map(_NUMBER.__getitem__, letters), number)])]
+    for w in set(words):
+        if SHORT + MOST_SLIPS >= len(letters) - len(w) > 0 and not _DIGITS.search(w):  # numbers are the same on both sides
+            at = words.index(w)
+            rest = _letters(words[:at] + words[at + 1 :])
+            keys.append(_without(rest, number, MOST_SLIPS if w in SMALL else 1))
+    return np.unique(np.concatenate(keys)) if len(keys) > 1 or len(keys[0]) > 1 else keys[0]
 
 
 def jaccard(a: list[str], b: list[str]) -> float:
@@ -140,7 +175,6 @@ def compare(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
     if len(left) > len(right):
         left, right = right, left
     if len(right) > MOST_SLIPS + MOST_SMALL or len(right) - len(left) > MOST_SMALL:
-        # spaces set otherwise change the words at two places, but not the letters
         return [] if _spaced(left, right) else None
     best: tuple[int, list[tuple[str, str]]] | None = None
     for order in itertools.permutations(right, len(left)):
@@ -154,13 +188,39 @@ def compare(a: list[str], b: list[str]) -> list[tuple[str, str]] | None:
             best = cost, [*zip(left, order, strict=True), *((w, "") for w in rest)]
     if best is None or any(not q and _DIGITS.search(p) for p, q in best[1]):
         return [] if _spaced(left, right) else None
-    # a word with one letter too many, too few or swapped may well be another real word; with more or another letter it is checked
-    return [(p, q) for p, q in best[1] if not q or slips(p, q) > 1 or (len(p) == len(q) and sum(c != d for c, d in zip(p, q, strict=True)) == 1)]
+    return best[1]
 
 
 def _spaced(left: list[str], right: list[str]) -> bool:
-    """Whether the same letters stand with other spaces between."""
-    return len(right) <= MOST_APART and sorted("".join(left)) == sorted("".join(right)) and any("".join(p) == "".join(q) for p in itertools.permutations(left) for q in itertools.permutations(right))
+    """Whether the same letters stand with other spaces between, in some order of the words."""
+    if sorted("".join(left)) != sorted("".join(right)):
+        return False
+    x, y = Counter(left), Counter(right)
+    seen: set = set()
+
+    def laid(rest: str, own: Counter, other: Counter) -> bool:
+        """Whether the words of ``other`` go on where those of ``own`` are ``rest`` letters ahead."""
+        if not rest:
+            if not other:
+                return True
+            w = min(own)  # some word of one side begins
+            own[w] -= 1
+            done = laid(w, +own, other)
+            own[w] += 1
+            return done
+        state = (rest, tuple(sorted(own.items())), tuple(sorted(other.items())))
+        if state in seen:
+            return False
+        seen.add(state)
+        for w in list(other):
+            if w.startswith(rest) or rest.startswith(w):
+                fewer = other.copy()
+                fewer[w] -= 1
+                if laid(rest[len(w) :], own, +fewer) if rest.startswith(w) else laid(w[len(rest) :], +fewer, own):
+                    return True
+        return False
+
+    return laid("", x, y)
 
 
 def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,10 +249,10 @@ class Signer:
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, BANDS * ROWS), np.uint64)
+        self.rows = np.zeros((0, BANDS * ROWS), np.uint32)
 
-    def bands(self, bags: list[list[str]]) -> np.ndarray:
-        """One 64-bit bucket key for each bag and band."""
+    def bands(self, bags: list[list[str]], number: np.ndarray) -> np.ndarray:
+        """One 64-bit bucket key for each bag and band; ``number`` is of each bag's numbers."""
         if len(self.known) > MOST_KNOWN:
             self.__init__()
         fresh = [w for w in dict.fromkeys(w for b in bags for w in b) if w not in self.known]
@@ -204,7 +264,7 @@ class Signer:
             mixed ^= mixed >> np.uint64(29)
             for i, w in enumerate(fresh):
                 self.known[w] = len(self.rows) + i
-            self.rows = np.concatenate((self.rows, np.minimum.reduceat(mixed, start, axis=0)))
+            self.rows = np.concatenate((self.rows, np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), start, axis=0)))
         out = np.zeros((len(bags), BANDS), np.int64)
         full = [i for i, b in enumerate(bags) if b]
         if not full:
@@ -212,9 +272,8 @@ class Signer:
         size = [len(bags[i]) for i in full]
         at = np.concatenate(([0], np.cumsum(size)))[:-1]
         rows = np.fromiter((self.known[w] for i in full for w in bags[i]), np.int64, sum(size))
-        low = np.minimum.reduceat(self.rows[rows], at, axis=0).reshape(len(full), BANDS, ROWS)
-        number = np.fromiter((int.from_bytes(hashlib.blake2b(numbers(bags[i]).encode(), digest_size=8).digest()) for i in full), np.uint64, len(full))
-        key = number[:, None] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        low = np.minimum.reduceat(self.rows[rows], at, axis=0).reshape(len(full), BANDS, ROWS).astype(np.uint64)
+        key = number[full, None] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for r in range(ROWS):
             key = (key ^ low[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
@@ -222,33 +281,56 @@ class Signer:
         return out
 
 
+def _number(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(numbers(words).encode(), digest_size=8).digest())
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words = [" ".join(bag(q)) if q else "" for q in b.column(3).to_pylist()]
-        keys = [hashlib.blake2b(w.encode(), digest_size=16).digest() if w else None for w in words]
-        t = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.binary()), pa.array(words, pa.string())], names=["query_id", "split", "source", "class", "words"])
+        words = [" ".join(bag(q)) if q else "" for q in b.column(4).to_pylist()]
+        keys = [hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() if w else None for w in words]
+        t = pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(keys, pa.binary()), pa.array(words, pa.string())], names=["query_id", "split", "source", "lang", "class", "words"])
         yield t.filter(pa.array([w != "" for w in words], pa.bool_()))
 
 
+def buckets(bags: list[list[str]], signer: Signer) -> list[np.ndarray]:
+    """The keys of each bag: one a band, and the exact ones."""
+    number = np.fromiter(map(_number, bags), np.uint64, len(bags))
+    return [np.concatenate((k, exact_keys(w, n).view(np.int64))) for k, w, n in zip(signer.bands(bags, number), bags, number, strict=True)]
+
+
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
     for b in batches:
-        bags = [w.split(" ") for w in b.column(3).to_pylist()]
-        lists = pa.array([[*k, *short_keys(w)] for k, w in zip(signer.bands(bags).tolist(), bags, strict=True)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], names=["class", "in_train", "in_eval", "buckets"])
+        if b.num_rows:
+            with np.errstate(over="ignore"):
+                keys = buckets([w.split(" ") for w in b.column(3).to_pylist()], signer)
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], names=["class", "in_train", "in_eval", "buckets"])
+
+
+def similar(x: list[str], y: list[str]) -> tuple[float, list[tuple[str, str]]] | None:
+    """The similarity of two bags and the words to be checked; None for different questions."""
+    p, q = set(x), set(y)
+    same_letters = len(p - q) > MOST_SLIPS + MOST_SMALL or len(q - p) > MOST_SLIPS + MOST_SMALL
+    if same_letters and sorted("".join(x)) != sorted("".join(y)):
+        return None  # compare() rejects them whatever their similarity
+    sim = jaccard(x, y)
+    if sim < MIN_JACCARD and min(len(_letters(x)), len(_letters(y))) > SHORT and not same_letters:
+        return None
+    doubt = compare(x, y)
+    return None if doubt is None else (sim, doubt)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep, sims, doubts = [], [], []
         for i, (p, q) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            x, y = p.split(" "), q.split(" ")
-            if len(set(x).difference(y)) > MOST_APART or len(set(y).difference(x)) > MOST_APART:
-                continue  # compare() rejects them whatever their similarity
-            if ((sim := jaccard(x, y)) >= MIN_JACCARD or min(len(_letters(x)), len(_letters(y))) <= SHORT) and (doubt := compare(x, y)) is not None:
+            if found := similar(p.split(" "), q.split(" ")):
                 keep.append(i)
-                sims.append(sim)
-                doubts.append([{"p": u, "q": v} for u, v in doubt])
+                sims.append(found[0])
+                doubts.append([{"p": u, "q": v} for u, v in found[1]])
         at = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sims, pa.float64()), pa.array(doubts, pa.list_(pa.struct([("p", pa.string()), ("q", pa.string())])))], names=["train_class", "eval_class", "similarity", "doubts"])
 
@@ -256,7 +338,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def same_questions(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes and the classes' members.
 
-    train: ``query_id, query, source``; evaluation: these and ``split``. Other columns are
+    train: ``query_id, query, source, lang``; evaluation: these and ``split``. ``lang`` only tells in which questions a
+    word is common; it may be null or lacking. Other columns are
     ignored, null and wordless queries match nothing, repeated rows count once. Returns
     ``train_class, eval_class, similarity`` (a class pairs with itself at 1.0 where both
     sides have members) and ``query_id, split, source, class``. All members of a pair's
@@ -264,11 +347,12 @@ def same_questions(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame,
     """
     spark = train.sparkSession
     stage = Stage(spark, "overlap")
-    every = train.select("query_id", F.lit("train").alias("split"), "source", "query").unionByName(evaluation.select("query_id", "split", "source", "query"))
-    members = stage.write(spread(every).mapInArrow(_bags, "query_id long, split string, source string, class binary, words string"), "members")
-    classes = members.groupBy("class").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"), F.first("words").alias("words"))
+    train, evaluation = (x if "lang" in x.columns else x.withColumn("lang", F.lit(None).cast("string")) for x in (train, evaluation))
+    every = train.select("query_id", F.lit("train").alias("split"), "source", "lang", "query").unionByName(evaluation.select("query_id", "split", "source", "lang", "query"))
+    members = stage.write(spread(every).mapInArrow(_bags, "query_id long, split string, source string, lang string, class binary, words string"), "members")
+    classes = members.groupBy("class").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"), F.first("words").alias("words"), F.max("lang").alias("lang"))
     classes = stage.write(classes, "classes")
-    banded = stage.write(spread(classes).mapInArrow(_band, "class binary, in_train boolean, in_eval boolean, buckets array<long>"), "bands")
+    banded = stage.write(spread(classes.select("class", "in_train", "in_eval", "words")).mapInArrow(_band, "class binary, in_train boolean, in_eval boolean, buckets array<long>"), "bands")
     left = banded.where("in_train").select(F.col("class").alias("train_class"), F.explode("buckets").alias("bucket"))
     right = banded.where("in_eval").select(F.col("class").alias("eval_class"), F.explode("buckets").alias("bucket"))
     met = left.join(right, "bucket").where("train_class <> eval_class").select("train_class", "eval_class").distinct()
@@ -276,12 +360,19 @@ def same_questions(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame,
     met = met.join(words.select(F.col("class").alias("train_class"), F.col("words").alias("p")), "train_class").join(words.select(F.col("class").alias("eval_class"), F.col("words").alias("q")), "eval_class")
     pairs = stage.write(met.select("train_class", "eval_class", "p", "q").mapInArrow(_verify, "train_class binary, eval_class binary, similarity double, doubts array<struct<p:string,q:string>>"), "pairs")
     stage.drop("bands")
-    # a pair of words that are both common, or a common word beside one that only these questions have, makes another question
-    often = classes.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # a pair of words that are both common in the language, or a word more that isn't small, makes another question
+    lang = F.coalesce("lang", F.lit(""))
+    words = classes.select(lang.alias("lang"), F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
     doubts = pairs.select("train_class", "eval_class", F.explode("doubts").alias("d")).select("train_class", "eval_class", F.col("d.p").alias("p"), F.col("d.q").alias("q"))
-    doubts = doubts.join(often.select(F.col("word").alias("p"), F.col("n").alias("np")), "p", "left").join(often.select(F.col("word").alias("q"), F.col("n").alias("nq")), "q", "left")
+    doubts = stage.write(doubts.join(classes.select(F.col("class").alias("eval_class"), lang.alias("lang")), "eval_class"), "doubts")
+    asked = doubts.select("lang", F.explode(F.array("p", "q")).alias("word")).where("word <> ''").distinct()
+    often = stage.write(words.join(asked, ["lang", "word"], "left_semi").groupBy("lang", "word").agg(F.count("*").alias("n")), "often")
+    doubts = doubts.join(often.select("lang", F.col("word").alias("p"), F.col("n").alias("np")), ["lang", "p"], "left").join(often.select("lang", F.col("word").alias("q"), F.col("n").alias("nq")), ["lang", "q"], "left")
+    left_out = doubts.where("q = ''").select("lang", "p", F.greatest("train_class", "eval_class").alias("class")).distinct().groupBy("lang", "p").agg(F.count("*").alias("n_without"))
+    doubts = doubts.join(left_out, ["lang", "p"], "left")
     low, high = F.least("np", "nq"), F.greatest("np", "nq")
-    other = F.when(F.col("q") == "", (F.col("np") < RARE) & (F.length("p") > MOST_SMALL_LETTERS)).otherwise((low >= RARE) & (low * RATIO >= high))
+    small = F.col("p").isin(*sorted(SMALL)) | ((F.col("n_without") >= RARE) & (F.col("n_without") >= F.col("np") * OPTIONAL))
+    other = F.when(F.col("q") == "", ~small).otherwise((low >= RARE) & (low * RATIO >= high))
     wrong = doubts.where(other).select("train_class", "eval_class").distinct()
     near = pairs.join(wrong, ["train_class", "eval_class"], "left_anti").select("train_class", "eval_class", "similarity")
     exact = classes.where("in_train and in_eval").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class"), F.lit(1.0).alias("similarity"))

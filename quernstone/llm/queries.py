@@ -153,8 +153,9 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    train = table(spark, d, "train").select("query_id", "query", "source")
-    dev, test = (table(spark, d, x).select("query_id", "query", "source", F.lit(x).alias("split")) for x in ("dev", "test"))
+    code = code_of(F.col("lang"), table(spark, d, "languages")).alias("lang")
+    train = table(spark, d, "train").select("query_id", "query", "source", code)
+    dev, test = (table(spark, d, x).select("query_id", "query", "source", code, F.lit(x).alias("split")) for x in ("dev", "test"))
     return train, dev.unionByName(test)
 
 
