@@ -123,20 +123,16 @@ def _without(letters: str, start: np.uint64, most: int = MOST_SLIPS) -> np.ndarr
 def exact_keys(words: list[str], number: np.uint64) -> np.ndarray:
     """Keys of which any two questions with ``number`` have one in common that ``compare`` may take for the same and one of which is short.
 
-    A slip changes one letter of the bag of letters, a swap or another space none. The first key, of all letters, every question has.
-    A word that isn't in SMALL_WORDS is taken away with one slip beside.
+    A slip changes one letter of the bag of letters, a swap or another space none. A word that isn't in SMALL_WORDS is
+    taken away with one slip beside. The key of all letters, which every question has, comes from the Signer.
     """
     letters = _letters(words)
-    if len(letters) <= SHORT + MOST_SLIPS:
-        keys = [_without(letters, number)]
-    else:
-        keys = [np.array([sum(map(_NUMBER.__getitem__, letters), number)])]
+    keys = [_without(letters, number)[1:]] if len(letters) <= SHORT + MOST_SLIPS else []
     for w in set(words):
         if SHORT + MOST_SLIPS >= len(letters) - len(w) > 0 and not _DIGITS.search(w):  # numbers are the same on both sides
             at = words.index(w)
-            rest = _letters(words[:at] + words[at + 1 :])
-            keys.append(_without(rest, number, MOST_SLIPS if w in SMALL else 1))
-    return np.unique(np.concatenate(keys)) if len(keys) > 1 or len(keys[0]) > 1 else keys[0]
+            keys.append(_without(_letters(words[:at] + words[at + 1 :]), number, MOST_SLIPS if w in SMALL else 1))
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
 def jaccard(a: list[str], b: list[str]) -> float:
@@ -244,45 +240,76 @@ def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, start
 
 
+def _least(rows: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The least of each group's ``rows``, column by column; groups of one size are taken together."""
+    out = np.empty((len(size), rows.shape[1]), rows.dtype)
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        for some in np.array_split(own, 1 + len(own) * int(n) // 20_000):  # bounds what is gathered at once
+            out[some] = rows[at[some][:, None] + np.arange(n)].min(1)
+    return out
+
+
 class Signer:
-    """Banded minwise hashes of bags; remembers those of words."""
+    """Keys of bags; remembers what it needs of words."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, BANDS * ROWS), np.uint32)
-
-    def bands(self, bags: list[list[str]], number: np.ndarray) -> np.ndarray:
-        """One 64-bit bucket key for each bag and band; ``number`` is of each bag's numbers."""
+        self.sums, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the letters' numbers; of letters
+
+    def _learn(self, fresh: list[str]) -> None:
+        hashes, start = _hashes(fresh)
+        mixed = hashes[:, None] * _A
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        for i, w in enumerate(fresh):
+            self.known[w] = len(self.rows) + i
+        self.rows = np.concatenate((self.rows, _least((mixed >> np.uint64(32)).astype(np.uint32), start, np.diff(np.append(start, len(hashes))))))
+        letters = [_letters([w]) for w in fresh]
+        self.sums = np.concatenate((self.sums, np.fromiter((sum(map(_NUMBER.__getitem__, x), np.uint64(0)) for x in letters), np.uint64, len(fresh))))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, letters), np.int64, len(fresh))))
+
+    def keys(self, bags: list[list[str]], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit keys of each bag that isn't empty, one a band and one of all letters, and whether it has more of ``exact_keys``.
+
+        ``number`` is of each bag's numbers.
+        """
         if len(self.known) > MOST_KNOWN:
             self.__init__()
-        fresh = [w for w in dict.fromkeys(w for b in bags for w in b) if w not in self.known]
+        fresh = [w for w in dict.fromkeys(itertools.chain.from_iterable(bags)) if w not in self.known]
         if fresh:
-            mixed, start = _hashes(fresh)
-            mixed = mixed[:, None] * _A
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mixed ^= mixed >> np.uint64(29)
-            for i, w in enumerate(fresh):
-                self.known[w] = len(self.rows) + i
-            self.rows = np.concatenate((self.rows, np.minimum.reduceat((mixed >> np.uint64(32)).astype(np.uint32), start, axis=0)))
-        out = np.zeros((len(bags), BANDS), np.int64)
-        full = [i for i, b in enumerate(bags) if b]
-        if not full:
-            return out
-        size = [len(bags[i]) for i in full]
+            self._learn(fresh)
+        size = np.fromiter(map(len, bags), np.int64, len(bags))
         at = np.concatenate(([0], np.cumsum(size)))[:-1]
-        rows = np.fromiter((self.known[w] for i in full for w in bags[i]), np.int64, sum(size))
-        low = np.minimum.reduceat(self.rows[rows], at, axis=0).reshape(len(full), BANDS, ROWS).astype(np.uint64)
-        key = number[full, None] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(bags)), np.int64, int(size.sum()))
+        low = np.empty((len(bags), BANDS * ROWS), np.uint32)
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            for some in np.array_split(own, 1 + len(own) * int(n) // 20_000):
+                low[some] = self.rows[rows[at[some][:, None] + np.arange(n)]].min(1)
+        low = low.reshape(len(bags), BANDS, ROWS).astype(np.uint64)
+        key = number[:, None] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for r in range(ROWS):
             key = (key ^ low[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
-        out[full] = key.view(np.int64)
-        return out
+        letters = np.add.reduceat(self.sizes[rows], at)
+        short = letters - np.maximum.reduceat(self.sizes[rows], at) <= SHORT + MOST_SLIPS
+        return np.column_stack((key, number + np.add.reduceat(self.sums[rows], at))), short
+
+
+_NUMBERS: dict[str, int] = {}
 
 
 def _number(words: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b(numbers(words).encode(), digest_size=8).digest())
+    """A 64-bit number for the numbers in a bag."""
+    n = numbers(words)
+    if n not in _NUMBERS:
+        if len(_NUMBERS) > MOST_KNOWN:
+            _NUMBERS.clear()
+        _NUMBERS[n] = int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest())
+    return _NUMBERS[n]
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,20 +320,29 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield t.filter(pa.array([w != "" for w in words], pa.bool_()))
 
 
-def buckets(bags: list[list[str]], signer: Signer) -> list[np.ndarray]:
-    """The keys of each bag: one a band, and the exact ones."""
+def buckets(bags: list[list[str]], signer: Signer) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all bags, none of them empty, in one array, and where each bag's end."""
     number = np.fromiter(map(_number, bags), np.uint64, len(bags))
-    return [np.concatenate((k, exact_keys(w, n).view(np.int64))) for k, w, n in zip(signer.bands(bags, number), bags, number, strict=True)]
+    with np.errstate(over="ignore"):
+        first, short = signer.keys(bags, number)
+        more = {i: exact_keys(bags[i], number[i]) for i in np.flatnonzero(short).tolist()}
+    size = np.full(len(bags), first.shape[1])
+    for i, k in more.items():
+        size[i] += len(k)
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(bags) else 0, np.uint64)
+    out[(ends - size)[:, None] + np.arange(first.shape[1])] = first
+    for i, k in more.items():
+        out[ends[i] - len(k) : ends[i]] = k
+    return out.view(np.int64), ends
 
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = Signer()
     for b in batches:
         if b.num_rows:
-            with np.errstate(over="ignore"):
-                keys = buckets([w.split(" ") for w in b.column(3).to_pylist()], signer)
-            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            keys, ends = buckets([w.split(" ") for w in b.column(3).to_pylist()], signer)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys, pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], names=["class", "in_train", "in_eval", "buckets"])
 
 
