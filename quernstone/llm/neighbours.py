@@ -29,6 +29,28 @@ MOST_BROADCAST = 50_000  # rows of the table of oversized buckets up to which it
 DIGITS = 6  # cosines are rounded to so many digits before ties are broken by id
 
 
+def _hadamard(n: int) -> np.ndarray:
+    """The orthonormal Hadamard matrix of a power of two."""
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h / np.float32(np.sqrt(n))
+
+
+_STEP = 64  # numbers that one matrix product transforms at once
+_MATRIX = {1 << i: _hadamard(1 << i) for i in range(7)}
+
+
+def transform(y: np.ndarray) -> np.ndarray:
+    """The orthonormal Hadamard transform of each row, ``_STEP`` numbers at a time."""
+    n, width = y.shape
+    step = min(width, _STEP)
+    z = (y.reshape(-1, step) @ _MATRIX[step]).reshape(n, width // step, step)
+    if width > step:
+        z = transform(z.transpose(0, 2, 1).reshape(n * step, -1)).reshape(n, step, -1).transpose(0, 2, 1)
+    return z.reshape(n, width)
+
+
 class Rotations:
     """``tables * hashes`` pseudo-rotations of vectors of width ``dim``, padded to a power of two."""
 
@@ -40,13 +62,7 @@ class Rotations:
         y = np.zeros((len(x), self.width), np.float32)
         y[:, : x.shape[1]] = x
         for signs in self.signs[r]:
-            y *= signs
-            step = 1
-            while step < self.width:
-                z = y.reshape(len(y), -1, 2, step)
-                y = np.stack((z[:, :, 0] + z[:, :, 1], z[:, :, 0] - z[:, :, 1]), axis=2).reshape(len(x), self.width)
-                step *= 2
-            y *= np.float32(1 / np.sqrt(self.width))
+            y = transform(y * signs)
         return y
 
     def probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
@@ -56,10 +72,8 @@ class Rotations:
         for h in range(self.hashes):
             y = self.turn(x, table * self.hashes + h)
             size = np.abs(y)
-            top = np.argpartition(-size, many - 1, axis=1)[:, :many] if many < self.width else np.tile(np.arange(self.width), (len(x), 1))
+            top = self._largest(size, many)
             val = np.take_along_axis(size, top, 1)
-            order = np.argsort(-val, axis=1, kind="stable")
-            top, val = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
             axis = top * 2 + (np.take_along_axis(y, top, 1) < 0)
             tops.append(axis.astype(np.int64))
             gaps.append((val[:, :1] - val) ** 2)
@@ -71,6 +85,18 @@ class Rotations:
         return np.take_along_axis(key, best, 1)
 
 
+    def _largest(self, size: np.ndarray, n: int) -> np.ndarray:
+        """Places of the ``n`` largest numbers of each row, the largest first."""
+        if n > 3:
+            top = np.argpartition(-size, n - 1, axis=1)[:, :n] if n < self.width else np.tile(np.arange(self.width), (len(size), 1))
+            return np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
+        left, rows, top = size.copy(), np.arange(len(size)), np.empty((len(size), n), np.int64)
+        for i in range(n):
+            top[:, i] = left.argmax(1)
+            left[rows, top[:, i]] = -1
+        return top
+
+
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the usable vectors, and these at unit length: not null, ``dim`` wide, finite, not zero."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,7 +126,7 @@ def unit_vectors(df: DataFrame, doc_id: str, vector: str, dim: int) -> DataFrame
 
 
 def _hashed(units: DataFrame, dim: int, tables: int, hashes: int, probes: int) -> DataFrame:
-    """``bucket, rep, asks, stored, unit``: each vector at home and, as a question only, in its further buckets."""
+    """``rep, unit, asks, home, further``: the buckets each vector lies in, one a table, and those that it asks besides."""
     turns = Rotations(dim, tables, hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +134,15 @@ def _hashed(units: DataFrame, dim: int, tables: int, hashes: int, probes: int) -
             if not b.num_rows:
                 continue
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dim)
+            keys = np.stack([turns.probes(x, t, probes) * tables + t for t in range(tables)], 1)
             asks = np.asarray(b.column(2).to_pylist(), bool)
-            for t in range(tables):
-                key = turns.probes(x, t, probes) * tables + t
-                for p in range(probes):
-                    pick = np.arange(len(x)) if p == 0 else np.flatnonzero(asks)
-                    if not len(pick):
-                        continue
-                    at = pa.array(pick)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[pick, p]), b.column(0).take(at), pa.array(asks[pick]), pa.array(np.full(len(pick), p == 0)), b.column(1).take(at)], names=["bucket", "rep", "asks", "stored", "unit"])
+            more = keys[:, :, 1:].reshape(len(x), -1)
+            ends = np.concatenate(([0], np.cumsum(asks * more.shape[1])))
+            home = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(keys[:, :, 0].reshape(-1)))
+            further = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(more[asks].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, home, further], names=["rep", "unit", "asks", "home", "further"])
 
-    return units.select("rep", "unit", "asks").mapInArrow(run, "bucket long, rep string, asks boolean, stored boolean, unit binary")
+    return units.select("rep", "unit", "asks").mapInArrow(run, "rep string, unit binary, asks boolean, home array<long>, further array<long>")
 
 
 def _rank(stored: np.ndarray, names: np.ndarray, asked: np.ndarray, askers: np.ndarray, k: int, least: float, out: list) -> None:
@@ -204,10 +228,11 @@ def nearest(df: DataFrame, doc_id: str, vector: str, k: int = 10, least: float =
     reps = docs.groupBy("class").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.count("*").alias("copies"))
     units = stage.write(rows.groupBy("class").agg(F.first("unit").alias("unit")).join(reps, "class"), "units")
     stage.drop("rows")
-    hashed = _hashed(units, dim, tables, hashes, probes)
+    placed = stage.write(_hashed(units, dim, tables, hashes, probes), "placed")
+    own, further = placed.select(F.explode("home").alias("bucket"), "rep", "asks", F.lit(True).alias("stored"), "unit"), placed.select(F.explode("further").alias("bucket"), "rep", "asks", F.lit(False).alias("stored"), "unit")
+    hashed = own.unionByName(further)
 
-    sizes = units.select("rep", "unit", F.lit(False).alias("asks"))
-    sizes = _hashed(sizes, dim, tables, hashes, 1).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    sizes = placed.select(F.explode("home").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = stage.write(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("bucket", "blocks"), "large")
     n_large = large.count()
     if n_large:
