@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -92,19 +93,19 @@ def chunk_bounds(words: list[str], size: int = 270, overlap: int = 130, trim: in
     """
     if not 0 <= overlap < size - trim + 1 - trim:
         raise ValueError("the overlap is too large for the chunk")
-    ends = [i for i, w in enumerate(words) if w.endswith((".", "!", "?"))]
+    ends = [i for i, w in enumerate(words) if w.endswith((".", "!", "?"))]  # rising, so a range of them is found by halving
     n, start, out = len(words), 0, []
     while start < n:
         if start:
-            first = next((e for e in ends if start <= e < start + size), None)
-            if first is not None and first - start < trim:
-                start = first + 1
+            at = bisect.bisect_left(ends, start)
+            if at < len(ends) and ends[at] - start < trim:
+                start = ends[at] + 1
                 if start >= n:
                     break
         end = start + size
-        last = next((e - start for e in reversed(ends) if start <= e < end), 0)
-        if last > 0 and size - last <= trim:
-            end = start + last + 1
+        at = bisect.bisect_left(ends, end) - 1
+        if at >= 0 and ends[at] > start and end - ends[at] <= trim:
+            end = ends[at] + 1
         out.append((start, min(end, n)))
         if end >= n:
             break

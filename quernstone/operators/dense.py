@@ -15,7 +15,7 @@ from quernstone.functions.vectors import cosine, l2_normalize
 from quernstone.sources.io import read_by_language, write_by_language
 
 DIGITS = 6
-BLOCK = 4096  # documents that are compared at once
+BLOCK = 2048  # documents, and queries, that are compared at once
 ASKED = 20_000  # queries that a task holds, about
 SPREAD = 16  # parts of each language's documents that are searched in parallel, at least
 
@@ -181,14 +181,16 @@ def _search_parts(queries: DataFrame, documents: DataFrame, k: int, spread: int
             for i in range(0, len(b), BLOCK):
                 some = b.iloc[i : i + BLOCK]
                 x = _unit(np.stack(some["vector"].values).astype(np.float64))
-                cos = np.round(asked @ x.T, DIGITS)
-                if cos.shape[1] > k:
-                    edge = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k]
-                    r, c = np.nonzero(cos >= edge)
-                else:
-                    r, c = np.nonzero(np.ones_like(cos, bool))
-                new = pd.DataFrame({"query_id": np.array(names, object)[r], "doc_id": some["doc_id"].values[c], "score": cos[r, c]})
-                all_ = new if best is None else pd.concat([best, new])
+                new = []
+                for q in range(0, len(asked), BLOCK):
+                    cos = np.round(asked[q : q + BLOCK] @ x.T, DIGITS)
+                    if cos.shape[1] > k:
+                        edge = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k][:, None]
+                        r, c = np.nonzero(cos >= edge)
+                    else:
+                        r, c = np.nonzero(np.ones_like(cos, bool))
+                    new.append(pd.DataFrame({"query_id": np.array(names[q : q + BLOCK], object)[r], "doc_id": some["doc_id"].values[c], "score": cos[r, c]}))
+                all_ = pd.concat(new if best is None else [best, *new])
                 best = all_.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
 
         for batch in batches:

@@ -10,6 +10,7 @@ from quernstone.operators import index as I
 from quernstone.operators.search import DIGITS, query_terms
 from quernstone.plans.staging import checked_broadcast
 
+#: The grid of the tuning script, in its order (fixed values).
 K1_GRID = (1.2, 1.1, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9, 2.0)
 B_GRID = (0.0, 0.25, 0.5, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 

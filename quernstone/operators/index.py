@@ -23,13 +23,14 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """How often each term occurs in each document.
+    """How often each term occurs in each document, one row of ``docs``.
 
-    If ``docs`` are hash-partitioned by ``doc_id`` before their words are exploded, the
-    count needs no exchange: each text moves once, instead of its words.
+    Counted inside the row, as runs of its sorted words: nothing moves.
     """
-    words = docs.select("lang", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return words.groupBy("lang", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    words = docs.where(F.size("tokens") > 0).select("lang", "doc_id", F.size("tokens").cast("long").alias("dl"), F.sort_array("tokens").alias("_w"))
+    first = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
+    runs = F.transform("_first", lambda p, i: F.struct(F.get("_w", p - 1).alias("term"), (F.coalesce(F.get("_first", i + 1), F.size("_w") + 1) - p).cast("long").alias("tf")))
+    return words.withColumn("_first", first).select("lang", "doc_id", "dl", F.inline(runs))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -49,10 +50,6 @@ def stats_of(documents: DataFrame, tf: DataFrame) -> DataFrame:
     return n.join(total, "lang", "left").select("lang", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
 
 
-def document_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("lang", "doc_id", F.size("tokens").cast("long").alias("dl"))
-
-
 def bm25_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Adds ``idf`` = ln((N - df + 0.5) / (df + 0.5) + 1). A language has one row of statistics; they are counted before they are broadcast."""
     return df.join(checked_broadcast(stats), "lang").withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))

@@ -1,7 +1,7 @@
 """Batches of queries against an index: scores, top k with padding, fusion, hit lists.
 
 ``queries`` has ``query_id, lang, terms``; equal scores (to 6 digits) are ordered by id.
-Queries are many and grow with the data, so no side of the join is broadcast by hand.
+Queries are many and grow with the data, so only their different terms are broadcast, if counted to be few.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.plans.staging import checked_broadcast
+
 DIGITS = 6
+MOST_TERMS = 200_000  # different terms of all queries that are broadcast
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -18,6 +21,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "lang", F.explode("terms").alias("term")).groupBy("query_id", "lang", "term").agg(F.count("*").alias("qtf"))
 
 
+def asked_postings(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of terms that some query has, before they are weighted or moved; counts by term stay those of all documents."""
+    terms = queries.select("lang", F.explode("terms").alias("term")).distinct()
+    return postings.join(checked_broadcast(terms, MOST_TERMS), ["lang", "term"], "left_semi")
+
+
 def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, lang, doc_id, score`` of the documents that share a term with the query; unknown terms are dropped."""
     met = index.join(query_terms(queries), ["lang", "term"])

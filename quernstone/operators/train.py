@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 from quernstone.functions.text import parse_list
 from quernstone.operators.dense import Encoder
 from quernstone.operators.positions import places
+from quernstone.plans.staging import Stage
+
+DRAWS = 1_000_000  # rows that one task draws again at most
+BATCH_QUERIES = 512  # whose pairs a task multiplies at once
 
 
 def training_pairs(queries: DataFrame) -> DataFrame:
@@ -42,7 +46,10 @@ def upsample(rows: DataFrame, lang: str = "lang", row_id: str = "query_id", seed
     ids in order. ``row_id`` must be unique in a language.
     """
     counts = rows.groupBy(lang).agg(F.count("*").alias("_n"))
-    lacking = counts.withColumn("_most", F.max("_n").over(Window.partitionBy())).where("_most > _n").select(F.col(lang).alias("_lang"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most") - F.col("_n"))).alias("copy"), "_n")
+    lacking = counts.withColumn("_most", F.max("_n").over(Window.partitionBy())).where("_most > _n").select(F.col(lang).alias("_lang"), (F.col("_most") - F.col("_n")).alias("_less"), "_n")
+    # a language's draws are made in blocks of DRAWS by many tasks
+    blocks = lacking.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_less - 1) div {DRAWS}")))).repartition("_lang", "_block")
+    lacking = blocks.select("_lang", F.explode(F.sequence(F.col("_block") * DRAWS + 1, F.least(F.col("_less"), (F.col("_block") + 1) * DRAWS))).alias("copy"), "_n")
     draws = lacking.select("_lang", "copy", F.pmod(F.col("copy") * 48271 + seed, F.col("_n")).alias("_at"))
     placed = places(rows, lang, row_id)
     drawn = placed.join(draws, placed[lang].eqNullSafe(draws["_lang"]) & (placed["place"] == draws["_at"])).select(*rows.columns, "copy")
@@ -64,6 +71,20 @@ def _batch_gradient(b: pd.DataFrame, query: Encoder, document: Encoder) -> tuple
     return loss, int(ok.sum()), query.gradient(q, slope[:, None] * z) + document.gradient(d, slope[:, None] * y)
 
 
+def _by_query(pairs: DataFrame) -> DataFrame:
+    """A row a query, with its few pairs in a list."""
+    return pairs.groupBy("query_id").agg(F.collect_list(F.struct("is_positive", "qv", "dv")).alias("pairs"))
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of at most ``BATCH_QUERIES`` queries at a time, a row a pair."""
+    for b in batches:
+        for at in range(0, len(b), BATCH_QUERIES):
+            some = b.iloc[at : at + BATCH_QUERIES]
+            rows = [(i, *(p[c] for c in ("is_positive", "qv", "dv"))) for i, pairs in zip(some["query_id"], some["pairs"], strict=True) for p in pairs]
+            yield pd.DataFrame(rows, columns=["query_id", "is_positive", "qv", "dv"])
+
+
 def train(pairs: DataFrame, dim: int, hidden: int = 256, epochs: int = 30, rate: float = 1e-5, steps: int = 8, decay: float = 0.01, restart: int = 5, least_rate: float = 1e-7, validation: DataFrame | None = None, seed: int = 0) -> tuple[dict[str, Encoder], list[tuple[int, float, float | None]]]:
     """Fits the query and document encoders; returns them and ``epoch, train_loss, val_loss``.
 
@@ -76,20 +97,26 @@ def train(pairs: DataFrame, dim: int, hidden: int = 256, epochs: int = 30, rate:
     encoders = {"query": Encoder.seeded(dim, hidden, seed), "document": Encoder.seeded(dim, hidden, seed + 1)}
     weights = [p for e in encoders.values() for p in e.parameters()]
     m, v = [np.zeros_like(p) for p in weights], [np.zeros_like(p) for p in weights]
-    parted = pairs.select("query_id", "is_positive", "qv", "dv", F.pmod(F.xxhash64("query_id"), F.lit(steps)).alias("step")).repartition("query_id").cache()
+    parted = _by_query(pairs).withColumn("step", F.pmod(F.xxhash64("query_id"), F.lit(steps)))
+    parted = Stage(spark, "pairs").write(parted, "pairs", "step")
 
     def sums(df: DataFrame) -> tuple[float, int, list[np.ndarray]]:
         now = spark.sparkContext.broadcast(encoders)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             e = now.value
-            whole = [b for b in batches if len(b)]  # a partition's rows of one step
-            if whole:
-                loss, n, g = _batch_gradient(pd.concat(whole), e["query"], e["document"])
-                yield pd.DataFrame({"loss": [loss], "n": [n], "g": [np.concatenate([x.ravel() for x in g])]})
+            loss, n, gradient = 0.0, 0, None
+            for b in _pieces(batches):
+                more, k, g = _batch_gradient(b, e["query"], e["document"])
+                flat = np.concatenate([x.ravel() for x in g])
+                loss, n, gradient = loss + more, n + k, flat if gradient is None else gradient + flat
+            if gradient is not None:
+                yield pd.DataFrame({"loss": [loss], "n": [n], "g": [gradient]})
 
         parts = df.mapInPandas(run, "loss double, n long, g array<double>")
-        total = parts.rdd.map(lambda r: (r["loss"], r["n"], np.array(r["g"]))).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), 2) if not parts.isEmpty() else (0.0, 0, np.zeros(sum(p.size for p in weights)))
+        nothing = (0.0, 0, np.zeros(sum(p.size for p in weights)))
+        add = lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+        total = parts.rdd.map(lambda r: (r["loss"], r["n"], np.array(r["g"]))).treeAggregate(nothing, add, add, 2)
         out, i = [], 0
         for p in weights:
             out.append(total[2][i : i + p.size].reshape(p.shape))
@@ -100,7 +127,7 @@ def train(pairs: DataFrame, dim: int, hidden: int = 256, epochs: int = 30, rate:
     for epoch in range(epochs):
         losses, count = 0.0, 0
         for step in range(steps):
-            loss, n, g = sums(parted.where(F.col("step") == step).drop("step"))
+            loss, n, g = sums(parted.where(F.col("step") == step).select("query_id", "pairs"))
             losses, count = losses + loss, count + n
             if not n:
                 continue
@@ -113,7 +140,6 @@ def train(pairs: DataFrame, dim: int, hidden: int = 256, epochs: int = 30, rate:
                 if p.ndim > 1:
                     p *= 1 - lr * decay
                 p -= lr * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        check = sums(validation.select("query_id", "is_positive", "qv", "dv").repartition("query_id")) if validation is not None else None
+        check = sums(_by_query(validation)) if validation is not None else None
         history.append((epoch + 1, losses / max(1, count), check[0] / max(1, check[1]) if check else None))
-    parted.unpersist()
     return encoders, history

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from quernstone.operators import analyze, dense, search, train
 from quernstone.operators import evaluate as E
 from quernstone.operators import index as I
 from quernstone.plans.retrieval_sql import SQL
-from quernstone.plans.staging import Stage
+from quernstone.plans.staging import Stage, checked_broadcast, spread
 from quernstone.sources import io
 from quernstone.sources.tables import table
 from quernstone.streaming.scoring import answer_stream
@@ -37,11 +38,12 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return analyze.tokenize(_documents(spark, d).repartition("doc_id")).select("doc_id", "lang", "tokens")
+    """Words of every document, read in place: ``doc_id`` never repeats."""
+    return analyze.tokenize(_documents(spark, d)).select("doc_id", "lang", "tokens")
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "corpus_df").select(F.col("docid").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id").distinct()
+    once = table(spark, d, "corpus_df").select(F.col("docid").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     return analyze.tokenize(once, analyzers={}).select("doc_id", "lang", "tokens")
 
 
@@ -55,7 +57,8 @@ def _counted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``lang, doc_id`` of all documents, their postings and statistics."""
     ids = _documents(spark, d).select("lang", "doc_id")
-    return ids, *_counted(_docs(spark, d), ids)
+    docs = analyze.tokenize(spread(_documents(spark, d))).select("doc_id", "lang", "tokens")
+    return ids, *_counted(docs, ids)
 
 
 def _known_items(docs: DataFrame) -> DataFrame:
@@ -226,7 +229,12 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``lang, doc_id`` of all documents, statistics, queries and scores."""
     (ids, tf, stats), queries = _postings(spark, d), _asked(spark, d)
-    return ids, stats, queries, search.scores(I.bm25_index(tf, stats), queries)
+    return ids, stats, queries, _bm25_scores(tf, stats, queries)
+
+
+def _bm25_scores(tf: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """Only postings of terms that are asked for are weighted."""
+    return search.scores(I.bm25_index(search.asked_postings(tf, queries), stats), queries)
 
 
 def _tfidf(tf: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
@@ -257,7 +265,14 @@ def bm25_saved_index(spark: SparkSession, d: str) -> DataFrame:
     io.save_index(I.bm25_index(tf, stats, tuned=I.TUNED), stats, stage.path)
     index, _ = io.load_index(spark, stage.path)
     queries = _asked(spark, d)
-    return search.match(search.scores(index, queries), queries, ids)
+    return search.match(search.scores(search.asked_postings(index, queries), queries), queries, ids)
+
+
+@query
+def bm25_full_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of a query's language in order."""
+    ids, _, queries, scored = _bm25(spark, d)
+    return search.match_all(scored, queries, ids)
 
 
 @query
@@ -274,7 +289,7 @@ def tfidf_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     (ids, tf, stats), queries = _postings(spark, d), _asked(spark, d)
-    sparse = search.match(search.scores(I.bm25_index(tf, stats), queries), queries, ids)
+    sparse = search.match(_bm25_scores(tf, stats, queries), queries, ids)
     return queries, search.fuse(sparse, search.match(_tfidf(tf, stats, queries), queries, ids))
 
 
@@ -295,12 +310,18 @@ def scatter_results(spark: SparkSession, d: str) -> DataFrame:
     return search.scatter(queries.select("query_id", "lang", F.size("terms").cast("long").alias("n_terms")), hits)
 
 
+def _passages(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    docs = _corpus(spark, d)
+    ids = docs.select("lang", "doc_id")
+    tf, stats = _counted(docs, ids)
+    queries = Stage(spark, "questions").write(queries, "asked")
+    return search.match(_bm25_scores(tf, stats, queries), queries, ids)
+
+
 @query
 def passage_search(spark: SparkSession, d: str) -> DataFrame:
     """Every question of dev against the documents of corpus_df with the same label."""
-    docs, queries = _corpus(spark, d), _questions(spark, d)
-    ids = docs.select("lang", "doc_id")
-    return search.match(search.scores(I.bm25_index(*_counted(docs, ids)), queries), queries, ids)
+    return _passages(spark, d, _questions(spark, d))
 
 
 @query
@@ -374,8 +395,9 @@ def best_params_full(spark: SparkSession, d: str) -> DataFrame:
 def accuracy_first_queries(spark: SparkSession, d: str) -> DataFrame:
     """Over the first 100 questions of dev, whatever their language."""
     first = table(spark, d, "dev").select("query_id").distinct().orderBy("query_id").limit(100)
-    relevant = _questions(spark, d).join(first, "query_id", "left_semi").select("query_id", "lang", F.col("positive_docs").alias("doc_id"))
-    return _r(E.accuracy(passage_search(spark, d), relevant), "accuracy")
+    asked = _questions(spark, d).join(checked_broadcast(first, 100), "query_id", "left_semi")
+    relevant = asked.select("query_id", "lang", F.col("positive_docs").alias("doc_id"))
+    return _r(E.accuracy(_passages(spark, d, asked), relevant), "accuracy")
 
 
 # ---- sources, shards, reshaping
@@ -386,6 +408,52 @@ def language_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
 
 
+@query
+def corpus_json(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus written as JSON lines and read as a source."""
+    stage = Stage(spark, "json")
+    table(spark, d, "corpus_df").select("docid", "text", "lang").distinct().write.json(f"{stage.path}/corpus")
+    return io.read_corpus(spark, f"{stage.path}/corpus", lines=True)
+
+
+@query
+def queries_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of dev written as CSV and read as a source; CSV can't tell empty texts from null, so these are left out."""
+    stage = Stage(spark, "csv")
+    names = ("query", "lang", "positive_docs", "negative_docs")
+    asked = table(spark, d, "dev").select(*names).distinct().where(" and ".join(f"coalesce({c}, 'x') <> ''" for c in names))
+    io.write_csv(asked, f"{stage.path}/queries")
+    return io.read_queries(spark, f"{stage.path}/queries")
+
+
+@query
+def tuning_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The tuning results written as CSV and read again."""
+    stage = Stage(spark, "tuning")
+    io.write_csv(bm25_grid(spark, d).select("lang", "k1", "b", F.col("recall").alias("recall@10")), f"{stage.path}/tuning")
+    return io.read_tuning(spark, f"{stage.path}/tuning").withColumnRenamed("recall@10", "recall")
+
+
+@query
+def results_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The hit lists written as a result file and read again."""
+    stage = Stage(spark, "results")
+    io.write_results(search.hit_list(bm25_top_k_padded(spark, d)), f"{stage.path}/results")
+    read = spark.read.schema("id long, docids string").csv(f"{stage.path}/results", header=True, escape='"')
+    return read.select(F.col("id").alias("query_id"), F.array_join(F.from_json("docids", "array<string>"), " ").alias("docids"))
+
+
+@query
+def stop_words_file(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a file, one a line, taken out of the texts of one language."""
+    stage = Stage(spark, "stop")
+    docs = _docs(spark, d).where("lang = 'en'")
+    commonest = I.document_frequency(I.postings(docs)).orderBy(F.desc("df"), "term").limit(50)
+    commonest.select("term").coalesce(1).write.text(f"{stage.path}/en")
+    kept = analyze.remove_stop_words(docs, analyze.read_stop_words(spark, f"{stage.path}/en", "en"))
+    return kept.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query
 def split_floor(spark: SparkSession, d: str) -> DataFrame:
     return io.floor_split(_documents(spark, d).select("doc_id", "lang"), 4)
@@ -558,6 +626,34 @@ def hash_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return dense.hash_neighbours(rows, rows.where("id % 20 = 0"), 10, 64)
 
 
+def _waves(hidden: int, dim: int = 64, shift: int = 0) -> dense.Encoder:
+    """An encoder whose weights are sines of their places, so that SQL can tell them."""
+
+    def linear(a: int, b: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.arange(1, a + 1)[:, None], np.arange(1, b + 1)[None]
+        return np.sin(i * 7 + j * 3 + n + shift) / 4, np.cos(np.arange(1, b + 1) * 5.0 + n + shift) / 4
+
+    return dense.Encoder(*linear(dim, hidden, 1), *linear(hidden, dim, 2), *linear(dim, hidden, 3), *linear(hidden, dim, 4))
+
+
+@query
+def encoder_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector through an encoder whose weights were written and read again."""
+    stage = Stage(spark, "weights")
+    dense.save_weights(spark, {"document": _waves(8)}, stage.path)
+    encoder = dense.load_weights(spark, stage.path)["document"]
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return dense.encode(rows, encoder, "embedding").select("vec_id", F.posexplode("encode").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
+
+
+@query
+def two_tower_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector as a question against the next vector as a document, through an encoder each."""
+    rows = table(spark, d, "embeddings")
+    pairs = rows.select("vec_id", F.col("embedding").alias("qv")).join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("dv")), "vec_id")
+    return dense.model_scores(pairs, _waves(8), _waves(8, shift=9)).select("vec_id", F.round("score", 4).alias("score"))
+
+
 @query
 def encode_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document vector through an encoder with seeded weights; there is no SQL for it."""

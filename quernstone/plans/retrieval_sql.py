@@ -132,6 +132,25 @@ def _chunk_agg(f: str) -> str:
     return _with(_DENSE, _top("d10", "dscored", 100)) + f"SELECT query_id, doc_id // 4 AS doc_id, round({f}(score), 8) AS score FROM d10 GROUP BY ALL"
 
 
+
+
+def _layer(x: str, a: int, b: int, n: int) -> str:
+    """``b`` numbers from the ``a`` of ``x``: weights are sines and offsets cosines of their places."""
+    return f"list_transform(range(1, {b + 1}), lambda j: list_sum(list_transform(range(1, {a + 1}), lambda i: {x}[i] * sin(i * 7 + j * 3 + {n}) / 4)) + cos(j * 5 + {n}) / 4)"
+
+
+def _encoded(name: str, rows: str, x: str, shift: int = 0) -> str:
+    """Tables that take ``id, v`` of ``rows`` through the encoder; ``name`` has ``id, y``."""
+    relu = "lambda z: greatest(z, 0::DOUBLE)"
+    unit = "list_transform(u, lambda z: CASE WHEN sqrt(list_sum(list_transform(u, lambda w: w * w))) > 0 THEN z / sqrt(list_sum(list_transform(u, lambda w: w * w))) ELSE 0 END)"
+    return f"""{name}0 AS (SELECT vec_id AS id, list_transform({x}, lambda z: CAST(z AS DOUBLE)) AS v FROM {rows}),
+{name}1 AS (SELECT id, v, list_transform({_layer("v", 64, 8, 1 + shift)}, {relu}) AS h FROM {name}0),
+{name}2 AS (SELECT id, list_transform(list_zip(v, {_layer("h", 8, 64, 2 + shift)}), lambda z: z[1] + z[2]) AS u FROM {name}1),
+{name}3 AS (SELECT id, {unit} AS v FROM {name}2),
+{name}4 AS (SELECT id, list_transform({_layer("v", 64, 8, 3 + shift)}, {relu}) AS h FROM {name}3),
+{name}5 AS (SELECT id, {_layer("h", 8, 64, 4 + shift)} AS u FROM {name}4),
+{name} AS (SELECT id, {unit} AS y FROM {name}5)"""
+
 SQL: dict[str, str] = {
     "clean_lexical": f"SELECT doc_id, {LEXICAL} AS clean FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
     "clean_dense": f"SELECT doc_id, {DENSE} AS clean FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
@@ -173,6 +192,14 @@ SQL: dict[str, str] = {
     "stream_passage_search": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT query_id, lang, doc_id, score, rank FROM b10",
     "accuracy_corpus": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT count(*) AS n_queries, round(avg(CASE WHEN h.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS accuracy FROM q LEFT JOIN b10 h ON q.query_id = h.query_id AND h.doc_id = q.positive_docs",
     "accuracy_first_queries": _with(CORPUS, TF, _index(), _DEV, SCORES, _padded("b10", "scored")) + "SELECT count(*) AS n_queries, round(avg(CASE WHEN h.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS accuracy FROM q LEFT JOIN b10 h ON q.query_id = h.query_id AND h.doc_id = q.positive_docs WHERE q.query_id IN (SELECT DISTINCT query_id FROM dev ORDER BY query_id LIMIT 100)",
+    "bm25_full_ranking": _with(DOCS, TF, _index(), QUERIES, SCORES) + "SELECT q.query_id, q.lang, t.doc_id, coalesce(s.score, 0) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(s.score, 0) DESC, t.doc_id) AS rank FROM q JOIN toks t ON t.lang = q.lang LEFT JOIN scored s ON s.query_id = q.query_id AND s.doc_id = t.doc_id",
+    "corpus_json": "SELECT DISTINCT docid, text, lang FROM corpus_df",
+    "queries_csv": "SELECT DISTINCT query, lang, positive_docs, negative_docs FROM dev WHERE coalesce(query, 'x') <> '' AND coalesce(lang, 'x') <> '' AND coalesce(positive_docs, 'x') <> '' AND coalesce(negative_docs, 'x') <> ''",
+    "tuning_csv": _with(DOCS, TF, _index(), QUERIES, _GRID_RECALL) + "SELECT lang, k1, b, recall FROM recall",
+    "results_csv": _with(*_B10) + "SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS docids FROM b10 GROUP BY query_id",
+    "stop_words_file": _with(DOCS, TF, "stop AS (SELECT list(term) AS words FROM (SELECT term FROM df WHERE lang = 'en' ORDER BY df DESC, term LIMIT 50))") + "SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT coalesce(list_contains(words, w), false)), ' ') AS tokens FROM toks CROSS JOIN stop WHERE lang = 'en'",
+    "encoder_forward": "WITH " + _encoded("e", "embeddings", "embedding") + " SELECT id AS vec_id, CAST(unnest(range(0, 64)) AS INTEGER) AS i, round(unnest(y), 4) AS x FROM e",
+    "two_tower_scores": "WITH " + _encoded("e", "embeddings", "embedding") + ",\n" + _encoded("f", "embeddings", "embedding", 9) + " SELECT e.id AS vec_id, round(list_cosine_similarity(e.y, f.y), 4) AS score FROM e JOIN f ON f.id = e.id + 1",
     "language_filter": "SELECT doc_id, text FROM documents WHERE lang = 'en'",
     "split_floor": "SELECT doc_id, lang, CAST(CASE WHEN n // 4 = 0 THEN 4 ELSE least(4, 1 + rn // nullif(n // 4, 0)) END AS INTEGER) AS shard FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, count(*) OVER (PARTITION BY coalesce(lang, 'und')) AS n, row_number() OVER (PARTITION BY coalesce(lang, 'und') ORDER BY doc_id) - 1 AS rn FROM documents)",
     "split_ceil": "SELECT doc_id, CAST(1 + rn // (n // 12 + 1) AS INTEGER) AS shard FROM (SELECT doc_id, count(*) OVER () AS n, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)",

@@ -13,14 +13,14 @@ TEST_QUERIES = "id string, query string, lang string"
 TUNING = "lang string, k1 double, b double, `recall@10` double"
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of documents (one file may hold them all) or JSON lines."""
-    return spark.read.schema(CORPUS).json(path, multiLine=True)
+def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of documents, a task a file, or with ``lines`` JSON lines, whose files are split among tasks."""
+    return spark.read.schema(CORPUS).json(path, multiLine=not lines)
 
 
-def read_queries(spark: SparkSession, path: str, schema: str = QUERIES) -> DataFrame:
-    """CSV with a header; texts may hold line breaks and doubled quotes."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+def read_queries(spark: SparkSession, path: str, schema: str = QUERIES, lines: bool = False) -> DataFrame:
+    """CSV with a header; texts may hold doubled quotes, and line breaks unless ``lines`` promises a record a line, which lets tasks share a file."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=not lines, escape='"')
 
 
 def read_tuning(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +33,8 @@ def write_results(hits: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """With a header, doubled quotes, and white space kept."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_by_language(df: DataFrame, path: str) -> None:
@@ -48,8 +49,12 @@ def read_by_language(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_index(index: DataFrame, stats: DataFrame, path: str) -> None:
-    """Weighted postings by language, sorted by term inside each file so that row groups can be skipped."""
-    ordered = index.repartition("lang", F.pmod(F.xxhash64("term"), F.lit(32))).sortWithinPartitions("lang", "term")
+    """Weighted postings by language, sorted by term so that files and row groups can be skipped.
+
+    Ranges end inside a common term's postings too, so no task holds a term or a language.
+    """
+    order = ("lang", "term", "doc_id")
+    ordered = index.repartitionByRange(*order).sortWithinPartitions(*order)
     write_by_language(ordered, f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
 
