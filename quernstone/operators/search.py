@@ -6,6 +6,11 @@ Queries are many and grow with the data, so only their different terms are broad
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +18,9 @@ from pyspark.sql.window import Window
 from quernstone.plans.staging import checked_broadcast
 
 DIGITS = 6
+SPREAD = 16  # parts of a language's documents that are scored in parallel, at least
+ASKED = 20_000  # queries that a task holds, about
+BLOCK = 1_000_000  # postings that a task holds, about
 MOST_TERMS = 200_000  # different terms of all queries that are broadcast
 
 
@@ -33,6 +41,96 @@ def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "lang", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), DIGITS).alias("score"))
 
 
+def best_scores(index: DataFrame, queries: DataFrame, k: int, spread: int | None = None) -> DataFrame:
+    """Of ``scores`` a superset of each query's ``k`` best, without moving a row for every query and document that meet.
+
+    The documents of a language lie in ``spread`` parts, to which its queries go, if they are many in rows of a grid. A part adds up its
+    postings of whole documents, a block at a time, and hands on the ``k`` best of each query.
+    """
+    spread = spread or max(SPREAD, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    types = {"query_id": queries.schema["query_id"].dataType.simpleString(), "doc_id": index.schema["doc_id"].dataType.simpleString()}
+    rows = max(1, -(-queries.count() // ASKED))
+    part, row = F.sequence(F.lit(0), F.lit(spread - 1)), F.sequence(F.lit(0), F.lit(rows - 1))
+    asks = query_terms(queries).select("lang", F.explode(part).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("row"), F.lit(0).alias("kind"), "query_id", F.lit(None).cast(types["doc_id"]).alias("doc_id"), "term", F.col("qtf").cast("double").alias("x"))
+    held = index.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int").alias("part"), F.explode(row).alias("row"), F.lit(1).alias("kind"), F.lit(None).cast(types["query_id"]).alias("query_id"), "doc_id", "term", F.col("weight").alias("x"))
+    mixed = asks.unionByName(held).repartition("lang", "part", "row").sortWithinPartitions("lang", "part", "row", "kind", "query_id", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's queries come before its postings."""
+        group, asked, waiting = None, [], []
+
+        def runs(b: pa.Table) -> Iterator[tuple[tuple, pa.Table]]:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("lang", "part", "row", "kind")), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j > i:
+                    yield keys[i], b.slice(i, j - i)
+
+        def answer(whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if not asked or not waiting:
+                waiting = []
+                return
+            docs, queries = pa.concat_tables(waiting).combine_chunks(), pa.concat_tables(asked)
+            if not whole:  # the last document may go on
+                last = pc.equal(docs["doc_id"], docs["doc_id"][-1])
+                waiting, docs = [docs.filter(last)], docs.filter(pc.invert(last))
+            else:
+                waiting = []
+            if docs.num_rows:
+                yield from _block(docs, queries, group[0], k)
+
+        for batch in batches:
+            for key, t in runs(pa.Table.from_batches([batch])):
+                if key[:3] != group:
+                    yield from answer(True)
+                    group, asked, waiting = key[:3], [], []
+                (waiting if key[3] else asked).append(t)
+                if key[3] and sum(x.num_rows for x in waiting) > BLOCK:
+                    yield from answer(False)
+        yield from answer(True)
+
+    lang = index.schema["lang"].dataType.simpleString()
+    found = mixed.mapInArrow(run, f"query_id {types['query_id']}, lang {lang}, doc_id {types['doc_id']}, score double")
+    return found
+
+
+def _block(docs: pa.Table, queries: pa.Table, lang: object, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best documents of a block for each query; documents come in their order, queries sorted."""
+    words = queries["term"].unique()
+    word, weight = np.asarray(pc.index_in(docs["term"], value_set=words).fill_null(-1)), np.asarray(docs["x"])
+    ids = docs["doc_id"].unique()
+    number = np.asarray(pc.index_in(docs["doc_id"], value_set=ids))
+    order = np.argsort(word, kind="stable")
+    word, weight, number = word[order], weight[order], number[order]
+    starts = np.searchsorted(word, np.arange(len(words) + 1))
+    names = queries["query_id"].unique()
+    owner, asked, times = np.asarray(pc.index_in(queries["query_id"], value_set=names)), np.asarray(pc.index_in(queries["term"], value_set=words)), np.asarray(queries["x"])
+    cuts = np.searchsorted(owner, np.arange(len(names) + 1))
+    total, who, what, scores = np.zeros(len(ids)), [], [], []
+    for q in range(len(names)):
+        met = [(asked[i], times[i]) for i in range(cuts[q], cuts[q + 1]) if starts[asked[i]] < starts[asked[i] + 1]]
+        for w, n in met:
+            own = slice(starts[w], starts[w + 1])
+            total[number[own]] += n * weight[own]
+        if not met:
+            continue
+        some = np.unique(np.concatenate([number[starts[w] : starts[w + 1]] for w, _ in met])) if len(met) > 1 else np.sort(number[starts[met[0][0]] : starts[met[0][0] + 1]])
+        found = np.round(total[some], DIGITS)
+        total[some] = 0
+        if len(some) > k:
+            edge = np.partition(found, len(some) - k)[len(some) - k]
+            keep = np.flatnonzero(found >= edge)
+            keep = keep[np.argsort(-found[keep], kind="stable")][:k]  # of equal ones those with the lower ids
+            some, found = some[keep], found[keep]
+        who.append(np.full(len(some), q))
+        what.append(some)
+        scores.append(found)
+    if who:
+        n = sum(map(len, what))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(who))), pa.array([lang] * n), ids.take(pa.array(np.concatenate(what))), pa.array(np.concatenate(scores))], names=["query_id", "lang", "doc_id", "score"])
+
+
 def tfidf_scores(index: DataFrame, idf: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of queries and documents; ``idf`` has ``lang, term, idf`` of the corpus."""
     known = query_terms(queries).join(idf.select("lang", "term", "idf"), ["lang", "term"])

@@ -315,7 +315,8 @@ def _passages(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
     ids = docs.select("lang", "doc_id")
     tf, stats = _counted(docs, ids)
     queries = Stage(spark, "questions").write(queries, "asked")
-    return search.match(_bm25_scores(tf, stats, queries), queries, ids)
+    index = I.bm25_index(search.asked_postings(tf, queries), stats)
+    return search.match(search.best_scores(index, queries, 10), queries, ids)
 
 
 @query

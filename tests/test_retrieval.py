@@ -99,6 +99,20 @@ def test_bm25_equals_plain_python(spark):
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+@pytest.mark.parametrize("block", [1, 40, 1_000_000])
+def test_best_scores_hold_every_top_k(spark, monkeypatch, block):
+    """In parts and blocks of any size, ties and repeated terms included, the k best are those of all scores."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    rows = [(["en", "fr", None][i % 3], 1000 - i, f"t{(i * j) % 7}", float((i * j) % 3 + 1)) for i in range(60) for j in range(1, 5)]
+    index = spark.createDataFrame(rows, "lang string, doc_id long, term string, weight double").groupBy("lang", "doc_id", "term").agg(F.max("weight").alias("weight"))
+    queries = spark.createDataFrame([("a", "en", ["t1", "t2", "t2"]), ("b", "en", ["t9"]), ("c", "fr", ["t0", "t3", "t9"]), ("d", "fr", []), ("e", "de", ["t1"])], "query_id string, lang string, terms array<string>")
+    want = search.top_k(search.scores(index, queries), 4)
+    got = search.top_k(search.best_scores(index, queries, 4, spread=3), 4)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert search.best_scores(index, queries.where("false"), 4).count() == search.best_scores(index.where("false"), queries, 4).count() == 0
+
+
 def test_grid_and_best(spark, corpus, tf):
     queries = ask(spark, "b", "a c")
     relevant = queries.select("query_id", "lang", F.lit("d1").alias("doc_id"))
