@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +69,19 @@ def best_fit(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
             values.pop(bisect.bisect_left(values, gap))
         return after
 
-    while order:
+    after = list(range(len(order) + 1))  # of each place in the order the next size that has documents left
+
+    def next_left(i: int) -> int:
+        while after[i] != i:
+            after[i] = i = after[after[i]]
+        return i
+
+    while next_left(0) < len(order):
         updates: list[tuple[int, int, int]] = []
         roomiest = values[-1] if values else 0  # of all gaps, those that this superstep leaves too
-        for size in order:
+        i = next_left(0)
+        while i < len(order):
+            size = order[i]
             at = bisect.bisect_left(values, size)
             if at < len(values):
                 new = place(size, values[at])
@@ -83,14 +93,20 @@ def best_fit(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
                 taken[size] += n
                 left[size] -= n
                 containers += n
+            elif values:
+                # larger sizes had the better rank for its gap, and it doesn't open one: all sizes wait that the gaps left can't hold
+                i = next_left(bisect.bisect_left(order, -values[-1], lo=i + 1, key=neg))
+                continue
             else:
-                continue  # larger sizes had the better rank for its gap
+                break
+            if not left[size]:
+                after[i] = i + 1
+            i = next_left(i + 1)
             updates += new
             roomiest = max([roomiest, *(g for g, _, _ in new)])
         for gap, first, n in updates:
             if gap:
                 give(gap, first, n)
-        order = [s for s in order if left[s]]
     return matches, containers
 
 
