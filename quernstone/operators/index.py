@@ -6,6 +6,11 @@ tf``; a document's length travels with its postings, so no join brings it back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +38,37 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.withColumn("_first", first).select("lang", "doc_id", "dl", F.inline(runs))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The same in a row a document: ``lang, doc_id, dl, terms, tfs``; in Python, so that no filter splits a text a second time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            size = np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
+            coded = pc.list_flatten(lists).dictionary_encode()
+            doc, many = np.repeat(np.arange(b.num_rows), size), max(1, len(coded.dictionary))
+            pairs, tf = np.unique(doc * many + np.asarray(coded.indices), return_counts=True)
+            some = np.flatnonzero(size)
+            cuts = pa.array(np.append(np.searchsorted(pairs // many, some), len(pairs)), pa.int32())
+            terms = pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(pairs % many)))
+            yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(some)), b.column("doc_id").take(pa.array(some)), pa.array(size[some]), terms, pa.ListArray.from_arrays(cuts, pa.array(tf, pa.int32()))], names=["lang", "doc_id", "dl", "terms", "tfs"])
+
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("lang", "doc_id")}
+    return docs.select("lang", "doc_id", "tokens").mapInArrow(run, f"lang {kinds['lang']}, doc_id {kinds['doc_id']}, dl bigint, terms array<string>, tfs array<int>")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The postings of ``packed`` rows."""
+    return rows.select("lang", "doc_id", "dl", F.inline(F.arrays_zip("terms", "tfs"))).select("lang", "doc_id", "dl", F.col("terms").alias("term"), F.col("tfs").cast("long").alias("tf"))
+
+
+def packed_stats(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``corpus_stats`` from ``lang`` of all documents and ``packed`` rows."""
+    n = documents.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    total = rows.groupBy("lang").agg(F.sum("dl").alias("total"))
+    return n.join(total, "lang", "left").select("lang", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avgdl"))
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     """Documents that hold each term."""
     return tf.groupBy("lang", "term").agg(F.count("*").alias("df"))
