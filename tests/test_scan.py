@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import blocks, scan, search
+from quernstone.operators import scan, search
 from quernstone.operators import evaluate as E
 from quernstone.operators import index as I
 from quernstone.plans import retrieval
@@ -50,12 +50,41 @@ def test_grid_counts_the_same(world, sizes):
 
 
 def moved_by_term(df):
-    """Exchanges that hash postings or meetings by their term, document or query."""
+    """Exchanges that hash postings by their term, as a join of postings and queries needs."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("term#" in x.split("],")[0] or "doc_id#" in x.split("),")[0])]
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "term#" in x]
 
 
-@pytest.mark.parametrize("name", ["bm25_grid_full"])
+@pytest.mark.parametrize("name", ["bm25_grid_full", "accuracy_tfidf"])
 def test_no_meeting_moves(spark, name):
     """What a query and a document give stays in its task; only sums a query leave it."""
     assert moved_by_term(retrieval.queries()[name](spark, SF)) == []
+
+
+@pytest.mark.parametrize("unit", [False, True])
+@pytest.mark.parametrize("k", [1, 4, None])
+def test_best_are_those_of_all_scores(world, sizes, unit, k):
+    docs, queries, tf, stats, packed = world
+    want = search.tfidf_scores(I.tfidf_index(tf, stats), I.tfidf_idf(I.document_frequency(tf), stats), queries) if unit else search.scores(I.bm25_index(tf, stats), queries)
+    got, cols = scan.best(packed, stats, queries, k, unit), ("query_id", "lang", "doc_id", "score")
+    if k is None:
+        assert rows(got, *cols) == rows(want, *cols) != []
+    else:
+        assert rows(search.top_k(got, k), *cols, "rank") == rows(search.top_k(want, k), *cols, "rank") != []
+
+
+def test_ranks_count_the_same(world, sizes):
+    _, queries, tf, stats, packed = world
+    relevant = queries.select("query_id", "lang", F.format_string("d%03d", F.col("query_id") * 2).alias("doc_id"))
+    cols = ("query_id", "lang", "score", "score_rank")
+    want = E.pessimistic_ranks(search.scores(I.bm25_index(tf, stats), queries), relevant, stats)
+    assert rows(scan.ranks(packed, stats, queries, relevant), *cols) == rows(want, *cols) != []
+
+
+def test_many_words_of_a_corpus(world, monkeypatch):
+    """Cosines need every word; where these are too many for the tasks, joins give the same."""
+    _, queries, _, stats, packed = world
+    cols = ("query_id", "lang", "doc_id", "score", "rank")
+    few = rows(search.top_k(scan.best(packed, stats, queries, 3, True), 3), *cols)
+    monkeypatch.setattr(scan, "MOST_WORDS", 5)
+    assert rows(search.top_k(scan.best(packed, stats, queries, 3, True), 3), *cols) == few
