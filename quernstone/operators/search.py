@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.operators.blocks import DIGITS, Asks, Block, reach
 from quernstone.plans.staging import checked_broadcast
 
-DIGITS = 6
 SPREAD = 16  # parts of a language's documents that are scored in parallel, at least
 ASKED = 20_000  # queries that a task holds, about
 BLOCK = 1_000_000  # postings that a task holds, about
@@ -97,38 +97,15 @@ def best_scores(index: DataFrame, queries: DataFrame, k: int, spread: int | None
 
 def _block(docs: pa.Table, queries: pa.Table, lang: object, k: int) -> Iterator[pa.RecordBatch]:
     """The ``k`` best documents of a block for each query; documents come in their order, queries sorted."""
-    words = queries["term"].unique()
-    word, weight = np.asarray(pc.index_in(docs["term"], value_set=words).fill_null(-1)), np.asarray(docs["x"])
-    ids = docs["doc_id"].unique()
-    number = np.asarray(pc.index_in(docs["doc_id"], value_set=ids))
-    order = np.argsort(word, kind="stable")
-    word, weight, number = word[order], weight[order], number[order]
-    starts = np.searchsorted(word, np.arange(len(words) + 1))
-    names = queries["query_id"].unique()
-    owner, asked, times = np.asarray(pc.index_in(queries["query_id"], value_set=names)), np.asarray(pc.index_in(queries["term"], value_set=words)), np.asarray(queries["x"])
-    cuts = np.searchsorted(owner, np.arange(len(names) + 1))
-    total, who, what, scores = np.zeros(len(ids)), [], [], []
-    for q in range(len(names)):
-        met = [(asked[i], times[i]) for i in range(cuts[q], cuts[q + 1]) if starts[asked[i]] < starts[asked[i] + 1]]
-        for w, n in met:
-            own = slice(starts[w], starts[w + 1])
-            total[number[own]] += n * weight[own]
-        if not met:
-            continue
-        some = np.unique(np.concatenate([number[starts[w] : starts[w + 1]] for w, _ in met])) if len(met) > 1 else np.sort(number[starts[met[0][0]] : starts[met[0][0] + 1]])
-        found = np.round(total[some], DIGITS)
-        total[some] = 0
-        if len(some) > k:
-            edge = np.partition(found, len(some) - k)[len(some) - k]
-            keep = np.flatnonzero(found >= edge)
-            keep = keep[np.argsort(-found[keep], kind="stable")][:k]  # of equal ones those with the lower ids
-            some, found = some[keep], found[keep]
-        who.append(np.full(len(some), q))
-        what.append(some)
-        scores.append(found)
-    if who:
-        n = sum(map(len, what))
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(who))), pa.array([lang] * n), ids.take(pa.array(np.concatenate(what))), pa.array(np.concatenate(scores))], names=["query_id", "lang", "doc_id", "score"])
+    words, ids, names = queries["term"].unique(), docs["doc_id"].unique(), queries["query_id"].unique()
+    word, number = np.asarray(pc.index_in(docs["term"], value_set=words).fill_null(-1)), np.asarray(pc.index_in(docs["doc_id"], value_set=ids))
+    block = Block.of(word, number, np.asarray(docs["x"]), len(words), len(ids))
+    owner, asked = np.asarray(pc.index_in(queries["query_id"], value_set=names)), np.asarray(pc.index_in(queries["term"], value_set=words))
+    asks = Asks(np.searchsorted(owner, np.arange(len(names) + 1)), asked, np.asarray(queries["x"]))
+    found = list(reach(block, asks, np.zeros(len(names)), k))
+    if found:
+        who, what, scores = np.concatenate([np.full(len(x), q) for q, x, _ in found]), np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), pa.array([lang] * len(who)), ids.take(pa.array(what)), pa.array(scores)], names=["query_id", "lang", "doc_id", "score"])
 
 
 def tfidf_scores(index: DataFrame, idf: DataFrame, queries: DataFrame) -> DataFrame:
