@@ -55,7 +55,7 @@ def moved_by_term(df):
     return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "term#" in x]
 
 
-@pytest.mark.parametrize("name", ["bm25_grid_full", "accuracy_tfidf"])
+@pytest.mark.parametrize("name", ["bm25_grid_full", "accuracy_tfidf", "bm25_match_and_eval", "passage_search", "bm25_top_k_padded", "fused_top_k", "bm25_grid"])
 def test_no_meeting_moves(spark, name):
     """What a query and a document give stays in its task; only sums a query leave it."""
     assert moved_by_term(retrieval.queries()[name](spark, SF)) == []
