@@ -7,31 +7,34 @@ all. A word whose best cross-entropy a character is above a calibrated limit bel
 language (invented names, codes). A stretch gets the language with the least length-
 normalised cross-entropy over its words.
 
-The models are fitted on a bounded sample of labelled rows (``SAMPLE_RECORDS`` a label and
-table); everything else reads every record and the whole text.
+The models are fitted on all labelled records: words are counted where the texts lie, and what
+is common in a language, vocabularies, reaches the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quernstone.plans.staging import spread
+from quernstone.plans.staging import Stage, checked_broadcast, spread
 
 LANGUAGES = ("ar", "de", "en", "es", "fr", "it", "ko")
-SAMPLE_RECORDS = 150  # labelled records taken of each label and table to fit the models
 ORDER = 5
-MIN_RECORDS = 3  # a word in fewer records of a language's sample isn't learned
+PER = 300  # records of a language, of which counts are told if it has more
+MIN_RECORDS = 3  # a word in fewer of ``PER`` records of a language, or of all if these are fewer, isn't learned
+MOST_REPEATED = 1_000_000  # ids of repeated records that are broadcast
 NAME_COST = 8.0  # words lost that an invented name counted as a word is worth, when the limits are set
 SHORT, SHORT_LIMIT = 3, 3.5  # words of so few letters tell little a character; this is their limit
 MIN_SHARE = 0.2  # of the words of any language: a language with less isn't one of the text's
@@ -41,18 +44,24 @@ MOST_KNOWN = 400_000  # words that a worker remembers before it starts afresh
 
 _START, _END = 1, 2
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?؟…]")
 _ENDS = re.compile(r"[.!?…؟。:;/|–—«»“”\"]")
 _PRIME = 0x100000001B3
 
 
 def fold(word: str) -> str:
     """Lower case without accents; Hangul becomes its letters."""
-    s = unicodedata.normalize("NFKD", word.casefold())
+    s = word.casefold()
+    if s.isascii():
+        return s
+    s = unicodedata.normalize("NFKD", s)
     return s if s.isascii() else "".join(c for c in s if not unicodedata.combining(c))
 
 
 def words_of(chunk: str) -> list[str]:
     """The words in a stretch without spaces; one with a digit or an address has none."""
+    if chunk.isalpha():
+        return [chunk]
     if any(map(str.isdigit, chunk)) or "://" in chunk or chunk.startswith("www.") or "@" in chunk:
         return []
     return _WORD.findall(chunk)
@@ -141,10 +150,11 @@ class KneserNey:
         p = np.empty((total, width), np.float32)
         p[:] = self.floor
         before = np.full(total, -1, np.int64)  # row of the n-gram one shorter that ends here
+        back_by = [np.roll(chars, back) for back in range(ORDER)]
         for k in range(1, ORDER + 1):
             h = np.full(total, k, np.uint64)
             for back in range(k - 1, -1, -1):
-                h = (h ^ np.roll(chars, back)) * np.uint64(_PRIME)
+                h = (h ^ back_by[back]) * np.uint64(_PRIME)
                 h ^= h >> np.uint64(29)
             ok = place >= k - 1
             row = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -158,22 +168,28 @@ class KneserNey:
         p[at] = 0
         return p, at, size
 
-    def calibrate(self, real: dict[str, Counter], invented: dict[str, list[str]]) -> None:
-        """For each language the limit that parts its words from words that only one record has."""
+    def each_char(self, words: list[str], j: int) -> np.ndarray:
+        """Nats a character of each word in language ``j``."""
+        one = KneserNey(self.langs[j : j + 1], self.keys, self.logp[:, j : j + 1], self.gamma[:, j : j + 1], self.floor[j : j + 1], self.limit[j : j + 1])
+        s, n = one.score(words)
+        return np.round(-s[:, 0] / n, 4)
+
+    def calibrate(self, real: dict[str, Counter], invented: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """For each language the limit that parts its words from invented ones, of which it takes ``each_char`` and how many have it."""
         for j, lang in enumerate(self.langs):
-            good, bad = ([w for w in x if len(w) > SHORT] for x in (real.get(lang, {}), invented.get(lang, [])))
+            good = [w for w in real.get(lang, {}) if len(w) > SHORT]
             if not good:
                 self.limit[j] = -1.0  # a language without words claims none
                 continue
-            s, n = self.score(good)
-            x = np.sort(-s[:, j] / n)
-            if not bad:
+            x = np.sort(self.each_char(good, j))
+            values, times = invented.get(lang, (np.zeros(0), np.zeros(0)))
+            if not len(values):
                 self.limit[j] = x[-1]
                 continue
-            s, n = self.score(bad)
-            y = np.sort(-s[:, j] / n)
+            order = np.argsort(values)
+            y, upto = values[order], np.concatenate(([0.0], np.cumsum(times[order])))
             cuts = np.unique(np.concatenate((x, y)))
-            kept, wrong = np.searchsorted(x, cuts, "right") / len(x), np.searchsorted(y, cuts, "right") / len(y)
+            kept, wrong = np.searchsorted(x, cuts, "right") / len(x), upto[np.searchsorted(y, cuts, "right")] / upto[-1]
             gain = kept - NAME_COST * wrong
             best = np.flatnonzero(gain >= gain.max() - 1e-9)
             low = cuts[best[0]]
@@ -188,39 +204,176 @@ def _hash(gram: tuple[int, ...]) -> int:
     return h
 
 
+class WordCounts:
+    """How often each folded word occurs, and in how many records, by label; with ``model`` only in sentences that it gives to their label."""
+
+    def __init__(self, langs: tuple[str, ...], model: KneserNey | None):
+        self.langs, self.model = langs, model
+        self.clear()
+
+    def clear(self) -> None:
+        width = len(self.langs)
+        self.chunk: dict[str, int] = {}
+        self.word: dict[str, int] = {}
+        self.first, self.size, self.breaks = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a chunk: its words in inside, ends of sentences
+        self.inside, self.after = np.zeros(0, np.int64), np.zeros(0, np.int64)  # words, and the ends of sentences before them in their chunk
+        self.score = np.zeros((0, width), np.float32)
+        self.times, self.held, self.records = np.zeros((width, 0), np.int64), np.zeros((width, 0), np.int64), np.zeros(width, np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        size, breaks, inside, after, before = [], [], [], [], len(self.word)
+        for c in chunks:
+            self.chunk[c] = len(self.chunk)
+            parts = _SENTENCE.split(c)
+            words = [(i, fold(w)) for i, part in enumerate(parts) for w in words_of(part)]
+            size.append(len(words))
+            breaks.append(len(parts) - 1)
+            inside += [self.word.setdefault(w, len(self.word)) for _, w in words]
+            after += [i for i, _ in words]
+        size, start = np.array(size, np.int64), len(self.inside)
+        add = lambda x, y: np.concatenate((x, np.array(y, np.int64)))
+        self.first, self.size, self.breaks = add(self.first, start + np.cumsum(size) - size), add(self.size, size), add(self.breaks, breaks)
+        self.inside, self.after = add(self.inside, inside), add(self.after, after)
+        if fresh := list(itertools.islice(self.word, before, None)):
+            more = np.zeros((len(self.langs), len(fresh)), np.int64)
+            self.times, self.held = np.hstack((self.times, more)), np.hstack((self.held, more))
+            if self.model is not None:
+                self.score = np.concatenate((self.score, self.model.score(fresh)[0]))
+
+    def add(self, label: np.ndarray, texts: list[str], step: int = 1000) -> None:
+        """``label``: the number of each record's language."""
+        for i in range(0, len(texts), step):
+            self._add(label[i : i + step], texts[i : i + step])
+
+    def _add(self, label: np.ndarray, texts: list[str]) -> None:
+        split = [t.replace("\n", " . ").split() for t in texts]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        flat = list(itertools.chain.from_iterable(split))
+        rows = np.fromiter(map(self.chunk.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        if len(fresh := np.flatnonzero(rows < 0)):
+            names = [flat[i] for i in fresh.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            rows[fresh] = [self.chunk[c] for c in names]
+        many, text = self.size[rows], np.repeat(np.arange(len(split)), size)
+        breaks = np.cumsum(self.breaks[rows]) - self.breaks[rows] + text  # a text begins a sentence
+        at = np.repeat(self.first[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        word, record, sentence = self.inside[at], np.repeat(text, many), np.repeat(breaks, many) + self.after[at]
+        if self.model is not None and len(word):
+            begin = np.flatnonzero(np.diff(sentence, prepend=-1))
+            own = np.add.reduceat(self.score[word], begin, axis=0).argmax(1) == label[record[begin]]
+            keep = np.repeat(own, np.diff(begin, append=len(word)))
+            word, record = word[keep], record[keep]
+        if not len(word):
+            return
+        width = len(self.word)
+        pairs, times = np.unique(record * width + word, return_counts=True)
+        record = pairs // width
+        cell = label[record] * width + pairs % width
+        np.add.at(self.times.reshape(-1), cell, times)
+        np.add.at(self.held.reshape(-1), cell, 1)
+        self.records += np.bincount(label[record[np.flatnonzero(np.diff(record, prepend=-1))]], minlength=len(self.langs))
+
+    def table(self) -> pa.RecordBatch:
+        """``lang, word, times, records``; records of a language without a word."""
+        lang, word = np.nonzero(self.held)
+        codes = pa.array(self.langs).take(pa.array(np.concatenate((lang, np.arange(len(self.langs))))))
+        words = pa.array(list(self.word), pa.string()).take(pa.array(np.concatenate((word, np.full(len(self.langs), -1))), mask=np.arange(len(word) + len(self.langs)) >= len(word)))
+        return pa.RecordBatch.from_arrays([codes, words, pa.array(np.concatenate((self.times[lang, word], np.zeros(len(self.langs), np.int64)))), pa.array(np.concatenate((self.held[lang, word], self.records)))], names=["lang", "word", "times", "records"])
+
+
+def _least(n: int) -> int:
+    return max(MIN_RECORDS, math.ceil(MIN_RECORDS * n / PER))
+
+
+def _fit(rows: pa.Table, records: dict[str, int], langs: tuple[str, ...]) -> tuple[KneserNey, dict[str, Counter]]:
+    """A model of ``lang, word, times``, and its words with their counts of ``PER`` records."""
+    real = {lang: Counter() for lang in langs}
+    for lang, word, times in sorted(zip(*(rows[c].to_pylist() for c in ("lang", "word", "times")), strict=True)):
+        real[lang][word] = max(1.0, times * min(1.0, PER / max(1, records[lang])))
+    return KneserNey.fit(real, langs), real
+
+
 def fit_models(rows: list[tuple[str, str]], langs: tuple[str, ...] = LANGUAGES) -> KneserNey:
-    """Models from (label, text) rows whose labels may be wrong and whose texts may be mixed.
+    """Models from (label, text) rows whose labels may be wrong and whose texts may be mixed; a row is a record.
 
     Fitted on all rows first, then again on the sentences that the first models give to
     their label.
     """
-    sentences = []  # (record, label, words)
-    for i, (lang, text) in enumerate(rows):
-        if lang in langs and text:
-            for part in re.split(r"[.!?؟…\n]+", text):
-                words = [fold(w) for chunk in part.split() for w in words_of(chunk)]
-                if words:
-                    sentences.append((i, lang, words))
-    model = None
+    rows, model = [(lang, text) for lang, text in rows if lang in langs and text], None
     for _ in range(2):
-        if model is not None:
-            names = sorted({w for _, _, words in sentences for w in words})
-            s, _n = model.score(names)
-            known = {w: k for k, w in enumerate(names)}
-            best = [langs[int(s[[known[w] for w in words]].sum(0).argmax())] for _, _, words in sentences]
-            sentences = [x for x, lang in zip(sentences, best, strict=True) if x[1] == lang]
-        held: dict[str, dict[str, set[int]]] = {lang: defaultdict(set) for lang in langs}
-        often: dict[str, Counter] = {lang: Counter() for lang in langs}
-        for i, lang, words in sentences:
-            often[lang].update(words)
-            for w in words:
-                held[lang][w].add(i)
-        real = {lang: Counter({w: n for w, n in often[lang].items() if len(held[lang][w]) >= MIN_RECORDS}) for lang in langs}
-        if not any(real.values()):  # too little to tell names from words
-            real = often
-        model = KneserNey.fit(real, langs)
-    invented = {lang: [w for w, r in held[lang].items() if len(r) == 1 and not any(w in real[x] for x in langs)] for lang in langs}
-    model.calibrate(real, invented)
+        counts = WordCounts(langs, model)
+        counts.add(np.array([langs.index(lang) for lang, _ in rows], np.int64), [text for _, text in rows])
+        t = pa.Table.from_batches([counts.table()])
+        n = dict(zip(langs, counts.records.tolist(), strict=True))
+        t = t.filter(pc.is_valid(t["word"]))
+        held = zip(t["lang"].to_pylist(), t["records"].to_pylist(), strict=True)
+        common = t.filter(pa.array([r >= _least(n[lang]) for lang, r in held], pa.bool_()))
+        model, real = _fit(common if common.num_rows else t, n, langs)  # too little to tell names from words: all
+    learnt, invented = set().union(*real.values()), {lang: [] for lang in langs}
+    for lang, word, r in zip(*(t[c].to_pylist() for c in ("lang", "word", "records")), strict=True):
+        if r <= max(1, n[lang] // PER) and word not in learnt and len(word) > SHORT:
+            invented[lang].append(word)
+    model.calibrate(real, {lang: np.unique(model.each_char(words, j), return_counts=True) for (j, lang), words in zip(enumerate(langs), invented.values(), strict=True) if words})
+    return model
+
+
+def labelled_once(records: DataFrame, keys: tuple[str, ...], langs: tuple[str, ...], stage: Stage) -> DataFrame:
+    """``label, text`` of every record that has a label of ``langs`` and a text; of rows with the same ``keys`` the least. Only these move."""
+    some = records.where(F.col("label").isin(*langs) & (F.length("text") > 0)).select(*keys, "label", "text", F.xxhash64(*keys).alias("_id"))
+    twice = stage.write(some.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "twice")
+    twice = checked_broadcast(twice, MOST_REPEATED)
+    one = some.join(twice, "_id", "left_semi").groupBy(*keys).agg(F.min(F.struct("label", "text")).alias("x")).select("x.label", "x.text")
+    return some.join(twice, "_id", "left_anti").select("label", "text").unionByName(one)
+
+
+def fit_records(records: DataFrame, keys: tuple[str, ...] = ("rec_id",), langs: tuple[str, ...] = LANGUAGES) -> KneserNey:
+    """``fit_models`` of all records of ``keys, label, text``, each once. Counts by word stay distributed; what a language has in
+    one of ``PER / MIN_RECORDS`` records at least, so at most that many times the words of an average record, reaches the driver."""
+    stage, sc, model = Stage(records.sparkSession, "langid"), records.sparkSession.sparkContext, None
+    once = stage.write(labelled_once(records.select(*keys, "label", "text"), keys, langs, stage), "once")
+
+    def counted(model: KneserNey | None) -> DataFrame:
+        shipped = sc.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = WordCounts(langs, shipped.value)
+            for b in batches:
+                counts.add(np.asarray(pc.index_in(b.column(0), value_set=pa.array(langs)), np.int64), b.column(1).to_pylist())
+                if len(counts.chunk) > MOST_KNOWN:
+                    yield counts.table()
+                    counts.clear()
+            yield counts.table()
+
+        return spread(once).mapInArrow(run, "lang string, word string, times bigint, records bigint").groupBy("lang", "word").agg(F.sum("times").alias("times"), F.sum("records").alias("records"))
+
+    def limit(of: Callable[[int], int]) -> Column:
+        return F.coalesce(*[F.when(F.col("lang") == lang, F.lit(of(n[lang]))) for lang in langs])
+
+    for i in range(2):
+        t = stage.write(counted(model), f"words{i}")
+        n = dict.fromkeys(langs, 0) | {r["lang"]: r["records"] for r in t.where("word is null").collect()}
+        t = t.where("word is not null")
+        common = t.where(F.col("records") >= limit(_least)).toArrow()
+        model, real = _fit(common if common.num_rows else t.toArrow(), n, langs)  # too little to tell names from words: all
+    shipped = sc.broadcast((model, set().union(*real.values())))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, learnt = shipped.value
+        for b in batches:
+            of: dict[str, list[str]] = defaultdict(list)
+            for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if word not in learnt and len(word) > SHORT:
+                    of[lang].append(word)
+            for lang, words in of.items():
+                x, many = np.unique(model.each_char(words, langs.index(lang)).astype(float), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array(x), pa.array(many)], names=["lang", "x", "n"])
+
+    rare = t.where(F.col("records") <= limit(lambda n: max(1, n // PER))).select("lang", "word").mapInArrow(measured, "lang string, x double, n bigint")
+    told = rare.groupBy("lang", "x").agg(F.sum("n").alias("n")).toArrow()  # x has 4 digits
+    each = {lang: told.filter(pc.equal(told["lang"], lang)) for lang in langs}
+    model.calibrate(real, {lang: (np.asarray(x["x"]), np.asarray(x["n"], float)) for lang, x in each.items()})
+    for name in ("twice", "once", "words0", "words1"):
+        stage.drop(name)
     return model
 
 

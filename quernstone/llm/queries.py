@@ -51,12 +51,12 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, langid.KneserNey]:
-    """corpus_df and train as ``tbl, rec_id, label, text``, and models fitted on a bounded sample of them."""
+    """corpus_df and train as ``tbl, rec_id, label, text``, and models fitted on all of them."""
     codes = table(spark, d, "languages")
     corpus = table(spark, d, "corpus_df").select(F.lit("corpus_df").alias("tbl"), F.col("docid").alias("rec_id"), code_of(F.col("lang"), codes).alias("label"), "text")
     train = table(spark, d, "train").select(F.lit("train").alias("tbl"), F.col("query_id").cast("string").alias("rec_id"), code_of(F.col("lang"), codes).alias("label"), F.col("query").alias("text"))
-    rows = [r for x in (corpus, train) for r in langid.sample(x, "rec_id", F.col("label"), "text", langid.SAMPLE_RECORDS, langid.LANGUAGES)]
-    return corpus.unionByName(train), langid.fit_models(rows)
+    records = corpus.unionByName(train)
+    return records, langid.fit_records(records, ("tbl", "rec_id"))
 
 
 @query

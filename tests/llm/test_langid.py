@@ -119,3 +119,28 @@ def test_sample_is_bounded(spark):
     got = L.sample(df, "rec_id", F.col("c"), "text", 20, ("en", "fr"))
     assert len(got) == 40 and got == L.sample(df.repartition(7), "rec_id", F.col("c"), "text", 20, ("en", "fr"))
     assert np.unique([lang for lang, _ in got]).tolist() == ["en", "fr"]
+
+
+def same_models(a, b):
+    assert a.keys.tolist() == b.keys.tolist() and np.array_equal(a.logp, b.logp) and np.allclose(a.limit, b.limit, atol=1e-6)
+
+
+def test_models_are_fitted_on_all_records(spark):
+    """Words of no 150 records of a label and table alone: each of 3,000 records counts, repeated rows once."""
+    r = random.Random(5)
+    letters = {"en": "abcdeimnrst", "de": "aeghilnrstuz"}
+    vocabulary = {lang: ["".join(r.choices(abc, k=6)) for _ in range(400)] for lang, abc in letters.items()}
+    rows = [(f"r{i}", lang := ["en", "de"][i % 2], " ".join(r.choices(vocabulary[lang], k=12)) + f". {''.join(r.choices('jqxyvw', k=7))}") for i in range(3000)]
+    df = spark.createDataFrame([*rows, *rows[:300], ("e", "en", ""), ("n", None, "abc"), ("x", "xx", "abc")], "rec_id string, label string, text string")
+    got, want = L.fit_records(df.repartition(3)), L.fit_models([(lang, t) for _, lang, t in rows])
+    same_models(got, want)
+    s, n = got.score(vocabulary["en"])
+    assert (-s[:, got.langs.index("en")] / n <= got.limit[got.langs.index("en")]).mean() >= 0.95
+
+
+def test_query_models_know_every_labelled_record(spark):
+    from quernstone.llm import queries as Q
+
+    records, got = Q._labelled(spark, SF)
+    once = records.where(F.col("label").isin(*L.LANGUAGES) & (F.length("text") > 0)).groupBy("tbl", "rec_id").agg(F.min(F.struct("label", "text")).alias("x")).collect()
+    same_models(got, L.fit_models([(r["x"]["label"], r["x"]["text"]) for r in once]))
