@@ -67,6 +67,16 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(c, BETWEEN_WORDS), lambda w: w != "")
 
 
+def lexical_words(c: Column) -> Column:
+    """``split_words(clean_lexical(c))`` in one pass over texts without addresses: symbols and white space part words anyway.
+
+    Only the sigma is lowered by what stands around it.
+    """
+    plain = F.coalesce(c, F.lit(""))
+    cleaned = plain.contains("://") | plain.contains("www.") | plain.contains("\u03a3")
+    return split_words(F.when(cleaned, clean_lexical(plain)).otherwise(F.lower(plain)))
+
+
 def split_spaces(c: Column) -> Column:
     """What lies between white space, without empty strings."""
     return F.filter(F.split(c, SPACES), lambda w: w != "")

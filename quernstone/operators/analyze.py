@@ -33,7 +33,8 @@ class Analyzer:
     lemma: Callable[[Column], Column] | None = None
 
     def terms(self, text: Column) -> Column:
-        words = self.split(self.clean(text))
+        plain = self.clean is X.clean_lexical and self.split is X.split_words
+        words = X.lexical_words(text) if plain else self.split(self.clean(text))
         if self.lemma is None:
             return words
         return F.filter(F.transform(words, self.lemma), lambda w: w != "")

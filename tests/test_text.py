@@ -119,3 +119,10 @@ def test_compounds(spark):
     split = lambda c: analyze.split_compounds(c, analyze.halves_at_vowels)
     parts = one(spark, split, ["haus", "apfelbaum"], "array<string>")
     assert parts[0] == "haus" and "".join(parts[1:]) == "apfelbaum" and len(parts) > 1
+
+
+def test_lexical_words_are_those_of_the_cleaned_text(spark):
+    odd = [None, "", "  ", "....", "a....b -- c", "see https://a.b/c?d=e now", "wwwx www.x.y z", "http:/x HTTPS://Y.Z/w", "ΑΣ....Β ΟΔΟΣ ΣΑΣ", "ΑΣ'Β ΑΣ", "İstanbul İX Straße", "a b c\x1cd\u0085e", "été 한국어 ஜா", "_x_ 1²½ 𝒳𝟘 😀😀😀😀b", "a\u0000b\n\tc"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    got = df.select("i", X.lexical_words(F.col("x")).alias("a"), X.split_words(X.clean_lexical(F.col("x"))).alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == [] and any(r["a"] for r in got)
