@@ -130,58 +130,59 @@ def reach(block: Block, asks: Asks, least: np.ndarray, k: int | None = None) ->
             yield q, some, scores
 
 
-def reach_grid(block: Block, length: np.ndarray, idf: np.ndarray, points: list[tuple[float, float]], asks: Asks, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def reach_grid(block: Block, length: np.ndarray, idf: np.ndarray, points: list[tuple[float, float]], asks: Asks, least: np.ndarray, enough: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """``query, counts``: how many documents score ``least`` of the query and point or more, at BM25's ``points``.
 
-    ``block`` has counts of terms for weights, ``length`` the documents' lengths over their mean.
+    ``block`` has counts of terms for weights, ``length`` the documents' lengths over their mean. ``reach`` tells what can score the lowest
+    ``least`` by the largest weight that a posting has between all points; only that is scored at each of them, the likeliest first.
+    A count above ``enough`` isn't carried on: it may be any number above it.
     """
     k1, b = np.array(points).T
-    starts, few = block.starts, np.zeros(len(block.starts) - 1)
-    some = np.flatnonzero(starts[1:] > starts[:-1])
-    if not len(some):
+    starts = block.starts
+    if not len(block.doc):
         return
-    few[some] = np.minimum.reduceat(length[block.doc], starts[some])
-    many = block.largest()
-    seen = np.zeros(block.n_docs, bool)
+    by_word, dl = np.concatenate([np.zeros(starts[0]), np.repeat(idf, np.diff(starts))]), length[block.doc]
 
-    def part(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
-        tf, dl = tf[:, None], dl[:, None]
+    def part(tf: np.ndarray, dl: np.ndarray, k1: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
         return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl))
 
-    for q in range(len(asks)):
-        at, want = slice(asks.cuts[q], asks.cuts[q + 1]), least[q]
-        word = asks.word[at]
-        met = starts[word + 1] > starts[word]
-        word, n = word[met], asks.times[at][met]
-        if not len(word) or np.isinf(want).all():
-            continue
-        n = n * idf[word]
-        bound = n[:, None] * part(many[word], few[word])
-        order = np.argsort(-bound.max(axis=1), kind="stable")
-        rest = np.vstack([np.cumsum(bound[order][::-1], axis=0)[::-1], np.zeros((1, len(points)))])
-        brings = (rest[:-1] >= want - SLACK).any(axis=1)
-        lists = [block.doc[starts[word[j]] : starts[word[j] + 1]] for j in order[: int(brings.sum())]]
-        if not lists:
-            continue
-        if len(lists) == 1:
-            some = lists[0]
-        else:
-            for x in lists:
-                seen[x] = True
-            some = np.flatnonzero(seen)
-            seen[some] = False
-        total, where = np.zeros((len(some), len(points))), length[some]
-        for i, j in enumerate(order):
-            a, z = starts[word[j]], starts[word[j] + 1]
-            place = np.minimum(np.searchsorted(block.doc[a:z], some), z - a - 1)
-            has = np.flatnonzero(block.doc[a:z][place] == some)
-            total[has] += n[j] * part(block.weight[a:z][place[has]], where[has])
-            keep = (total >= want - rest[i + 1] - SLACK).any(axis=1)
-            if keep.sum() < 0.8 * len(keep):
-                total, some, where = total[keep], some[keep], where[keep]
-            if not len(some):
-                break
-        if len(some):
-            above = (np.round(total, DIGITS) >= want).sum(axis=0)
-            if above.any():
-                yield q, above
+    corners = {(x, y) for x in (k1.min(), k1.max()) for y in (b.min(), b.max())}  # a weight rises or falls all along with k1, and with b
+    top = by_word * np.maximum.reduce([part(block.weight, dl, *c) for c in corners])
+
+    largest, least_dl = block.largest(), np.zeros(len(starts) - 1)
+    held = np.flatnonzero(starts[1:] > starts[:-1])
+    least_dl[held] = np.minimum.reduceat(dl, starts[held])
+
+    def count(q: int, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+        total, where, want, x, y = np.zeros((len(at), len(docs))), length[docs], least[q, at, None], k1[at, None], b[at, None]
+        own = slice(asks.cuts[q], asks.cuts[q + 1])
+        met = starts[asks.word[own] + 1] > starts[asks.word[own]]
+        word = asks.word[own][met]
+        weight = asks.times[own][met] * idf[word]
+        most = weight * part(largest[word], least_dl[word], x, y)
+        order = np.argsort(-most.max(axis=0), kind="stable")
+        rest = np.cumsum(most[:, order[::-1]], axis=1)[:, ::-1]
+        for i, j in enumerate(order.tolist()):
+            if i:
+                keep = np.flatnonzero((total >= want - rest[:, i, None] - SLACK).any(axis=0))
+                if len(keep) < 0.8 * len(docs):
+                    total, docs, where = total[:, keep], docs[keep], where[keep]
+                if not len(docs):
+                    break
+            first, end = starts[word[j]], starts[word[j] + 1]
+            place = np.minimum(np.searchsorted(block.doc[first:end], docs), end - first - 1)
+            has = np.flatnonzero(block.doc[first:end][place] == docs)
+            total[:, has] += weight[j] * part(block.weight[first:end][place[has]], where[has], x, y)
+        return (np.round(total, DIGITS) >= want).sum(axis=1)
+
+    for q, docs, bound in reach(Block(starts, block.doc, top, block.n_docs, block.order), asks, least.min(axis=1) - SLACK):
+        above, lots = np.zeros(len(points), np.int64), [docs]
+        if enough is not None and len(docs) > (n := 4 * (enough + 1)):
+            order = np.argpartition(-bound, n)
+            lots = [docs[order[:n]], docs[np.sort(order[n:])]]
+        for some in lots:
+            at = np.flatnonzero(above <= enough) if enough is not None else np.arange(len(points))
+            if len(at):
+                above[at] += count(q, some, at)
+        if above.any():
+            yield q, above

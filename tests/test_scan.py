@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import scan, search
+from quernstone.operators import blocks, scan, search
 from quernstone.operators import evaluate as E
 from quernstone.operators import index as I
 from quernstone.plans import retrieval
@@ -115,3 +115,28 @@ def test_stored_weights_are_those_of_the_index(world, tmp_path):
     index = scan.with_weights(packed, stats, idf, tuned)
     got = index.select("lang", "doc_id", F.inline(F.arrays_zip("terms", "weights"))).select("lang", "doc_id", F.col("terms").alias("term"), F.round("weights", 9).alias("weight"))
     assert rows(got, "lang", "doc_id", "term", "weight") == rows(I.bm25_index(tf, stats, tuned=tuned).withColumn("weight", F.round("weight", 9)), "lang", "doc_id", "term", "weight") != []
+
+
+def test_grid_scores_few_at_all_points(monkeypatch):
+    """One bound over all points leaves out what can't reach a query's own document; counts stay those of every document scored at every point."""
+    rng, points = np.random.default_rng(7), [(k1, b) for k1 in (1.2, 1.5, 2.0) for b in (0.0, 0.75, 1.0)]
+    n_docs, n_words = 400, 60
+    pairs = np.unique(rng.integers(0, n_docs, 9000) * n_words + (rng.zipf(1.2, 9000) - 1) % n_words)
+    doc, word, tf = pairs // n_words, pairs % n_words, rng.integers(1, 6, len(pairs)).astype(float)
+    length, idf = rng.uniform(0.2, 3, n_docs), rng.uniform(0.1, 6, n_words)
+    asks = blocks.Asks(np.arange(0, 101 * 4, 4), np.concatenate([rng.choice(n_words, 4, False) for _ in range(100)]), rng.integers(1, 3, 400).astype(float))
+    k1, b = np.array(points).T
+    each = np.zeros((n_docs, n_words, len(points)))
+    each[doc, word] = idf[word][:, None] * tf[:, None] * (k1 + 1) / (tf[:, None] + k1 * (1 - b + b * length[doc][:, None]))
+    scores = np.round(np.stack([(each[:, asks.word[4 * q : 4 * q + 4]] * asks.times[4 * q : 4 * q + 4, None]).sum(axis=1) for q in range(100)]), 6)
+    least = np.stack([scores[q, np.argsort(-scores[q, :, 4])[rng.integers(0, 60)]] for q in range(100)])
+    least[least <= 0] = np.inf
+    want = {q: x.tolist() for q in range(100) if (x := (scores[q] >= least[q]).sum(axis=0)).any()}
+    block, seen = blocks.Block.of(word, doc, tf, n_words, n_docs), []
+    reach = blocks.reach
+    monkeypatch.setattr(blocks, "reach", lambda *a: (seen.append(len(x[1])) or x for x in reach(*a)))
+    assert {q: x.tolist() for q, x in blocks.reach_grid(block, length, idf, points, asks, least)} == want != {}
+    assert 0 < sum(seen) < 0.7 * (scores > 0).any(axis=2).sum()
+    for k in (0, 3, 10):
+        got = {q: np.minimum(x, k + 1).tolist() for q, x in blocks.reach_grid(block, length, idf, points, asks, least, k)}
+        assert got == {q: np.minimum(x, k + 1).tolist() for q, x in want.items()}
