@@ -117,6 +117,33 @@ def test_stored_weights_are_those_of_the_index(world, tmp_path):
     assert rows(got, "lang", "doc_id", "term", "weight") == rows(I.bm25_index(tf, stats, tuned=tuned).withColumn("weight", F.round("weight", 9)), "lang", "doc_id", "term", "weight") != []
 
 
+def of_pairs(df, *names):
+    """Exchanges of the plan behind which rows are scored."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange " in x and any(f"{c}#" in x for c in names)]
+
+
+@pytest.mark.parametrize("block,lot,cells", [(1, 15, 300), (60, 1000, 1), (10**6, 1000, 10**7)])
+def test_rankings_are_those_of_a_join(world, monkeypatch, block, lot, cells):
+    """Every document of a query's language, empty ones and those of languages and queries without a known word too, in order; no pair moves."""
+    docs, queries, tf, stats, packed = world
+    for name, size in (("BLOCK", block), ("LOT", lot), ("CELLS", cells), ("SENT", 50)):
+        monkeypatch.setattr(scan, name, size)
+    bare = docs.sparkSession.createDataFrame([("it", "e2", []), ("it", "e1", []), (None, "n", ["t1"])], docs.schema)
+    more = docs.sparkSession.createDataFrame([(90, "it", ["t1"]), (91, "it", []), (92, None, ["t1"])], queries.schema)
+    docs, queries = docs.unionByName(bare), queries.unionByName(more)
+    stats, packed, cols = I.corpus_stats(docs), I.packed(docs), ("query_id", "lang", "doc_id", "score", "rank")
+    got, want = scan.rankings(packed, stats, queries, docs), search.match_all(search.scores(I.bm25_index(I.postings(docs), stats), queries), queries, docs)
+    assert rows(got, *cols) == rows(want, *cols) != []
+    assert [x for x in got.dtypes if x[0] in cols] == [(c, t) for c in cols for x, t in want.dtypes if x == c]
+    assert of_pairs(want, "query_id") and of_pairs(got, "query_id") == []
+
+
+def test_full_ranking_moves_no_pair(spark):
+    got = retrieval.queries()["bm25_full_ranking"](spark, SF)
+    assert of_pairs(got, "query_id", "doc_id") == []
+
+
 def test_grid_scores_few_at_all_points(monkeypatch):
     """One bound over all points leaves out what can't reach a query's own document; counts stay those of every document scored at every point."""
     rng, points = np.random.default_rng(7), [(k1, b) for k1 in (1.2, 1.5, 2.0) for b in (0.0, 0.75, 1.0)]
