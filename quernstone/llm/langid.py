@@ -41,11 +41,13 @@ MIN_SHARE = 0.2  # of the words of any language: a language with less isn't one
 HOME_BONUS = 3.0  # nats by which a stretch keeps to the text's main language
 SWITCH_COST = 9.0  # nats for changing the language inside a stretch; one that loses no more to a single language can't gain by it
 MOST_KNOWN = 400_000  # words that a worker remembers before it starts afresh
+STEP = 1000  # texts whose words are looked up at once
 
 _START, _END = 1, 2
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?؟…]")
 _ENDS = re.compile(r"[.!?…؟。:;/|–—«»“”\"]")
+_SENTENCE_MARKS, _MARKS = frozenset(".!?؟…"), frozenset(".!?؟…,;:")  # behind a word
 _PRIME = 0x100000001B3
 
 
@@ -62,6 +64,8 @@ def words_of(chunk: str) -> list[str]:
     """The words in a stretch without spaces; one with a digit or an address has none."""
     if chunk.isalpha():
         return [chunk]
+    if chunk[-1:] in _MARKS and chunk[:-1].isalpha() and chunk != "www.":
+        return [chunk[:-1]]
     if any(map(str.isdigit, chunk)) or "://" in chunk or chunk.startswith("www.") or "@" in chunk:
         return []
     return _WORD.findall(chunk)
@@ -224,6 +228,13 @@ class WordCounts:
         size, breaks, inside, after, before = [], [], [], [], len(self.word)
         for c in chunks:
             self.chunk[c] = len(self.chunk)
+            bare = c[:-1] if c[-1] in _MARKS else c
+            if bare.isalpha():
+                size.append(1)
+                breaks.append(c[-1] in _SENTENCE_MARKS)
+                inside.append(self.word.setdefault(fold(bare), len(self.word)))
+                after.append(0)
+                continue
             parts = _SENTENCE.split(c)
             words = [(i, fold(w)) for i, part in enumerate(parts) for w in words_of(part)]
             size.append(len(words))
@@ -240,7 +251,7 @@ class WordCounts:
             if self.model is not None:
                 self.score = np.concatenate((self.score, self.model.score(fresh)[0]))
 
-    def add(self, label: np.ndarray, texts: list[str], step: int = 1000) -> None:
+    def add(self, label: np.ndarray, texts: list[str], step: int = STEP) -> None:
         """``label``: the number of each record's language."""
         for i in range(0, len(texts), step):
             self._add(label[i : i + step], texts[i : i + step])
@@ -387,6 +398,7 @@ class Reader:
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.loglik = np.zeros((1024, self.width), np.float32)
+        self.best = np.zeros(1024, np.float32)  # of a row of loglik
         self.count = np.zeros(1024, np.int32)
         self.ends = np.zeros(1024, bool)
 
@@ -401,9 +413,10 @@ class Reader:
         if need > len(self.count):
             grow = max(need, 2 * len(self.count)) - len(self.count)
             self.loglik = np.concatenate((self.loglik, np.zeros((grow, self.width), np.float32)))
+            self.best = np.concatenate((self.best, np.zeros(grow, np.float32)))
             self.count = np.concatenate((self.count, np.zeros(grow, np.int32)))
             self.ends = np.concatenate((self.ends, np.zeros(grow, bool)))
-        self.ends[first:need] = [_ENDS.search(c[-2:]) is not None for c in chunks]
+        self.ends[first:need] = [not c.isalpha() and _ENDS.search(c[-2:]) is not None for c in chunks]
         if words:
             folded = [fold(w) or w for w in words]
             kinds = list(dict.fromkeys(folded))
@@ -415,6 +428,7 @@ class Reader:
             rows = first + np.asarray(spread, np.int64)
             np.add.at(self.loglik, rows[counts], s[pick[counts]])
             self.count[rows[counts]] = 1
+        self.best[first:need] = self.loglik[first:need].max(1)
 
     def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For all stretches in order: text number, first chunk, chunk behind the last, language number (-1: none), words counted, confidence."""
@@ -422,15 +436,16 @@ class Reader:
             self.clear()
         split = [t.split() for t in texts]
         size = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [c for s in split for c in s]
-        fresh = [c for c in dict.fromkeys(flat) if c not in self.row]
-        if fresh:
-            self._learn(fresh)
+        flat = list(itertools.chain.from_iterable(split))
         n = len(flat)
         if not n:
             z = np.zeros(0, np.int64)
             return z, z, z, z, z, np.zeros(0)
-        rows = np.fromiter(map(self.row.__getitem__, flat), np.int64, n)
+        rows = np.fromiter(map(self.row.get, flat, itertools.repeat(-1)), np.int64, n)
+        if len(fresh := np.flatnonzero(rows < 0)):
+            names = [flat[i] for i in fresh.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            rows[fresh] = [self.row[c] for c in names]
         text = np.repeat(np.arange(len(split)), size)
         ll, cnt = self.loglik[rows], self.count[rows].astype(np.int64)
         cut = np.empty(n, bool)
@@ -445,7 +460,7 @@ class Reader:
         np.add.at(whole, owner, total)
         home = whole.argmax(1)
         total = total.astype(np.float64)
-        loss = np.add.reduceat(ll.max(1), begin) - total.max(1)
+        loss = np.add.reduceat(self.best[rows], begin) - total.max(1)
         total[np.arange(len(begin)), home[owner]] += HOME_BONUS
         lang = np.where(words > 0, total.argmax(1), -1)
         top = np.sort(total, axis=1)
@@ -467,22 +482,38 @@ class Reader:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _viterbi(self, ll: np.ndarray) -> np.ndarray:
-        n = len(ll)
-        came = np.empty((n, self.width), np.int64)
-        s, stay = ll[0].astype(np.float64), np.arange(self.width)
-        for i in range(1, n):
-            j = int(s.argmax())
-            jump = s[j] - SWITCH_COST > s
-            came[i] = np.where(jump, j, stay)
-            s = np.where(jump, s[j] - SWITCH_COST, s) + ll[i]
-        path = np.empty(n, np.int64)
-        path[-1] = s.argmax()
-        for i in range(n - 1, 0, -1):
-            path[i - 1] = came[i, path[i]]
+        s, came = ll[0].tolist(), []
+        for row in ll[1:].tolist():
+            top = max(s)
+            jump = top - SWITCH_COST
+            if jump > min(s):
+                j = s.index(top)
+                came.append([j if jump > x else i for i, x in enumerate(s)])
+                s = [(jump if jump > x else x) + y for x, y in zip(s, row, strict=True)]
+            else:
+                came.append(None)  # each language stays
+                s = [x + y for x, y in zip(s, row, strict=True)]
+        path = np.empty(len(ll), np.int64)
+        path[-1] = at = s.index(max(s))
+        for i in range(len(ll) - 2, -1, -1):
+            if came[i] is not None:
+                at = came[i][at]
+            path[i] = at
         return path
 
     def languages(self, texts: list[str]) -> tuple[list[list[str]], list[list[float]], list[list[float]]]:
         """For each text its languages by falling share, their shares and their confidence; ``und`` if it has no words."""
+        size, codes, shares, sures = self.found(texts)
+        names, cuts = [*self.model.langs, "und"], np.concatenate(([0], np.cumsum(size))).tolist()
+        lists = [names[j] for j in codes.tolist()], shares.tolist(), sures.tolist()
+        return tuple([x[i:j] for i, j in itertools.pairwise(cuts)] for x in lists)
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same flat: how many languages each text has, and their numbers (-1: ``und``), shares and confidences."""
+        parts = [self._found(texts[i : i + STEP]) for i in range(0, max(1, len(texts)), STEP)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         owner, _, _, lang, words, sure = self.stretches(texts)
         share, trust = np.zeros((len(texts), self.width)), np.zeros((len(texts), self.width))
         has = lang >= 0
@@ -490,14 +521,12 @@ class Reader:
         np.add.at(trust, (owner[has], lang[has]), sure[has] * words[has])
         trust /= np.maximum(share, 1)
         share /= np.maximum(share.sum(1, keepdims=True), 1)
-        langs, shares, sures = [], [], []
         order = np.argsort(-share, axis=1, kind="stable")
-        for i in range(len(texts)):
-            kept = [j for j in order[i] if share[i, j] >= MIN_SHARE]
-            langs.append([self.model.langs[j] for j in kept] or ["und"])
-            shares.append([float(share[i, j]) for j in kept] or [0.0])
-            sures.append([float(trust[i, j]) for j in kept] or [0.0])
-        return langs, shares, sures
+        share, trust = np.take_along_axis(share, order, 1), np.take_along_axis(trust, order, 1)
+        keep = share >= MIN_SHARE
+        none = ~keep[:, 0]
+        order[none, 0], share[none, 0], trust[none, 0], keep[none, 0] = -1, 0.0, 0.0, True
+        return keep.sum(1), order[keep], share[keep], trust[keep]
 
 
 def sample(records: DataFrame, rec_id: str, code: Column, text: str, n: int, langs: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -521,16 +550,16 @@ def identify(records: DataFrame, model: KneserNey, rec_id: str = "rec_id", text:
     shipped = records.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shipped.value)
+        reader, names = Reader(shipped.value), pa.array([*shipped.value.langs, "und"])
         for b in batches:
             texts = b.column(len(cols)).to_pylist()
             full = [i for i, t in enumerate(texts) if t is not None and not t.isspace() and t != ""]
-            found = reader.languages([texts[i] for i in full])
-            lists: list[list] = [[[] for _ in texts] for _ in range(3)]
-            for k, i in enumerate(full):
-                for j in range(3):
-                    lists[j][i] = found[j][k]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(lists[0], pa.list_(pa.string())), pa.array(lists[1], pa.list_(pa.float64())), pa.array(lists[2], pa.list_(pa.float64()))], names=[*cols, "langs", "shares", "confidences"])
+            size, codes, shares, sures = reader.found([texts[i] for i in full])
+            cuts = np.zeros(len(texts) + 1, np.int32)
+            cuts[np.array(full, np.int64) + 1] = size
+            cuts = pa.array(np.cumsum(cuts), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (names.take(pa.array(codes % len(names))), pa.array(shares), pa.array(sures))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], *lists], names=[*cols, "langs", "shares", "confidences"])
 
     out = T.StructType([*shape.fields, T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("confidences", T.ArrayType(T.DoubleType()))])
     return spread(records.select(*cols, text)).mapInArrow(run, out)

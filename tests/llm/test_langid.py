@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -144,3 +145,58 @@ def test_query_models_know_every_labelled_record(spark):
     records, got = Q._labelled(spark, SF)
     once = records.where(F.col("label").isin(*L.LANGUAGES) & (F.length("text") > 0)).groupBy("tbl", "rec_id").agg(F.min(F.struct("label", "text")).alias("x")).collect()
     same_models(got, L.fit_models([(r["x"]["label"], r["x"]["text"]) for r in once]))
+
+
+def by_patterns(chunk):
+    """``words_of`` with nothing told beforehand."""
+    if any(map(str.isdigit, chunk)) or "://" in chunk or chunk.startswith("www.") or "@" in chunk:
+        return []
+    return L._WORD.findall(chunk)
+
+
+def test_words_with_a_mark_behind():
+    """What needs no pattern has the words, and ends of sentences, that patterns find."""
+    heads = ["a", "l'eau", "été", "한국", "سلام", "www", "b2", "x_y", "", "²", "a.b", "é"]
+    chunks = [x for h in heads for m in ("", *".,!?;:…؟)\"", ".,", "..") if (x := h + m)]
+    for c in chunks:
+        assert L.words_of(c) == by_patterns(c), c
+    counts = L.WordCounts(("en",), None)
+    counts._learn(chunks)
+    words, at = list(counts.word), 0
+    for i, c in enumerate(chunks):
+        parts = L._SENTENCE.split(c)
+        want = [(L.fold(w), k) for k, part in enumerate(parts) for w in by_patterns(part)]
+        inside = slice(counts.first[i], counts.first[i] + counts.size[i])
+        assert [(words[w], k) for w, k in zip(counts.inside[inside], counts.after[inside], strict=True)] == want and counts.breaks[i] == len(parts) - 1, c
+        at += len(want)
+    assert at == len(counts.inside)
+
+
+def test_plain_words_need_no_pattern(monkeypatch, model):
+    monkeypatch.setattr(L, "_SENTENCE", None)
+    monkeypatch.setattr(L, "_WORD", None)
+    counts = L.WordCounts(("en",), None)
+    counts.add(np.array([0]), ["The river, the garden. It opened!"])
+    assert dict(zip(counts.word, counts.times[0].tolist(), strict=True)) == {"the": 2, "river": 1, "garden": 1, "it": 1, "opened": 1}
+    assert L.Reader(model).languages(["The river, the garden was opened. It was closed!"])[0] == [["en"]]
+
+
+@pytest.mark.parametrize("step", [1, 2, 1000])
+def test_texts_are_told_alike_in_steps_of_any_size(monkeypatch, rows, model, step):
+    texts = ["", "44 #9", *[t for _, t in rows[:12]], "der Leuchtturm wurde the night ferry", ""]
+    want = [tuple(x[0] for x in L.Reader(model).languages([t])) for t in texts]
+    monkeypatch.setattr(L, "STEP", step)
+    assert list(zip(*L.Reader(model).languages(texts), strict=True)) == want
+    assert want[0] == want[-1] == want[1] == (["und"], [0.0], [0.0])
+    assert L.Reader(model).languages([]) == ([], [], [])
+
+
+def test_path_over_words():
+    """The best of all paths, by brute force."""
+    r = np.random.default_rng(2)
+    reader = L.Reader(L.KneserNey.fit({"a": Counter({"x": 1}), "b": Counter({"y": 1})}, ("a", "b", "c")))
+    for n in (1, 2, 6):
+        for _ in range(30):
+            ll = r.uniform(-20, 0, (n, 3)).astype(np.float32)
+            cost = lambda path: -ll[np.arange(n), path].astype(float).sum() + L.SWITCH_COST * np.count_nonzero(np.diff(path))  # noqa: B023, E731
+            assert cost(reader._viterbi(ll)) == pytest.approx(min(cost(np.array(p)) for p in itertools.product(range(3), repeat=n)))
