@@ -139,8 +139,9 @@ def test_rankings_are_those_of_a_join(world, monkeypatch, block, lot, cells):
     assert of_pairs(want, "query_id") and of_pairs(got, "query_id") == []
 
 
-def test_full_ranking_moves_no_pair(spark):
-    got = retrieval.queries()["bm25_full_ranking"](spark, SF)
+@pytest.mark.parametrize("name", ["bm25_full_ranking", "bm25_scores"])
+def test_no_pair_moves(spark, name):
+    got = retrieval.queries()[name](spark, SF)
     assert of_pairs(got, "query_id", "doc_id") == []
 
 
